@@ -8,7 +8,7 @@
    to half of the energy so that the latent space resolves them. What moves is vocabulary x rank, whatever the corpus.
 3. Overlapping windows of every document, at the scale of each item's length, are compared with the items by cosine in that space.
 4. Of a candidate the longest common subsequence of words decides: `EXACT` of the item's words in order are a leak; from
-   `PARAPHRASE` on it is one if the item's answer (its last sentence) is there too.
+   `PARAPHRASE` on it is one if most of the item's informative words and its answer (the last sentence) are there too.
 """
 
 from __future__ import annotations
@@ -228,6 +228,12 @@ def _search(items: Items, idf: np.ndarray, vectors: np.ndarray, cosine: float):
     sets = [set(w.tolist()) for w in items.words]
     lists = [w.tolist() for w in items.words]
 
+    own = [np.unique(w) for w in items.words]
+
+    def informative(words: np.ndarray, number: np.ndarray) -> float:
+        """The share of the words' inverse document frequency that is there; common words hardly count."""
+        return float(idf[words] @ np.isin(words, number) / idf[words].sum())
+
     def judge(number: np.ndarray, place: np.ndarray, j: int) -> float:
         m = len(lists[j])
         region = [x for x in number.tolist() if x in sets[j]]
@@ -238,7 +244,9 @@ def _search(items: Items, idf: np.ndarray, vectors: np.ndarray, cosine: float):
             return 1.0 if share == 1 and _contiguous(number, place, items.words[j]) else 0.0
         if share >= EXACT:
             return share
-        return share if share >= PARAPHRASE and np.isin(items.answers[j], number).mean() >= ANSWER else 0.0
+        if share < PARAPHRASE or informative(own[j], number) < EXACT or informative(items.answers[j], number) < ANSWER:
+            return 0.0
+        return share
 
     def run(batches):
         for batch in batches:
