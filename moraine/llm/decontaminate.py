@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .exchange import binary, drop, partition_keys, saved, workspace
+from .exchange import binary, drop, partition_keys, saved, without, workspace
 
 RANK, OVERSAMPLE, PASSAGE = 64, 8, 64
 COSINE, EXACT, PARAPHRASE, ANSWER = 0.5, 0.6, 0.4, 0.7
@@ -310,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, all columns kept; rows without doc_id or text stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, leaks(docs, benchmark).select("doc_id"))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

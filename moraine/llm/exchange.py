@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -95,3 +96,17 @@ def drop(spark: SparkSession, folder: str) -> None:
     """Removes a folder of intermediate tables that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids (one long column, written already); a null doc_id stays.
+
+    Up to BROADCAST_IDS ids, which are counted first, go to every task, so that no text moves; more are joined by shuffles.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_anti").select(*(f"`{c}`" for c in docs.columns))

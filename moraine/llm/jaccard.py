@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components, forest
-from .exchange import binary, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, workspace
+from .exchange import binary, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, without, workspace
 
 N, THRESHOLD = 5, 0.4
 _FLUSH = 2_000_000
@@ -333,10 +333,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataF
 
     Rows that repeat a doc_id are copies too: one of them stays. Rows without doc_id stay.
     """
-    kept = docs.join(near_copies(docs, threshold, n).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    kept = without(docs, near_copies(docs, threshold, n).select("doc_id"))
+    folder = workspace(docs.sparkSession)
+    repeated = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
+    if repeated.isEmpty():
+        return kept
+    columns = [f"`{c}`" for c in docs.columns]
+    again = kept.join(repeated.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    return without(kept, repeated).select(*columns).unionByName(again.select(*columns).dropDuplicates(["doc_id"]))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
