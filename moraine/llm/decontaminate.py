@@ -47,6 +47,20 @@ class Items:
         self.answers = [np.unique(found[a:b]) for a, b in zip(at, at[1:], strict=False)]
         self.scale = np.maximum(SMALLEST, 2 ** np.ceil(np.log2(np.maximum(self.lengths, 1))).astype(np.int64))
         self.kind = np.uint16 if len(self.vocabulary) <= 65536 else np.uint32
+        slot = (self.vocabulary >> np.uint64(44)).astype(np.int64)
+        self.slots = np.full(1 << 20, -1, dtype=np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2  # more than one word: searched
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, word numbers) of the hashes that are in the vocabulary."""
+        at = self.slots[(hashes >> np.uint64(44)).astype(np.int64)]
+        place = np.flatnonzero(at != -1)
+        at, own = at[place], hashes[place]
+        many = np.flatnonzero(at == -2)
+        at[many] = np.minimum(np.searchsorted(self.vocabulary, own[many]), len(self.vocabulary) - 1)
+        same = self.vocabulary[at] == own
+        return place[same], at[same]
 
 
 def _reduce(items: Items):
@@ -56,15 +70,14 @@ def _reduce(items: Items):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 words, offs = tk.tokens(part.column("text"))
-                at = np.minimum(np.searchsorted(items.vocabulary, words), len(items.vocabulary) - 1)
-                place = np.flatnonzero(items.vocabulary[at] == words)
+                place, number = items.find(words)
                 cuts = np.searchsorted(place, offs)
                 first = offs[:-1][np.repeat(np.arange(len(offs) - 1), np.diff(cuts))]
                 gap = np.diff(place, prepend=0)
                 own = np.zeros(len(place), dtype=bool)
                 own[cuts[:-1][np.diff(cuts) > 0]] = True
                 gap = np.where(own, place - first, gap)
-                gap, number = np.minimum(gap, 65535).astype(np.uint16), at[place].astype(items.kind)
+                gap, number = np.minimum(gap, 65535).astype(np.uint16), number.astype(items.kind)
                 cols = [part.column("doc_id"), *(binary([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]) for x in (number, gap))]
                 some = pa.array(np.diff(cuts) > 0)
                 yield pa.RecordBatch.from_arrays([c.filter(some) for c in cols], names=["doc_id", "words", "gaps"])
@@ -89,13 +102,30 @@ def _groups(batch: pa.RecordBatch, kind, most: int = _SLICE_WORDS):
             yield range(a, b), number, total - np.repeat(before, counts[a:b]), offs
 
 
-def _cells(place: np.ndarray, offs: np.ndarray, width: int) -> np.ndarray:
-    """The running number of each word's cell of `width` words; no cell belongs to two documents, two stay free after each."""
+def _cells(place: np.ndarray, offs: np.ndarray, width: int, align: int = 1) -> np.ndarray:
+    """The running number of each word's cell of `width` words. A document begins at a multiple of `align` cells; three stay free after it."""
     counts = np.diff(offs)
-    last = np.where(counts > 0, place[np.maximum(offs[1:] - 1, 0)] // width, 0) + 3
+    last = np.where(counts > 0, place[np.maximum(offs[1:] - 1, 0)] // width, 0) + 4
+    last = -(-last // align) * align
     return place // width + np.repeat(np.cumsum(last) - last, counts)
 
 
+def segment_sums(table: np.ndarray, index: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of the rows table[index] from each of the cuts to the next; the last row of table is zero. Eight rows at a time."""
+    lens = np.diff(np.append(cuts, len(index)))
+    blocks = -(-lens // 8)
+    first = np.cumsum(blocks) - blocks
+    padded = np.full(int(blocks.sum()) * 8, len(table) - 1, dtype=np.int64)
+    padded[np.arange(len(index)) + np.repeat(8 * first - cuts, lens)] = index
+    padded = padded.reshape(-1, 8)
+    out = table[padded[:, 0]]
+    for c in range(1, 8):
+        out += table[padded[:, c]]
+    if len(out) == len(cuts):
+        return out
+    return segment_sums(np.vstack([out, np.zeros_like(out[:1])]), np.arange(len(out)), first)
+
+
 def _slices_of(sums: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     parts = np.array_split(sums.astype(np.float64), len(keys))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(range(len(keys)), pa.int32()), binary([p.tobytes() for p in parts])], names=["key", "part", "sums"])
@@ -127,9 +157,9 @@ def _frequencies(items: Items):
             for batch in batches:
                 for _, number, place, offs in _groups(batch, items.kind, 1_000_000):
                     cell = _cells(place, offs, PASSAGE)
-                    pair = np.unique(cell * len(items.vocabulary) + number)
+                    pair = np.unique(_narrow(cell * len(items.vocabulary) + number))
                     count[:-1] += np.bincount(pair % len(items.vocabulary), minlength=len(items.vocabulary))
-                    count[-1] += len(np.unique(cell))
+                    count[-1] += len(np.flatnonzero(np.diff(cell, prepend=-1)))
                     seen = True
             if seen:
                 yield _slices_of(count, keys)
@@ -139,39 +169,46 @@ def _frequencies(items: Items):
     return task
 
 
-def _unit(number: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Each word's TF-IDF weight in its passage of length 1; passage: ascending from 0, each there."""
-    weight = idf[number]
-    key = passage * len(idf) + number
-    pair, at = np.unique(key, return_inverse=True)
-    tf = np.bincount(at)
-    square = np.bincount(pair // len(idf), weights=(tf * idf[pair % len(idf)]) ** 2)
-    return weight / np.sqrt(np.maximum(square, 1e-12))[passage]
+def _narrow(key: np.ndarray) -> np.ndarray:
+    return key.astype(np.uint32) if len(key) and key.max() < 1 << 32 else key
+
 
+def _lengths(number: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The length of each passage's TF-IDF vector; passage: ascending from 0, each there."""
+    key = np.sort(_narrow(passage * len(idf) + number))
+    cuts = np.flatnonzero(np.diff(key.astype(np.int64), prepend=-1))
+    tf, pair = np.diff(np.append(cuts, len(key))), key[cuts].astype(np.int64)
+    return np.sqrt(np.maximum(np.bincount(pair // len(idf), weights=(tf * idf[pair % len(idf)]) ** 2), 1e-12))
 
-def _gram_times(number: np.ndarray, passage: np.ndarray, weight: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """X'X block for the passages X given by their words."""
+
+def _gram_times(number: np.ndarray, passage: np.ndarray, idf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """X'X block for the TF-IDF passages X of length 1 given by their words; table: idf * block and a row of zeros."""
     cuts = np.flatnonzero(np.diff(passage, prepend=-1))
-    scores = np.add.reduceat(block[number] * weight[:, None], cuts, axis=0)
-    order = np.argsort(number, kind="stable")
-    back = scores[passage[order]] * weight[order][:, None]
+    scores = segment_sums(table, number, cuts) / _lengths(number, passage, idf)[:, None].astype(np.float32) ** 2
+    order = np.argsort(number.astype(np.uint16) if len(idf) <= 65536 else number, kind="stable")
     number = number[order]
     cuts = np.flatnonzero(np.diff(number, prepend=-1))
-    out = np.zeros_like(block)
-    out[number[cuts]] = np.add.reduceat(back, cuts, axis=0)
+    out = np.zeros((len(idf), table.shape[1]))
+    own = number[cuts]
+    out[own] = segment_sums(np.vstack([scores, np.zeros_like(scores[:1])]), passage[order], cuts) * idf[own][:, None]
     return out
 
 
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
+
+
 def _sketch(items: Items, idf: np.ndarray, block: np.ndarray):
+    table = _with_zero(block * idf[:, None])
+
     def task(keys):
         def run(batches):
             total = np.zeros(block.shape)
             seen = False
             for batch in batches:
                 for _, number, place, offs in _groups(batch, items.kind):
-                    _, passage = np.unique(_cells(place, offs, PASSAGE), return_inverse=True)
-                    weight = _unit(number, passage, idf).astype(np.float32)
-                    total += _gram_times(number, passage, weight, block)
+                    passage = np.cumsum(np.diff(_cells(place, offs, PASSAGE), prepend=-1) != 0) - 1
+                    total += _gram_times(number, passage, idf, table)
                     seen = True
             if seen:
                 yield _slices_of(total, keys)
@@ -191,8 +228,8 @@ def _svd(reduced: DataFrame, items: Items, rank: int, seed: int) -> tuple[np.nda
     corpus = _summed(reduced, _sketch(items, idf, block), (size, width))
     number = np.concatenate(items.words)
     passage = np.repeat(np.arange(len(items.ids)), items.lengths)
-    weight = _unit(number, passage, idf).astype(np.float32)
-    y = corpus / max(df[-1], 1) + _gram_times(number, passage, weight, block).astype(np.float64) / len(items.ids)
+    own = _gram_times(number, passage, idf, _with_zero(block * idf[:, None]))
+    y = corpus / max(df[-1], 1) + own / len(items.ids)
     shift = 1e-7 * max(np.linalg.norm(y), 1e-12)
     y = y + shift * block
     small = block.T.astype(np.float64) @ y
@@ -221,25 +258,43 @@ def _contiguous(number: np.ndarray, place: np.ndarray, item: np.ndarray) -> bool
 
 
 def _search(items: Items, idf: np.ndarray, vectors: np.ndarray, cosine: float):
-    table = (vectors * idf[:, None]).astype(np.float32)
+    table = _with_zero(vectors * idf[:, None])
     latent = np.stack([table[w].sum(axis=0) for w in items.words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    scales = {int(s): np.flatnonzero(items.scale == s) for s in np.unique(items.scale)}
-    sets = [set(w.tolist()) for w in items.words]
-    lists = [w.tolist() for w in items.words]
-
+    scales = [(int(x), np.flatnonzero(items.scale == x)) for x in np.unique(items.scale)]
     own = [np.unique(w) for w in items.words]
+    lists = [w.tolist() for w in items.words]
+    mass = np.array([idf[w].sum() for w in own])
+
+    def pairs_of(number, lo, hi, item):
+        """(candidate, word, how often) for the words of the item in each candidate's region."""
+        size = hi - lo
+        which = np.repeat(np.arange(len(lo)), size)
+        word = number[np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)]
+        key = item[which] * len(idf) + word
+        at = np.minimum(np.searchsorted(item_keys, key), len(item_keys) - 1)
+        inside = item_keys[at] == key
+        key = np.sort(which[inside] * len(item_keys) + at[inside])
+        cuts = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[cuts] // len(item_keys), key[cuts] % len(item_keys), np.diff(np.append(cuts, len(key)))
+
+    item_keys, item_counts = np.unique(np.repeat(np.arange(len(lists)), items.lengths) * len(idf) + np.concatenate(items.words), return_counts=True)
+
+    def possible(number, lo, hi, item) -> np.ndarray:
+        """The candidates whose words, in whatever order, could satisfy `judge`."""
+        which, word, count = pairs_of(number, lo, hi, item)
+        most = np.bincount(which, np.minimum(count, item_counts[word]), len(lo))
+        informed = np.bincount(which, idf[item_keys[word] % len(idf)], len(lo)) / mass[item]
+        m = items.lengths[item]
+        return (most >= EXACT * m - 1e-9) | (most >= PARAPHRASE * m - 1e-9) & (informed >= EXACT - 1e-9)
 
     def informative(words: np.ndarray, number: np.ndarray) -> float:
         """The share of the words' inverse document frequency that is there; common words hardly count."""
         return float(idf[words] @ np.isin(words, number) / idf[words].sum())
 
     def judge(number: np.ndarray, place: np.ndarray, j: int) -> float:
-        m = len(lists[j])
-        region = [x for x in number.tolist() if x in sets[j]]
-        if len(region) < PARAPHRASE * m:
-            return 0.0
-        share = lcs(region, lists[j]) / m
+        m, inside = len(lists[j]), set(lists[j])
+        share = lcs([x for x in number.tolist() if x in inside], lists[j]) / m
         if m < CERTAIN_WORDS:
             return 1.0 if share == 1 and _contiguous(number, place, items.words[j]) else 0.0
         if share >= EXACT:
@@ -254,26 +309,42 @@ def _search(items: Items, idf: np.ndarray, vectors: np.ndarray, cosine: float):
             for rows, number, place, offs in _groups(batch, items.kind):
                 best: dict[tuple[int, int], float] = {}
                 fine = _cells(place, offs, SMALLEST // 2)
-                sums = np.zeros((int(fine[-1]) + 4 if len(fine) else 4, table.shape[1]), dtype=np.float32)
+                top = scales[-1][0] // SMALLEST
+                cells = -(-(int(fine[-1]) + 4 if len(fine) else 4) // top) * top + 2 * top
+                sums = np.zeros((cells, table.shape[1]), dtype=np.float32)
                 cuts = np.flatnonzero(np.diff(fine, prepend=-1))
-                sums[fine[cuts]] = np.add.reduceat(table[number], cuts, axis=0)
-                for scale, which in scales.items():
-                    half = scale // SMALLEST  # fine cells in half a window
-                    running = np.concatenate([np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)])
-                    begin = np.arange(0, len(sums), max(1, half))
-                    window = (running[np.minimum(begin + 2 * half, len(sums))] - running[begin]).astype(np.float32)
-                    norm = np.linalg.norm(window, axis=1)
+                if len(cuts):
+                    sums[fine[cuts]] = segment_sums(table, number, cuts)
+                half = 1  # fine cells in half a window
+                for scale, which in scales:
+                    while half < scale // SMALLEST:
+                        sums, half = sums[0 : len(sums) // 2 * 2 : 2] + sums[1::2], half * 2
+                    window = sums[:-1] + sums[1:]
+                    norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                     some = np.flatnonzero(norm > 1e-6)
-                    score = window[some] @ latent[which].T
-                    for r, c in zip(*np.nonzero(score >= cosine * norm[some][:, None]), strict=True):
-                        at, j = begin[some[r]], int(which[c])
-                        lo, hi = np.searchsorted(fine, [at - half, at + 3 * half])
-                        for d in range(np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left")):
-                            a, b = max(lo, offs[d]), min(hi, offs[d + 1])
-                            if b > a and best.get((d, j), 0) < 1:
-                                share = judge(number[a:b], place[a:b], j)
-                                if share > best.get((d, j), 0):
-                                    best[d, j] = share
+                    r, c = np.nonzero(window[some] @ latent[which].T >= cosine * norm[some][:, None])
+                    begin, item = some[r] * half, which[c]
+                    # a region reaches half a window beyond the window on both sides, within its document
+                    lo, hi = np.searchsorted(fine, begin - half), np.searchsorted(fine, begin + 3 * half)
+                    doc, last = np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left")
+                    regions = [(doc, lo, np.minimum(hi, offs[np.minimum(doc + 1, len(offs) - 1)]), item)]
+                    k = 1
+                    while (more := np.flatnonzero(doc + k < last)).size:  # regions over the ends of documents
+                        d = doc[more] + k
+                        regions.append((d, np.maximum(lo[more], offs[d]), np.minimum(hi[more], offs[d + 1]), item[more]))
+                        k += 1
+                    d, lo, hi, item = (np.concatenate(x) for x in zip(*regions, strict=True))
+                    full = np.flatnonzero(hi - lo >= PARAPHRASE * items.lengths[item] - 1e-9)
+                    d, lo, hi, item = d[full], lo[full], hi[full], item[full]
+                    if not len(d):
+                        continue
+                    for x in np.flatnonzero(possible(number, lo, hi, item)).tolist():
+                        pair = int(d[x]), int(item[x])
+                        if best.get(pair, 0) < 1:
+                            a, b = lo[x], hi[x]
+                            share = judge(number[a:b], place[a:b], pair[1])
+                            if share > best.get(pair, 0):
+                                best[pair] = share
                 if best:
                     pairs = sorted(best)
                     yield pa.RecordBatch.from_arrays(
