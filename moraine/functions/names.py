@@ -25,7 +25,7 @@ def base_name(name: Column) -> Column:
 
 def safe_path(name: Column, fallback: str = "unnamed.bin") -> Column:
     """A relative path that stays below its root: no empty, `.` or `..` parts; the fallback if nothing is left."""
-    parts = F.filter(F.transform(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), F.trim), lambda p: ~p.isin("", ".", ".."))
+    parts = F.filter(F.transform(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), lambda p: F.trim(p)), lambda p: ~p.isin("", ".", ".."))
     return F.coalesce(F.nullif(F.array_join(parts, "/"), F.lit("")), F.lit(fallback))
 
 
@@ -37,7 +37,7 @@ def patch_prefix(prefix: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The trimmed lines of a list of names that aren't empty."""
-    return F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def glob_regex(pattern: str) -> str:

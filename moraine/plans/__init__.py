@@ -1,4 +1,6 @@
 """Registered queries over the test tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import archives, relational
+
+QUERIES: dict = {**archives.QUERIES, **relational.QUERIES}
+ORACLE: dict[str, str] = {**archives.ORACLE, **relational.ORACLE}
