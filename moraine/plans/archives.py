@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cipher, codecs, digests, patches
 from ..operators import integrity, listing, manifests, overlay
@@ -145,7 +146,7 @@ def patch_chain_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(merged).select(_ident().alias("conv_id"), F.decode("content", "UTF-8").alias("text"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _patch(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([patches.make_patch(bytes(a), bytes(b)) for a, b in zip(old, new, strict=True)])
 
@@ -190,7 +191,7 @@ def _codec_sql(table: str, ident: str, column: str) -> str:
     return f"SELECT {ident}, md5({column}) AS md5 FROM {table} WHERE octet_length(encode({column})) >= 4"
 
 
-@F.pandas_udf("struct<packed: long, worst: long>")
+@F.pandas_udf(T.StructType([T.StructField("packed", T.LongType()), T.StructField("worst", T.LongType())]))
 def _adpcm_error(samples: pd.Series) -> pd.DataFrame:
     out = []
     for s in samples:
