@@ -106,7 +106,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Up to BROADCAST_IDS ids, which are counted first, go to every task, so that no text moves; more are joined by shuffles.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    ids = ids.select(F.col(ids.columns[0]).alias("__moraine_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return docs.join(ids, docs["doc_id"] == F.col("__moraine_id"), "left_anti").select(*(f"`{c}`" for c in docs.columns))

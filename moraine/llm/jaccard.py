@@ -339,7 +339,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataF
     if repeated.isEmpty():
         return kept
     columns = [f"`{c}`" for c in docs.columns]
-    again = kept.join(repeated.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    again = kept.join(repeated.withColumnRenamed("doc_id", "__moraine_id"), F.col("doc_id") == F.col("__moraine_id"), "left_semi")
     return without(kept, repeated).select(*columns).unionByName(again.select(*columns).dropDuplicates(["doc_id"]))
 
 

@@ -50,19 +50,19 @@ def _draw(seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT, max_epochs: float = MAX_EPOCHS, budget_share: float = BUDGET_SHARE, seed: int = SEED) -> DataFrame:
-    """The documents repeated to the target weights: all columns, and `copy` from 1 on.
+    """The documents repeated to the target weights: all columns, and `copy` from 1 on (in place of a column of that name).
 
     A document is taken floor(rate) times, and once more if its seeded draw is below the rest; the same input and seed give
     the same rows. A null source is a source of its own. Sources of weight 0, or without any
-    characters, go; so does a budget beyond max_epochs of everything. Equal doc_ids draw alike. An empty table gives no rows.
+    characters, go; what a budget has beyond max_epochs of everything isn't spent. Equal doc_ids draw alike. An empty table gives no rows.
     Two scans, the first without texts; the documents aren't shuffled.
     """
-    r = rates(docs, weights, default, max_epochs, budget_share).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    r = rates(docs, weights, default, max_epochs, budget_share).select(F.col("source").alias("__moraine_source"), F.col("rate").alias("__moraine_rate"))
     if r.count() <= BROADCAST_SOURCES:
         r = F.broadcast(r)
-    joined = docs.join(r, docs["source"].cast("string").eqNullSafe(F.col("__source")))
-    copies = (F.floor("__rate") + F.when(_draw(seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("__n", copies).where("__n > 0").select(*(f"`{c}`" for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    joined = docs.join(r, docs["source"].cast("string").eqNullSafe(F.col("__moraine_source")))
+    copies = (F.floor("__moraine_rate") + F.when(_draw(seed) < F.col("__moraine_rate") - F.floor("__moraine_rate"), 1).otherwise(0)).cast("int")
+    return joined.withColumn("__moraine_n", copies).where("__moraine_n > 0").select(*(f"`{c}`" for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), F.col("__moraine_n"))).alias("copy"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -97,20 +97,22 @@ def candidates(text: str) -> list[tuple[int, int, str, str | None, bool, list[st
     return out
 
 
-_CANDIDATES = "doc_id long, begin int, end int, value string, seed string, refuted boolean, patterns array<string>"
+_CANDIDATES = "doc_id long, text_id long, begin int, end int, value string, seed string, refuted boolean, patterns array<string>"
 
 
 def _scan(batches):
     for batch in batches:
-        rows = [(i, *c) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for c in candidates(text.as_py())]
+        ids = zip(batch.column("doc_id").to_pylist(), batch.column("text_id").to_pylist(), batch.column("text"), strict=True)
+        rows = [(i, t, *c) for i, t, text in ids for c in candidates(text.as_py())]
         if rows:
             c = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "begin", "end", "value", "seed", "refuted", "patterns"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "text_id", "begin", "end", "value", "seed", "refuted", "patterns"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(HINT))
+    text = F.col("text").cast("string").alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), text).where(F.col("text").rlike(HINT))
 
 
 def learn(found: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
@@ -135,7 +137,7 @@ def learn(found: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
 
 def _judged(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """Adds kind, score and how it was found to the candidates that are taken."""
-    key = ["doc_id", "begin", "end", "value"]
+    key = ["doc_id", "text_id", "begin", "end", "value"]
     seeds = found.where("seed is not null").select(*key, F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit("seed").alias("found_by"))
     rest = found.where("seed is null and not refuted").select(*key, F.explode("patterns").alias("pattern")).join(patterns, "pattern")
     rest = rest.groupBy(*key, "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("score"))
@@ -151,7 +153,7 @@ def identifiers(docs: DataFrame) -> DataFrame:
     """
     folder = workspace(docs.sparkSession)
     found = saved(_texts(docs).mapInArrow(_scan, _CANDIDATES), folder, "candidates")
-    return saved(_judged(found, learn(found, folder)), folder, "result")
+    return saved(_judged(found, learn(found, folder)).drop("text_id"), folder, "result")
 
 
 def _apply(model: dict[str, list[tuple[str, float]]]):
@@ -214,9 +216,8 @@ def redact(docs: DataFrame) -> DataFrame:
             model.setdefault(r.pattern, []).append((r.kind, r.score))
         done = some.mapInArrow(_apply(model), typed.schema)
     else:
-        # the place of a row is its text: equal texts have equal identifiers, except for what their ids say
-        spots = _judged(found, patterns).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "kind"))).alias("__spots"))
-        joined = some.join(spots, some["doc_id"].eqNullSafe(spots["doc_id"]), "left").drop(spots["doc_id"])
+        spots = _judged(found, patterns).groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "kind"))).alias("__spots"))
+        joined = some.join(spots, F.xxhash64(some["text"]) == spots["text_id"], "left")
         done = joined.select(*typed.columns, "__spots").mapInArrow(_replaced, typed.schema)
     return rest.unionByName(done)
 

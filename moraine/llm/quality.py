@@ -46,28 +46,31 @@ def _passes(x: Column) -> Column:
     return ~(bad_punctuation | navigation | boilerplate)
 
 
-def clean(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+def clean(docs: DataFrame, min_share: float = MIN_SHARE, counts: bool = True) -> DataFrame:
     """The documents that keep enough of their text, with `text` reduced to the lines that pass and `n_chars` its length.
 
-    All other columns pass through; `n_lines` and `n_removed` are added (a column of the input with one
+    All other columns pass through; with `counts`, `n_lines` and `n_removed` are added (a column of the input with one
     of these names is replaced). A null text, an empty one and one of blanks keep nothing and go, as
     does a text without any line that passes. Rows are judged one by one: repeated rows stay repeated. An empty table gives no
     rows. One pass without a shuffle.
     """
     lines = F.transform(F.split("text", "\n", -1), lambda s: F.struct(s.alias("line"), F.split(s, " ", -1).alias("words")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_chars")]
+    added = ("n_lines", "n_removed", "n_chars") if counts else ("n_chars",)
+    names = [c for c in docs.columns if c not in added]
     size = lambda array: F.aggregate(array, F.lit(0), lambda n, s: n + F.length(F.trim(s)))
-    step = docs.withColumns({"__all": F.split("text", "\n", -1), "__kept": F.transform(F.filter(lines, _passes), lambda x: x["line"])})
-    step = step.withColumns({"__before": size("__all"), "__after": size("__kept")})
-    step = step.where((F.col("__after") > 0) & (F.col("__after") >= F.col("__before") * F.lit(min_share)))
-    out = F.array_join("__kept", "\n")
+    step = docs.withColumns({"__moraine_all": F.split("text", "\n", -1), "__moraine_kept": F.transform(F.filter(lines, _passes), lambda x: x["line"])})
+    step = step.withColumns({"__moraine_before": size("__moraine_all"), "__moraine_after": size("__moraine_kept")})
+    step = step.where((F.col("__moraine_after") > 0) & (F.col("__moraine_after") >= F.col("__moraine_before") * F.lit(min_share)))
+    out = F.array_join("__moraine_kept", "\n")
     cols = [out.alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
-    return step.select(*cols, F.length(out).cast("long").alias("n_chars"), F.size("__all").alias("n_lines"), (F.size("__all") - F.size("__kept")).alias("n_removed"))
+    values = [F.length(out).cast("long"), F.size("__moraine_all"), F.size("__moraine_all") - F.size("__moraine_kept")]
+    more = dict(zip(("n_chars", "n_lines", "n_removed"), values, strict=True))
+    return step.select(*cols, *(v.alias(n) for n, v in more.items() if n in added))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """`clean` with the columns of the input."""
-    return clean(docs).select(*(f"`{c}`" for c in docs.columns))
+    """`clean` with the columns of the input, all but text and n_chars as they were."""
+    return clean(docs, counts=False).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
