@@ -31,7 +31,9 @@ BOILERPLATE = (
     r"tous droits réservés|mentions légales|todos los derechos reservados|política de privacidad)"
 )
 BOILERPLATE_WORDS = 60
-REPEATED_WORDS, DISTINCT_SHARE = 20, 0.15
+#: Fewer distinct words than both this share and this multiple of the root of their number: the vocabulary of prose grows faster than that.
+REPEATED_WORDS, DISTINCT_SHARE, DISTINCT_ROOT = 20, 0.15, 6.0
+BLANKS = " \t\r"
 MIN_SHARE = 0.4
 
 
@@ -42,7 +44,7 @@ def _passes(x: Column) -> Column:
     separators = F.length(line) - F.length(F.regexp_replace(line, F.lit(SEPARATORS), F.lit("")))
     bad_punctuation = (marks >= MIN_MARKS) & (marks > n * MARK_SHARE) | (n >= UNPUNCTUATED_WORDS) & ~F.rlike(line, F.lit(SENTENCE))
     navigation = (separators >= MIN_SEPARATORS) & (separators >= n * SEPARATOR_SHARE) | F.rlike(line, F.lit(MENU))
-    boilerplate = (n <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE)) | (n >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) < n * DISTINCT_SHARE)
+    boilerplate = (n <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE)) | (n >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) < F.least(n * F.lit(DISTINCT_SHARE), F.sqrt(n) * F.lit(DISTINCT_ROOT)))
     return ~(bad_punctuation | navigation | boilerplate)
 
 
@@ -57,7 +59,7 @@ def clean(docs: DataFrame, min_share: float = MIN_SHARE, counts: bool = True) ->
     lines = F.transform(F.split("text", "\n", -1), lambda s: F.struct(s.alias("line"), F.split(s, " ", -1).alias("words")))
     added = ("n_lines", "n_removed", "n_chars") if counts else ("n_chars",)
     names = [c for c in docs.columns if c not in added]
-    size = lambda array: F.aggregate(array, F.lit(0), lambda n, s: n + F.length(F.trim(s)))
+    size = lambda array: F.aggregate(array, F.lit(0), lambda n, s: n + F.length(F.btrim(s, F.lit(BLANKS))))
     step = docs.withColumns({"__moraine_all": F.split("text", "\n", -1), "__moraine_kept": F.transform(F.filter(lines, _passes), lambda x: x["line"])})
     step = step.withColumns({"__moraine_before": size("__moraine_all"), "__moraine_after": size("__moraine_kept")})
     step = step.where((F.col("__moraine_after") > 0) & (F.col("__moraine_after") >= F.col("__moraine_before") * F.lit(min_share)))
@@ -88,9 +90,9 @@ def clean_sql(table: str = "documents") -> str:
     fails = (
         f"({marks} >= {MIN_MARKS} AND {marks} > {n} * {MARK_SHARE}) OR ({n} >= {UNPUNCTUATED_WORDS} AND NOT regexp_matches(x, {_q(SENTENCE)}))"
         f" OR ({seps} >= {MIN_SEPARATORS} AND {seps} >= {n} * {SEPARATOR_SHARE}) OR regexp_matches(x, {_q(MENU)})"
-        f" OR ({n} <= {BOILERPLATE_WORDS} AND regexp_matches(x, {_q(BOILERPLATE)})) OR ({n} >= {REPEATED_WORDS} AND len(list_distinct(string_split(x, ' '))) < {n} * {DISTINCT_SHARE})"
+        f" OR ({n} <= {BOILERPLATE_WORDS} AND regexp_matches(x, {_q(BOILERPLATE)})) OR ({n} >= {REPEATED_WORDS} AND len(list_distinct(string_split(x, ' '))) < least({n} * {DISTINCT_SHARE}::DOUBLE, sqrt({n}) * {DISTINCT_ROOT}::DOUBLE))"
     )
-    size = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(trim(x, ' ')))), 0)"
+    size = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(trim(x, ' ' || chr(9) || chr(13))))), 0)"
     return (
         f"SELECT doc_id, array_to_string(kept, chr(10)) AS text, lang, source, CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(lines) - len(kept) AS INTEGER) AS n_removed "
         f"FROM (SELECT *, list_filter(lines, lambda x: NOT ({fails})) AS kept FROM (SELECT *, string_split(text, chr(10)) AS lines FROM {table})) "
