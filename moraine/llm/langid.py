@@ -27,7 +27,7 @@ _WIDTH = 4
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(4-byte n-grams as uint32, n + 1 offsets); a text begins and ends with a blank, one of fewer than 2 bytes has none."""
+    """(4-byte n-grams as uint32, n + 1 offsets); a text begins and ends with a blank, one of fewer than 2 bytes has none; nor are four blanks one."""
     raw, offs = tk.buffers(pc.utf8_lower(pc.fill_null(texts, "")))
     sizes = np.diff(offs)
     padded = np.full(len(raw) + 2 * len(sizes), 32, dtype=np.uint8)
@@ -41,7 +41,9 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin = offs[:-1] + 2 * np.arange(len(sizes))
     count = np.maximum(sizes + 2 - _WIDTH + 1, 0)
     at = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
-    return all_[at], np.concatenate([[0], np.cumsum(count)])
+    found, offs = all_[at], np.concatenate([[0], np.cumsum(count)])
+    filled = found != 0x20202020  # blanks alone say nothing
+    return found[filled], np.concatenate([[0], np.cumsum(filled)])[offs]
 
 
 def _count(batches):

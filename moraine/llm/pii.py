@@ -21,16 +21,17 @@ ROUNDS, TRUST, SUPPORT, ACCEPT, SMOOTH = 3, 0.7, 3, 0.7, 1.0
 MODEL_ROWS = 200_000
 HINT = r"[0-9@]|AKIA[A-Z]{16}"
 
+#: A run of characters is entered at its beginning only and never given back, so the time is linear in the text, whatever is in it.
 CANDIDATE = re.compile(
     r"""
-    [\w.+%-]+@[\w-]+(?:\.[\w-]+)+
+    (?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+
   | (?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)
   | (?<![\w])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?!\w)
   | (?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])
   | (?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)
   | (?<![\w.])\+?(?:\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?![\w])
   | (?<!\w)AKIA[0-9A-Z]{16}(?!\w)
-  | (?<!\w)(?=[A-Za-z_/+-]*\d)[A-Za-z0-9_/+-]{8,}(?:=){0,2}(?!\w)
+  | (?<![\w/+-])(?=[A-Za-z_/+-]*+\d)[A-Za-z0-9_/+-]{8,}+(?:=){0,2}(?!\w)
     """,
     re.X,
 )
