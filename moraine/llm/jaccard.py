@@ -9,7 +9,8 @@ documents need an overlap of at least T = ceil(threshold * size) with either set
 2. Within a block the lists of n-grams are searched by DivideSkip: the short lists of a query are
    merged, ids found there T - L times or more are looked up in the L long lists by binary search,
    and those that reach the overlap are kept. Documents that match already through a third one are
-   not compared again; nothing else is skipped, and no list or candidate set is capped.
+   not compared again; nothing else is skipped, and no list or candidate set is capped. A block beyond `BLOCK` documents is cut by
+   a hash of doc_id into parts; every pair of parts is searched, so any two documents meet in some task, and what the tasks find is joined.
 
 A group is a connected component of matching documents.
 """
@@ -28,6 +29,8 @@ from .components import connected_components, forest
 from .exchange import binary, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, without, workspace
 
 N, THRESHOLD = 5, 0.4
+#: A block of more documents is searched as pairs of parts of about so many, each pair in a task of its own.
+BLOCK = 10_000
 _FLUSH = 2_000_000
 _BLOCKS = "key int, docs binary, sizes binary, grams binary, owner binary"
 _DOCS = "doc_id long, size int, grams binary, counts binary"
@@ -321,9 +324,17 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     survivors = saved(shared.repartition(p, "key").mapInArrow(_survivors(threshold), _DOCS), folder, "survivors")
     links = survivors.mapInArrow(_prefixes(threshold, keys), _BLOCKS).repartition(p, "key").mapInArrow(_links, "u long, v long")
     blocks = connected_components(links)
-    blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "doc_id")
-    inside = survivors.select("doc_id", "size", "grams").join(blocks, "doc_id").repartition(p, "root")
-    found = saved(inside.groupBy("root").applyInArrow(_search(threshold), "doc_id long, rep_id long"), folder, "found")
+    blocks = saved(blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "doc_id"), folder, "blocks")
+    parts = F.ceil(F.col("count") / BLOCK).cast("int")
+    large = saved(blocks.groupBy("root").count().where(F.col("count") > BLOCK).select("root", parts.alias("parts")), folder, "large")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
+    placed = blocks.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("doc_id", "root", F.explode(pairs).alias("pair"))
+    inside = survivors.select("doc_id", "size", "grams").join(placed.select("doc_id", "root", "pair.i", "pair.j"), "doc_id")
+    found = saved(inside.groupBy("root", "i", "j").applyInArrow(_search(threshold), "doc_id long, rep_id long"), folder, "found")
+    if not large.isEmpty():
+        joined = connected_components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("rep_id"))
+        found = saved(joined, folder, "joined")
     drop(spark, f"{folder}/survivors")
     return found
 

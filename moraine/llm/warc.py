@@ -7,7 +7,7 @@ blocks of `BLOCK_LINES`, each compressed by itself; a directory keeps each block
 Reading: a key is searched by bisection among the shards' first keys, then among the first keys of a shard's
 blocks; one range read gets the block, bisection finds the lines, and one range read for each gets the record. Look-ups come sorted, so a
 task reads a block once for all keys in it. Memory is a directory (a line for each `BLOCK_LINES` captures of a shard), a block and one
-key's captures. Every file is written aside and renamed, so a task that runs again replaces its file with the same.
+key's captures. Each run of a task writes files of its own, and its rows name them: whichever run counts, rows and files agree.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ _LINE = "key string, page string, file string, offset long, length long"
 
 def _capture(folder: str):
     def run(batches):
-        name = f"captures-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"captures-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         lines: list[tuple] = []
         at = 0
 
@@ -118,7 +118,7 @@ def _blocks(folder: str):
     """Writes a partition's sorted lines as blocks with their directory; one row for the shard."""
 
     def run(batches):
-        shard = f"index-{TaskContext.get().partitionId():06d}"
+        shard = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         directory: list[bytes] = []
         first: list[str] = []
         count = 0

@@ -60,6 +60,13 @@ def test_all_groups_of_brute_force(spark, seed, threshold):
     assert found(spark, rows, 5, threshold) == brute(rows, 5, threshold)
 
 
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_blocks_in_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(6)
+    assert found(spark, rows) == brute(rows, 5, 0.4)
+
+
 def test_test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = {tuple(r) for r in jaccard.op10_ngram_jaccard(spark, small).collect()}
