@@ -183,6 +183,12 @@ class Archive:
                 current = apply(current, patch.read_file(there))
         return current
 
+    def open_file(self, name: str, locale: int | None = None) -> File:
+        """A handle on a file that must be there; its content is read when asked for."""
+        if not (self.has_file_any(name) if self.patches else self.slot(name, locale) is not None):
+            raise NotFoundError(name)
+        return File(self, name, locale)
+
     def checksums(self, name: str) -> tuple[int, bytes]:
         data = self.read_file(name)
         return zlib.crc32(data), hashlib.md5(data).digest()
@@ -346,6 +352,18 @@ class Archive:
             seen.add(key)
         return report
 
+    def verify_mode(self, mode: str, name: str | None = None, target: str = "file") -> Report:
+        """`archive`, `file` or `raw`: the check of that kind."""
+        if mode == "archive":
+            return self.verify()
+        if mode == "file":
+            if name is None:
+                raise InvalidInputError("file verification requires file name")
+            return self.verify_file(name)
+        if mode == "raw":
+            return self.verify_raw(target, name)
+        raise InvalidInputError(f"no verification {mode}")
+
     def verify_file(self, name: str) -> Report:
         try:
             self.read_file(name)
@@ -394,6 +412,16 @@ class Archive:
         return "strong" if self.region.size >= end + 260 and self.region.read(end, 4) == b"NGIS" else "none"
 
 
+@dataclass(frozen=True)
+class File:
+    archive: Archive
+    name: str
+    locale: int | None = None
+
+    def read_all(self) -> bytes:
+        return self.archive.read_file(self.name, self.locale)
+
+
 class Writer:
     """A file written piece by piece into an archive; it is there once it is finished."""
 

@@ -20,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas as S
 from ..errors import ArchiveIOError, FormatError, InvalidInputError, UnsupportedFeatureError, kind_of
+from ..functions.names import safe_path
 from . import attributes as attrs
 from . import layout as L
 
@@ -299,3 +301,28 @@ def write_archives(manifest: DataFrame, path: str, **options) -> None:
     order = [c for c in ("ord", "name") if c in manifest.columns]
     rows = manifest.repartition("archive").sortWithinPartitions("archive", *order)
     rows.write.format("mpq").mode("overwrite").options(**options).save(path)
+
+
+def extract_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files read from archives below a folder, in parallel; (archive, name, path) of those written.
+
+    Paths are safe ones; of files that have the same one the first entry of the first archive is written. Files that couldn't be read have no row.
+    Each is written aside and renamed. The rows are computed, and so the files written, when the result is used.
+    """
+    rows = files.where(F.col("content").isNotNull() & F.col("name").isNotNull()).select("archive", "name", "hash_index", safe_path(F.col("name")).alias("path"), "content")
+    first = rows.groupBy("path").agg(F.min(F.struct("archive", "hash_index")).alias("__first"))
+    rows = rows.join(first, "path").where((F.col("archive") == F.col("__first.archive")) & (F.col("hash_index") == F.col("__first.hash_index")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                at = f"{root.rstrip('/')}/{path}"
+                fs.create_dir(posixpath.dirname(at), recursive=True)
+                aside = f"{posixpath.dirname(at)}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside, compression=None) as out:
+                    out.write(content.as_buffer())
+                fs.move(aside, at)
+            yield batch.select(["archive", "name", "path"])
+
+    return rows.select("archive", "name", "path", "content").mapInArrow(write, "archive string, name string, path string")

@@ -127,6 +127,16 @@ def test_raw_chunks(made):
     assert not made.verify_raw("file", "c.txt").ok() and made.verify_raw("header").ok() and made.verify_raw("het").ok()
 
 
+def test_handles_and_modes(made):
+    assert made.open_file("C.TXT").read_all() == b"Z" * 12000
+    with pytest.raises(E.NotFoundError):
+        made.open_file("nothing")
+    assert all(made.verify_mode(*m).ok() for m in (("archive",), ("file", "c.txt"), ("raw", "c.txt")))
+    for bad in (("file",), ("other",)):
+        with pytest.raises(E.InvalidInputError):
+            made.verify_mode(*bad)
+
+
 def test_attribute_sizes():
     rows = [{"crc32": i, "filetime": 0, "md5": bytes([i]) * 16, "patch_bit": i % 3 == 0} for i in range(17)]
     data = attributes.serialize(attributes.ALL, rows)

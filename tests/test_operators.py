@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from moraine.functions import names as N
 from moraine.functions.cipher import hash_names
 from moraine.operators import integrity, listing, manifests, overlay
-from moraine.sources.datasource import read_archives, write_archives
+from moraine.sources.datasource import extract_files, read_archives, write_archives
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,13 @@ def test_contents_and_block_ranges(spark, folder):
     assert {r.archive for r in read_archives(spark, folder, archives="a1.mpq").collect()} == {"a1.mpq"}
 
 
+def test_extraction(spark, folder, tmp_path):
+    files = read_archives(spark, folder, "files").where("name not like '(%'")
+    out = extract_files(files.union(files), str(tmp_path)).collect()
+    assert {r.path for r in out} == {f"dir/f{i}.txt" for i in range(20)}
+    assert all((tmp_path / f"dir/f{i}.txt").stat().st_size == 2500 * i for i in range(20)) and len([*tmp_path.rglob("*")]) == 21
+
+
 def test_damaged_archive_is_a_row(spark, tmp_path):
     (tmp_path / "bad.mpq").write_bytes(b"MPQ\x1a" + bytes(60))
     (tmp_path / "none.mpq").write_bytes(b"")
