@@ -31,7 +31,7 @@ from .exchange import binary, drop, pack_sorted, partition_keys, partitions, sav
 N, THRESHOLD = 5, 0.4
 #: A block of more documents is searched as pairs of parts of about so many, each pair in a task of its own.
 BLOCK = 10_000
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _BLOCKS = "key int, docs binary, sizes binary, grams binary, owner binary"
 _DOCS = "doc_id long, size int, grams binary, counts binary"
 
@@ -82,22 +82,29 @@ def _postings(n: int, keys: np.ndarray):
 
 
 def _read_blocks(batches) -> tuple[np.ndarray, ...] | None:
-    docs, sizes, grams = [], [], []
+    """(documents, their sizes, n-grams, document number of each): distinct postings by n-gram and document."""
+    docs, sizes, grams, owners = [], [], [], []
     for batch in batches:
         for d, s, g, o in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            d, s, g = np.frombuffer(d, np.int64), np.frombuffer(s, np.int32), unpack_sorted(g)
-            at = np.frombuffer(o, np.uint16 if len(o) == 2 * len(g) else np.uint32)
-            docs.append(d[at])
-            sizes.append(s[at])
+            g = unpack_sorted(g)
+            docs.append(np.frombuffer(d, np.int64))
+            sizes.append(np.frombuffer(s, np.int32))
             grams.append(g)
+            owners.append(np.frombuffer(o, np.uint16 if len(o) == 2 * len(g) else np.uint32))
     if not docs:
         return None
-    docs, sizes, grams = np.concatenate(docs), np.concatenate(sizes), np.concatenate(grams)
-    order = np.lexsort((docs, grams))
-    docs, sizes, grams = docs[order], sizes[order], grams[order]
-    new = np.ones(len(docs), dtype=bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (grams[1:] != grams[:-1])
-    return docs[new], sizes[new], grams[new]
+    known, first = np.unique(np.concatenate(docs), return_index=True)
+    size = np.concatenate(sizes)[first]
+    owner = np.concatenate([np.searchsorted(known, d).astype(np.uint32)[o] for d, o in zip(docs, owners, strict=True)])
+    del docs, sizes, owners
+    gram = np.concatenate(grams)
+    del grams
+    order = np.lexsort((owner, gram))
+    gram, owner = gram[order], owner[order]
+    del order
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+    return (known, size, gram, owner) if new.all() else (known, size, gram[new], owner[new])
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -112,13 +119,15 @@ def _shared(keys: np.ndarray):
         got = _read_blocks(batches)
         if got is None:
             return
-        docs, sizes, grams = got
-        cuts = _runs(grams)
-        count = np.repeat(np.diff(cuts), np.diff(cuts))
-        keep = count > 1
-        docs, sizes, grams, count = docs[keep], sizes[keep], grams[keep], count[keep].astype(np.int32)
-        if not len(docs):
+        known, known_sizes, grams, owner = got
+        del got
+        length = np.diff(_runs(grams))
+        keep = np.repeat(length > 1, length)
+        count = np.repeat(length[length > 1], length[length > 1]).astype(np.int32)
+        grams, owner = grams[keep], owner[keep]
+        if not len(grams):
             return
+        docs, sizes = known[owner], known_sizes[owner]
         p = target(tk.mix(docs.view(np.uint64)), len(keys))
         order = np.lexsort((docs, p))
         docs, sizes, grams, count, p = docs[order], sizes[order], grams[order], count[order], p[order]
@@ -176,7 +185,8 @@ def _links(batches):
     got = _read_blocks(batches)
     if got is None:
         return
-    docs, _, grams = got
+    known, _, grams, owner = got
+    docs = known[owner]
     cuts = _runs(grams)
     first = np.repeat(docs[cuts[:-1]], np.diff(cuts))
     u, v = forest(docs[docs != first], first[docs != first])

@@ -275,10 +275,12 @@ def train(docs: DataFrame) -> Model:
 
 
 def _score(model: Model):
+    most = min(16 << 20, max(tk.SLICE_BYTES, model.shards << 12))  # the more shards, the more look-ups for each visit to one
+
     def run(batches):
         maps = model.open()
         for batch in batches:
-            for part in tk.slices(batch, "text"):
+            for part in tk.slices(batch, "text", most):
                 pairs, text = _bigrams(part.column("text"))
                 logs = maps.log_probabilities(pairs)
                 n = np.bincount(text, minlength=part.num_rows)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _WORD[128:] = True
@@ -98,13 +98,15 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
     total = int(lens.sum())
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
     ends = np.cumsum(lens)
-    base = np.repeat(starts - (ends - lens), lens)
-    at = np.arange(total)
-    within = at - np.repeat(ends - lens, lens)
+    within = np.arange(total, dtype=kind) - np.repeat((ends - lens).astype(kind), lens)
+    place = np.repeat(starts.astype(kind), lens) + within
     longest = int(lens.max())
     powers = _POW if longest <= 256 else _powers(min(longest, 1 << 16))
-    value = (raw[base + at].astype(np.uint64) + np.uint64(1)) * powers[within % len(powers)]
+    value = raw[place].astype(np.uint64)
+    value += np.uint64(1)
+    value *= powers[within if longest <= len(powers) else within % len(powers)]
     return mix(np.add.reduceat(value, ends - lens) + lens.astype(np.uint64))
 
 
