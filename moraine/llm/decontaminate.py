@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .exchange import binary, drop, partition_keys, saved, without, workspace
+from .exchange import binary, bounded_batches, drop, partition_keys, saved, without, workspace
 
 RANK, OVERSAMPLE, PASSAGE = 64, 8, 64
 COSINE, EXACT, PARAPHRASE, ANSWER = 0.5, 0.6, 0.4, 0.7
@@ -363,6 +363,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     or no documents give no rows. The benchmark is taken to the driver, some thousand items at a time; the corpus never is.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").orderBy("item_id", "text").collect()
     rows = [r for r in rows if tk.tokens(pa.array([r.text], pa.large_string()))[0].size]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")

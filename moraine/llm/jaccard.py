@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components, forest
-from .exchange import binary, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, without, workspace
+from .exchange import binary, bounded_batches, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, without, workspace
 
 N, THRESHOLD = 5, 0.4
 #: A block of more documents is searched as pairs of parts of about so many, each pair in a task of its own.
@@ -327,6 +327,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold is in (0, 1], n is 1 or more")
     spark = docs.sparkSession
+    bounded_batches(spark)
     keys = partition_keys(p := partitions(spark))
     folder = workspace(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .exchange import binary, pack_sorted, partition_keys, partitions, target, unpack_sorted, workspace
+from .exchange import binary, bounded_batches, pack_sorted, partition_keys, partitions, target, unpack_sorted, workspace
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 _FLUSH = 4_000_000
@@ -266,6 +266,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> Model:
     """Counts every text of docs; rows with null or wordless texts add nothing. The model stays in the shared folder."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = _local(workspace(spark))
     keys = partition_keys(p := partitions(spark))
     pairs = _texts(docs).select("text").where("text is not null").mapInArrow(_count(keys), _PAIRS).repartition(p, "key")

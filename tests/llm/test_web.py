@@ -76,7 +76,8 @@ def test_siblings_merge_unless_their_labels_differ(spark):
     assert apart == {"/news/<n>": False, "/blog/<n>": False, "/junk/<n>": True}
 
 
-def test_odd_pages(spark):
+def test_odd_pages(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "LEVELS", 4)
     deep = "http://h.org/" + "/".join(f"d{i}x" for i in range(40))
     rows = [(1, None), (2, ""), (3, "no scheme/x"), (4, deep), (4, deep), (None, "http://h.org/a"), (5, "http://h.org/?&=&a"), (6, "http://h.org")]
     pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, template string, host int")
