@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .exchange import drop, saved, workspace
 
 
@@ -48,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     a, b = edges.columns
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    e = e.where("u is not null and v is not null and u <> v").mapInArrow(_local_forest, "u long, v long")
+    e = e.where("u is not null and v is not null and u <> v").mapInArrow(tk.trimmed(_local_forest), "u long, v long")
     folder = workspace(spark)
     e = saved(e, folder, "0")
 

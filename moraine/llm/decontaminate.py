@@ -144,7 +144,7 @@ def _add(batches):
 def _summed(df: DataFrame, task, shape: tuple[int, ...]) -> np.ndarray:
     """Adds up one array of each task, slice by slice in the executors; the driver gets one array."""
     keys = partition_keys(_SUMS)
-    rows = df.mapInArrow(task(keys), "key int, part int, sums binary").repartition(_SUMS, "key").mapInArrow(_add, "part int, sums binary").collect()
+    rows = df.mapInArrow(tk.trimmed(task(keys)), "key int, part int, sums binary").repartition(_SUMS, "key").mapInArrow(tk.trimmed(_add), "part int, sums binary").collect()
     if not rows:
         return np.zeros(shape)
     return np.concatenate([np.frombuffer(bytes(r.sums), np.float64) for r in sorted(rows, key=lambda r: r.part)]).reshape(shape)
@@ -372,9 +372,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     for at in range(0, len(rows), ITEMS_AT_ONCE):
         some = rows[at : at + ITEMS_AT_ONCE]
         items = Items([r.item_id for r in some], [r.text for r in some])
-        reduced = saved(texts.mapInArrow(_reduce(items), "doc_id long, words binary, gaps binary"), folder, f"reduced{at}")
+        reduced = saved(texts.mapInArrow(tk.trimmed(_reduce(items)), "doc_id long, words binary, gaps binary"), folder, f"reduced{at}")
         idf, vectors = _svd(reduced, items, rank, seed)
-        hits = saved(reduced.mapInArrow(_search(items, idf, vectors, cosine), "doc_id long, item_id long, share double"), folder, f"hits{at}")
+        hits = saved(reduced.mapInArrow(tk.trimmed(_search(items, idf, vectors, cosine)), "doc_id long, item_id long, share double"), folder, f"hits{at}")
         drop(spark, f"{folder}/reduced{at}")
         found = found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

@@ -331,9 +331,9 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     keys = partition_keys(p := partitions(spark))
     folder = workspace(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    shared = texts.mapInArrow(_postings(n, keys), _BLOCKS).repartition(p, "key").mapInArrow(_shared(keys), "key int, docs binary, sizes binary, grams binary, lengths binary, counts binary")
-    survivors = saved(shared.repartition(p, "key").mapInArrow(_survivors(threshold), _DOCS), folder, "survivors")
-    links = survivors.mapInArrow(_prefixes(threshold, keys), _BLOCKS).repartition(p, "key").mapInArrow(_links, "u long, v long")
+    shared = texts.mapInArrow(tk.trimmed(_postings(n, keys)), _BLOCKS).repartition(p, "key").mapInArrow(tk.trimmed(_shared(keys)), "key int, docs binary, sizes binary, grams binary, lengths binary, counts binary")
+    survivors = saved(shared.repartition(p, "key").mapInArrow(tk.trimmed(_survivors(threshold)), _DOCS), folder, "survivors")
+    links = survivors.mapInArrow(tk.trimmed(_prefixes(threshold, keys)), _BLOCKS).repartition(p, "key").mapInArrow(tk.trimmed(_links), "u long, v long")
     blocks = connected_components(links)
     blocks = saved(blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "doc_id"), folder, "blocks")
     parts = F.ceil(F.col("count") / BLOCK).cast("int")

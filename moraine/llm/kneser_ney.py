@@ -269,9 +269,9 @@ def train(docs: DataFrame) -> Model:
     bounded_batches(spark)
     folder = _local(workspace(spark))
     keys = partition_keys(p := partitions(spark))
-    pairs = _texts(docs).select("text").where("text is not null").mapInArrow(_count(keys), _PAIRS).repartition(p, "key")
-    stats = pairs.mapInArrow(_shards(keys, folder), "key int, words binary, stats binary, many binary").repartition(p, "key")
-    rows = stats.mapInArrow(_words(keys, folder), "sums binary").collect()
+    pairs = _texts(docs).select("text").where("text is not null").mapInArrow(tk.trimmed(_count(keys)), _PAIRS).repartition(p, "key")
+    stats = pairs.mapInArrow(tk.trimmed(_shards(keys, folder)), "key int, words binary, stats binary, many binary").repartition(p, "key")
+    rows = stats.mapInArrow(tk.trimmed(_words(keys, folder)), "sums binary").collect()
     return Model(folder, p, np.sum([np.frombuffer(bytes(r.sums), np.int64) for r in rows], axis=0) if rows else np.zeros(10, dtype=np.int64))
 
 
@@ -299,7 +299,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null text and one without words have 0 tokens, log_prob 0 and a null perplexity. Whole texts are scored. Other columns are
     not read. An empty table gives no rows. With a model of nothing every word has the same probability, 1.
     """
-    return _texts(docs).mapInArrow(_score(model), "doc_id long, n_tokens long, log_prob double, perplexity double")
+    return _texts(docs).mapInArrow(tk.trimmed(_score(model)), "doc_id long, n_tokens long, log_prob double, perplexity double")
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:

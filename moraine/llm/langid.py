@@ -117,7 +117,7 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, share: float = MIN_
         wanted = F.when(F.col("lang") == lang, min(1.0, documents / n)).otherwise(wanted)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = labelled.where(draw < wanted).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tk.trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(total), "lang").where((F.col("n") >= F.col("total") * share) & ((F.col("n") > 1) | (F.col("total") < 10_000))).select("lang", "gram").toArrow()
     languages = sorted(have)
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, filters: Filters, least: float = MIN_SHARE) -> Dat
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_decide(filters, least), "doc_id long, lang string, predicted string, share double, margin double")
+    return rows.mapInArrow(tk.trimmed(_decide(filters, least)), "doc_id long, lang string, predicted string, share double, margin double")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

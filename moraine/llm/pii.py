@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .exchange import saved, workspace
 
 ROUNDS, TRUST, SUPPORT, ACCEPT, SMOOTH = 3, 0.7, 3, 0.7, 1.0
@@ -153,7 +154,7 @@ def identifiers(docs: DataFrame) -> DataFrame:
     seeds and one row for what patterns find. Whole texts are read. Other columns are not. An empty table gives no rows.
     """
     folder = workspace(docs.sparkSession)
-    found = saved(_texts(docs).mapInArrow(_scan, _CANDIDATES), folder, "candidates")
+    found = saved(_texts(docs).mapInArrow(tk.trimmed(_scan), _CANDIDATES), folder, "candidates")
     return saved(_judged(found, learn(found, folder)).drop("text_id"), folder, "result")
 
 
@@ -206,7 +207,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = workspace(spark)
-    found = saved(_texts(docs).mapInArrow(_scan, _CANDIDATES), folder, "candidates")
+    found = saved(_texts(docs).mapInArrow(tk.trimmed(_scan), _CANDIDATES), folder, "candidates")
     patterns = learn(found, folder)
     typed = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in docs.columns else docs
     hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
@@ -215,11 +216,11 @@ def redact(docs: DataFrame) -> DataFrame:
         model: dict[str, list[tuple[str, float]]] = {}
         for r in patterns.collect():
             model.setdefault(r.pattern, []).append((r.kind, r.score))
-        done = some.mapInArrow(_apply(model), typed.schema)
+        done = some.mapInArrow(tk.trimmed(_apply(model)), typed.schema)
     else:
         spots = _judged(found, patterns).groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "kind"))).alias("__spots"))
         joined = some.join(spots, F.xxhash64(some["text"]) == spots["text_id"], "left")
-        done = joined.select(*typed.columns, "__spots").mapInArrow(_replaced, typed.schema)
+        done = joined.select(*typed.columns, "__spots").mapInArrow(tk.trimmed(_replaced), typed.schema)
     return rest.unionByName(done)
 
 

@@ -360,7 +360,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     texts are counted, of any length. Repeated rows give repeated rows; other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_count(load(vocabulary)), "doc_id long, n_tokens long, n_words long")
+    return rows.mapInArrow(tk.trimmed(_count(load(vocabulary))), "doc_id long, n_tokens long, n_words long")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

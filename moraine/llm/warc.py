@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .exchange import saved, workspace
 
 BLOCK_LINES = 3_000
@@ -214,9 +215,9 @@ def build(pages: DataFrame) -> Index:
     spark = pages.sparkSession
     folder = workspace(spark)
     rows = pages.where("url is not null").select(url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), F.col("url"), F.col("html").cast("string").alias("html"))
-    lines = saved(rows.mapInArrow(_capture(f"{folder}/store"), _LINE), folder, "lines")
+    lines = saved(rows.mapInArrow(tk.trimmed(_capture(f"{folder}/store")), _LINE), folder, "lines")
     ordered = lines.repartitionByRange("key", "page", "file", "offset").sortWithinPartitions("key", "page", "file", "offset")
-    shards = ordered.mapInArrow(_blocks(f"{folder}/store"), "shard string, first string, lines long").collect()
+    shards = ordered.mapInArrow(tk.trimmed(_blocks(f"{folder}/store")), "shard string, first string, lines long").collect()
     return Index(f"{folder}/store", [(r.shard, r.first) for r in shards])
 
 
@@ -253,7 +254,7 @@ def look_up(queries: DataFrame, index: Index) -> DataFrame:
     """
     rows = queries.where("url is not null").select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "page_id")
-    return rows.mapInArrow(_look_up(index), "page_id long, url string, url_key string, n_captures long, html_md5 string, html_bytes long")
+    return rows.mapInArrow(tk.trimmed(_look_up(index)), "page_id long, url string, url_key string, n_captures long, html_md5 string, html_bytes long")
 
 
 def op5_warc_index(spark, sf_dir: str) -> DataFrame:
