@@ -1,15 +1,19 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped into memory for scoring.
+"""Interpolated modified Kneser-Ney model of any order from 2: counted in Spark, kept as sorted hash arrays, mapped into memory for scoring.
 
-Counting is two shuffles of packed arrays. Bigrams go, once for each task's share of them, to the task that owns their hash; it sums
+Counting is shuffles of packed arrays, one for each order and one of words. N-grams of the highest order go, once for each task's
+share of them, to the task that owns their context; it sums the counts, writes a shard of n-grams, contexts and counts, and passes on
+what follows the first word of each: the count of the next lower order is the number of different words before it (continuations). An
+n-gram that begins with the begin mark has no word before it and keeps its plain count.
+
+Bigrams go, once for each task's share of them, to the task that owns their hash; it sums
 the counts and writes a shard, its sorted bigram keys and their counts. For each word it passes on how often
 the word is a context, in how many bigrams with counts of 1, 2 and 3 or more, and after how many different
 words it occurs; the owners of the words add that up and write shards of sorted word arrays. No word or
 bigram is pruned and none is left out of the counts: the model grows with the corpus.
 
-Discounts follow Chen and Goodman's closed form from the counts of counts of all bigrams and of all continuation
-counts. A scoring task maps the shards (so its memory is that of a slice of text) and looks its words up in ascending order.
+Discounts follow Chen and Goodman's closed form from the counts of counts of each order. A scoring task maps the shards (so its memory is that of a slice of text) and looks its words up in ascending order.
 
-A word is known by 32 bits of its hash, a bigram by the 64 of both words. A document is one sequence with a begin and an end
+A word is known by 32 bits of its hash, a bigram by the 64 of both words, a longer n-gram by a hash of 64 bits over its words'. A document is one sequence with a begin and an end
 mark. The unigram distribution is interpolated with a uniform one over the vocabulary and one unknown word.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,12 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .exchange import binary, bounded_batches, pack_sorted, partition_keys, partitions, target, unpack_sorted, workspace
 
-BEGIN, END = np.uint64(1), np.uint64(2)
+#: Order of the registered query.
+ORDER = 3
+NONE, BEGIN, END = np.uint64(0), np.uint64(1), np.uint64(2)
 _FLUSH = 4_000_000
 _STATS = 5  # total, n1, n2, n3 or more, continuations
+_GRAMS = "key int, pairs binary, rest binary, more binary, counts binary"
 _PAIRS = "key int, pairs binary, more binary, counts binary"
 
 
@@ -58,6 +66,127 @@ def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (seq[:-1] << np.uint64(32) | seq[1:])[inside], text[1:][inside]
 
 
+def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words by place in the n-gram: n rows, a column for each place but the first of a text; number of its text). Before a text is NONE."""
+    seq, offs = _sequence(texts)
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    at = np.flatnonzero(text[1:] == text[:-1]) + 1
+    text = text[at]
+    local = at - offs[text]
+    return np.stack([np.where(local >= k, seq[np.maximum(at - k, 0)], NONE).astype(np.uint32) for k in range(n - 1, -1, -1)]), text
+
+
+def _hashed(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(words.shape[1], dtype=np.uint64)
+    for w in words:
+        out = tk.mix(out * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(1))
+    return out
+
+
+def _summed(words: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns in the order of their words, with how many there are or the sum of their weights."""
+    order = np.lexsort([*words[:1:-1], words[0].astype(np.uint64) << np.uint64(32) | words[1]])
+    words = words[:, order]
+    new = np.ones(words.shape[1], dtype=bool)
+    new[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
+    cuts = np.flatnonzero(new)
+    return words[:, cuts], np.diff(np.append(cuts, len(new))) if weights is None else np.add.reduceat(weights[order], cuts)
+
+
+def _counts_out(n: np.ndarray) -> tuple[bytes, bytes]:
+    more = np.flatnonzero(n > 1)
+    return np.diff(more, prepend=0).astype(np.uint16 if len(n) < 65536 else np.uint32).tobytes(), n[more].astype(np.uint32).tobytes()
+
+
+def _counts_in(size: int, more: bytes, n: bytes) -> np.ndarray:
+    c = np.ones(size, dtype=np.int64)
+    c[np.cumsum(np.frombuffer(more, np.uint16 if size < 65536 else np.uint32), dtype=np.int64)] = np.frombuffer(n, np.uint32)
+    return c
+
+
+def _sent(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """N-grams of ascending words for the owners: of the pair for bigrams, of the context for longer ones."""
+    pairs = words[0].astype(np.uint64) << np.uint64(32) | words[1]
+    p = target(tk.mix(pairs if len(words) == 2 else _hashed(words[:-1])), len(keys))
+    order = np.argsort(p, kind="stable")
+    pairs, rest, counts, cuts = pairs[order], words[2:, order], counts[order], np.searchsorted(p[order], np.arange(len(keys) + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(cuts)):
+        s = slice(cuts[k], cuts[k + 1])
+        rows.append((int(keys[k]), pack_sorted(pairs[s]), rest[:, s].tobytes(), *_counts_out(counts[s])))
+    cols = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=["key", "pairs", "rest", "more", "counts"])
+    return batch if len(words) > 2 else batch.select(["key", "pairs", "more", "counts"])
+
+
+def _count_grams(keys: np.ndarray, order: int):
+    most = 2 * _FLUSH // order
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                held.append(_grams(part.column("text"), order)[0])
+                size += held[-1].shape[1]
+                if size >= most:
+                    yield _sent(keys, *_summed(np.concatenate(held, axis=1)))
+                    held, size = [], 0
+        if size:
+            yield _sent(keys, *_summed(np.concatenate(held, axis=1)))
+
+    return run
+
+
+def _level(keys: np.ndarray, folder: str, order: int):
+    """Sums a partition's n-grams of an order of 3 or more, writes their shard and passes on the counts of the order below."""
+    number = {int(k): i for i, k in enumerate(keys)}
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(key, []).append(row)
+        while held:
+            key, rows = held.popitem()
+            words, counts = [], []
+            for data, rest, more, n in rows:
+                pairs = unpack_sorted(data)
+                words.append(np.concatenate([[(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], np.frombuffer(rest, np.uint32).reshape(order - 2, -1)]))
+                counts.append(_counts_in(len(pairs), more, n))
+            del rows
+            words, counts = _summed(np.concatenate(words, axis=1), np.concatenate(counts))
+            real = words[0] != NONE
+            own, c = words[:, real], counts[real]
+            if len(c):
+                hashes = _hashed(own)
+                by = np.argsort(hashes)
+                _write(folder, f"grams{order}-{number[key]}", keys=hashes[by], **_thin(c[by, None]))
+                at = np.flatnonzero(np.concatenate([[True], (own[:-1, 1:] != own[:-1, :-1]).any(axis=0)]))
+                stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
+                hashes = _hashed(own[:-1, at])
+                by = np.argsort(hashes)
+                _write(folder, f"contexts{order}-{number[key]}", keys=hashes[by], **_thin(stats[by]))
+            _write(folder, f"many{order}-{number[key]}", counts=np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64))
+            yield _sent(keys, *_summed(words[1:], np.where(real, 1, counts)))
+
+    return run
+
+
+def _many(folder: str, shards: int, order: int):
+    """Adds up the counts of counts of each order from 3."""
+
+    def run(batches):
+        for _ in batches:
+            sums = np.zeros((order - 2, 4), dtype=np.int64)
+            for k in range(3, order + 1):
+                for i in range(shards):
+                    if os.path.exists(path := f"{folder}/many{k}-{i}.counts.npy"):
+                        sums[k - 3] += np.load(path)
+            yield pa.RecordBatch.from_arrays([binary([sums.tobytes()])], names=["sums"])
+
+    return run
+
+
 def _counted(sorted_: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
     if weights is None:
@@ -71,16 +200,7 @@ def _count(keys: np.ndarray):
 
         def flush():
             pairs, counts = _counted(np.sort(np.concatenate(held)))
-            p = target(tk.mix(pairs), len(keys))
-            order = np.argsort(p, kind="stable")
-            pairs, counts, cuts = pairs[order], counts[order], np.searchsorted(p[order], np.arange(len(keys) + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                n = counts[cuts[k] : cuts[k + 1]]
-                more = np.flatnonzero(n > 1)
-                rows.append((int(keys[k]), pack_sorted(pairs[cuts[k] : cuts[k + 1]]), np.diff(more, prepend=0).astype(np.uint16 if len(n) < 65536 else np.uint32).tobytes(), n[more].astype(np.uint32).tobytes()))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=["key", "pairs", "more", "counts"])
+            return _sent(keys, np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)]), counts)
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -104,6 +224,12 @@ def _write(folder: str, name: str, **arrays: np.ndarray) -> None:
         os.replace(f"{aside}.npy", f"{folder}/{name}.{kind}.npy")
 
 
+def _thin(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of numbers, the first of each the largest, as bytes; those that don't fit are kept aside with their places."""
+    wide = np.flatnonzero(values[:, 0] >= 255)
+    return {"small": np.minimum(values, 255).astype(np.uint8), "place": wide, "wide": values[wide].astype(np.int64)}
+
+
 def _by_word(keys: np.ndarray, words: np.ndarray, stats: np.ndarray):
     """Rows of (words, statistics) for the owners of the words; stats: (word, _STATS)."""
     p = target(tk.mix(words), len(keys))
@@ -127,14 +253,12 @@ def _shards(keys: np.ndarray, folder: str):
             pairs, counts = [], []
             for data, more, n in rows:
                 own = unpack_sorted(data)
-                c = np.ones(len(own), dtype=np.int64)
-                c[np.cumsum(np.frombuffer(more, np.uint16 if len(own) < 65536 else np.uint32), dtype=np.int64)] = np.frombuffer(n, np.uint32)
                 pairs.append(own)
-                counts.append(c)
+                counts.append(_counts_in(len(own), more, n))
             pairs, counts = np.concatenate(pairs), np.concatenate(counts)
             order = np.argsort(pairs, kind="stable")
             pairs, counts = _counted(pairs[order], counts[order])
-            _write(folder, f"pairs-{number[key]}", keys=pairs, counts=counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64))
+            _write(folder, f"pairs-{number[key]}", keys=pairs, **_thin(counts[:, None]))
             context, at = np.unique(pairs >> np.uint64(32), return_index=True)
             stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
             after, n = np.unique(pairs & np.uint64(0xFFFFFFFF), return_counts=True)
@@ -192,8 +316,10 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Model:
     """A model in a folder that all workers can map."""
 
-    def __init__(self, folder: str, shards: int, sums: np.ndarray):
-        self.folder, self.shards = folder, shards
+    def __init__(self, folder: str, shards: int, sums: np.ndarray, higher: np.ndarray):
+        """higher: counts of counts of each order from 3."""
+        self.folder, self.shards, self.order = folder, shards, 2 + len(higher)
+        self.discount = {k: discounts(n) for k, n in enumerate(higher, 3)}
         self.pair_discount, self.word_discount = discounts(sums[:4]), discounts(sums[4:8])
         self.size, self.total = int(sums[8]), int(sums[9])
         n1, n2 = sums[4], sums[5]
@@ -216,10 +342,10 @@ class Maps:
             self.files[at] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.files[at]
 
-    def _find(self, kind: str, part: str, keys: np.ndarray, width: int) -> np.ndarray:
-        """Rows of an array for ascending distinct keys, zeros for those that aren't there."""
+    def _find(self, kind: str, part: str, keys: np.ndarray, width: int, by: np.ndarray | None = None) -> np.ndarray:
+        """Rows of an array for ascending distinct keys, zeros for those that aren't there. by: what the shards go by, if not the keys."""
         out = np.zeros((len(keys), width), dtype=np.int64)
-        shard = target(tk.mix(keys.astype(np.uint64)), self.m.shards)
+        shard = target(tk.mix((keys if by is None else by).astype(np.uint64)), self.m.shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
@@ -230,11 +356,32 @@ class Maps:
             wanted = keys[rows].astype(own.dtype)
             at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
             same = np.asarray(own[at]) == wanted
-            out[rows[same]] = np.asarray(values[at[same]]).reshape(-1, width)
+            got = np.asarray(values[at[same]]).reshape(-1, width).astype(np.int64)
+            if part == "small" and (over := got[:, 0] == 255).any():
+                got[over] = self._file(kind, s, "wide")[np.searchsorted(self._file(kind, s, "place"), at[same][over])]
+            out[rows[same]] = got
         return out
 
-    def log_probabilities(self, pairs: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(word | context)."""
+    def log_probabilities(self, words: np.ndarray) -> np.ndarray:
+        """Natural logarithms of P(last word | the words before it) for n-grams of the model's order."""
+        p = self._of_pairs(words[-2].astype(np.uint64) << np.uint64(32) | words[-1])
+        for k in range(3, self.m.order + 1):
+            at = np.flatnonzero(words[-k] != NONE)
+            own = words[-k:, at]
+            context = _hashed(own[:-1])
+            distinct, first, back = np.unique(_hashed(own), return_index=True, return_inverse=True)
+            count = self._find(f"grams{k}", "small", distinct, 1, context[first])[back, 0]
+            distinct, back = np.unique(context, return_inverse=True)
+            p[at] = self._mixed(count, self._find(f"contexts{k}", "small", distinct, 4)[back], self.m.discount[k], p[at])
+        return np.log(p)
+
+    @staticmethod
+    def _mixed(count: np.ndarray, context: np.ndarray, discount: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        total = np.maximum(context[:, 0], 1)
+        weight = np.where(context[:, 0] > 0, context[:, 1:4] @ discount[1:] / total, 1.0)
+        return np.maximum(count - discount[np.minimum(count, 3)], 0) / total + weight * lower
+
+    def _of_pairs(self, pairs: np.ndarray) -> np.ndarray:
         m = self.m
         distinct, back = np.unique(pairs, return_inverse=True)
         context, word = distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)
@@ -242,12 +389,8 @@ class Maps:
         stats = self._find("words", "stats", words, _STATS)
         cont = stats[np.searchsorted(words, word), 4]
         lower = np.maximum(cont - m.word_discount[np.minimum(cont, 3)], 0) / max(m.total, 1) + m.uniform
-        count = self._find("pairs", "counts", distinct, 1)[:, 0]
-        ctx = stats[np.searchsorted(words, context)]
-        total = np.maximum(ctx[:, 0], 1)
-        weight = np.where(ctx[:, 0] > 0, ctx[:, 1:4] @ m.pair_discount[1:] / total, 1.0)
-        p = np.maximum(count - m.pair_discount[np.minimum(count, 3)], 0) / total + weight * lower
-        return np.log(p)[back]
+        count = self._find("pairs", "small", distinct, 1)[:, 0]
+        return self._mixed(count, stats[np.searchsorted(words, context)], m.pair_discount, lower)[back]
 
 
 def _local(folder: str) -> str:
@@ -263,16 +406,25 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 2) -> Model:
     """Counts every text of docs; rows with null or wordless texts add nothing. The model stays in the shared folder."""
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = _local(workspace(spark))
     keys = partition_keys(p := partitions(spark))
-    pairs = _texts(docs).select("text").where("text is not null").mapInArrow(tk.trimmed(_count(keys)), _PAIRS).repartition(p, "key")
-    stats = pairs.mapInArrow(tk.trimmed(_shards(keys, folder)), "key int, words binary, stats binary, many binary").repartition(p, "key")
+    texts = _texts(docs).select("text").where("text is not null")
+    rows = texts.mapInArrow(tk.trimmed(_count(keys) if order == 2 else _count_grams(keys, order)), _PAIRS if order == 2 else _GRAMS).repartition(p, "key")
+    for k in range(order, 2, -1):
+        rows = rows.mapInArrow(tk.trimmed(_level(keys, folder, k)), _PAIRS if k == 3 else _GRAMS).repartition(p, "key")
+    stats = rows.mapInArrow(tk.trimmed(_shards(keys, folder)), "key int, words binary, stats binary, many binary").repartition(p, "key")
     rows = stats.mapInArrow(tk.trimmed(_words(keys, folder)), "sums binary").collect()
-    return Model(folder, p, np.sum([np.frombuffer(bytes(r.sums), np.int64) for r in rows], axis=0) if rows else np.zeros(10, dtype=np.int64))
+    sums = np.sum([np.frombuffer(bytes(r.sums), np.int64) for r in rows], axis=0) if rows else np.zeros(10, dtype=np.int64)
+    higher = np.zeros((0, 4), dtype=np.int64)
+    if order > 2:
+        higher = np.frombuffer(bytes(spark.range(1).coalesce(1).mapInArrow(_many(folder, p, order), "sums binary").first().sums), np.int64).reshape(-1, 4)
+    return Model(folder, p, sums, higher)
 
 
 def _score(model: Model):
@@ -282,8 +434,8 @@ def _score(model: Model):
         maps = model.open()
         for batch in batches:
             for part in tk.slices(batch, "text", most):
-                pairs, text = _bigrams(part.column("text"))
-                logs = maps.log_probabilities(pairs)
+                words, text = _grams(part.column("text"), model.order)
+                logs = maps.log_probabilities(words)
                 n = np.bincount(text, minlength=part.num_rows)
                 total = np.bincount(text, logs, part.num_rows)
                 some = n > 0
@@ -302,10 +454,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return _texts(docs).mapInArrow(tk.trimmed(_score(model)), "doc_id long, n_tokens long, log_prob double, perplexity double")
 
 
-def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
+def op2_lm_scoring(spark, sf_dir: str, order: int = 2) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs))
+    return score(docs, train(docs, order))
 
 
-QUERIES = {"op2_lm_scoring": op2_lm_scoring}
+QUERIES = {"op2_lm_scoring": partial(op2_lm_scoring, order=ORDER)}
 ORACLE: dict[str, str] = {}

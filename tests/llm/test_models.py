@@ -66,6 +66,62 @@ def test_odd_documents_of_the_language_model(spark, odd, none):
     assert all(r.log_prob == 0 for r in empty)
 
 
+def brute_of_order(texts, order):
+    """As `brute`, for any order: plain counts for n-grams of that order and those that begin a text, else the number of words before."""
+    seq = lambda t: ["<s>", *WORD.findall(t.lower().encode()), "</s>"]
+    plain = [Counter() for _ in range(order + 1)]
+    for s in (seq(t) for t in texts if WORD.search(t.encode())):
+        for k in range(1, order + 1):
+            plain[k].update(tuple(s[i : i + k]) for i in range(len(s) - k + 1))
+    counts = [None, *(Counter() for _ in range(order))]
+    for k in range(1, order + 1):
+        if k < order:
+            counts[k].update(g[1:] for g in plain[k + 1])
+        counts[k].update({g: c for g, c in plain[k].items() if k == order or k > 1 and g[0] == "<s>"})
+    d = [None, *(K.discounts([sum(c == j for c in level.values()) for j in (1, 2, 3, 4)]) for level in counts[1:])]
+    by = [defaultdict(list) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            by[k][g[:-1]].append(c)
+
+    total = [{g: (sum(own), sum(d[k][min(c, 3)] for c in own)) for g, own in level.items()} for k, level in enumerate(by)]
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = 1 / (len(counts[1]) + 1) if k == 1 else p(context[1:], w)
+        if context not in total[k]:
+            return lower
+        c, (all_, free) = counts[k][*context, w], total[k][context]
+        return (max(c - d[k][min(c, 3)], 0) + free * lower) / all_
+
+    def log_prob(t):
+        s = seq(t)
+        return sum(math.log(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
+
+    return log_prob
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_as_counted_by_hand(spark, small, order):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id % 2 = 0")
+    texts = dict(docs.select("doc_id", "text").collect()) | {-1: "b zebra a", -2: "the"}
+    log_prob = brute_of_order([t for i, t in texts.items() if i >= 0], order)
+    model = K.train(docs, order)
+    new = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in K.score(new, model).collect():
+        assert math.isclose(r.log_prob, log_prob(texts[r.doc_id]) if r.n_tokens else 0, rel_tol=1e-9)
+
+
+def test_registered_order_sees_more_than_pairs(spark, odd, none, small):
+    assert K.QUERIES["op2_lm_scoring"].keywords["order"] >= 3
+    model = K.train(spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "d b e"] * 5)], "doc_id long, text string"), K.ORDER)
+    rows = {r.doc_id: r for r in K.score(spark.createDataFrame([(1, "a b c"), (2, "a b e")], "doc_id long, text string"), model).collect()}
+    assert rows[1].perplexity < rows[2].perplexity
+    rows = K.score(odd, K.train(odd, K.ORDER)).collect()
+    assert len(rows) == odd.count() and all(r.log_prob <= 0 for r in rows)
+    assert all(r.log_prob == 0 for r in K.score(odd, K.train(none, K.ORDER)).collect())
+
+
 @pytest.mark.parametrize("n", [(0, 0, 0, 0), (5, 0, 0, 0), (0, 3, 1, 0), (100, 40, 20, 11)])
 def test_discounts_stay_within_counts(n):
     d = K.discounts(n)
