@@ -8,8 +8,8 @@ documents need an overlap of at least T = ceil(threshold * size) with either set
    match share one of their rarest (shared - T + 1) n-grams; documents linked so form blocks.
 2. Within a block the lists of n-grams are searched by DivideSkip: the short lists of a query are
    merged, ids found there T - L times or more are looked up in the L long lists by binary search,
-   and those that reach the overlap are kept. Documents that match already through a third one are
-   not compared again; nothing else is skipped, and no list or candidate set is capped. A block beyond `BLOCK` documents is cut by
+   and those that reach the overlap are kept. For pairs (`near_pairs`) every document searches its whole block; for groups (`near_copies`)
+   documents that match already through a third one are not compared again. Nothing else is skipped, and no list or candidate set is capped. A block beyond `BLOCK` documents is cut by
    a hash of doc_id into parts; every pair of parts is searched, so any two documents meet in some task, and what the tasks find is joined.
 
 A group is a connected component of matching documents.
@@ -18,6 +18,8 @@ A group is a connected component of matching documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ N, THRESHOLD = 5, 0.4
 #: A block of more documents is searched as pairs of parts of about so many, each pair in a task of its own.
 BLOCK = 10_000
 _FLUSH = 1_000_000
+_PAIR_ROWS = 200_000
 _BLOCKS = "key int, docs binary, sizes binary, grams binary, owner binary"
 _DOCS = "doc_id long, size int, grams binary, counts binary"
 
@@ -316,20 +319,65 @@ def _search(threshold: float):
     return run
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """(doc_id, rep_id) for every document that has a near copy: rep_id is the least doc_id of its group.
+def _all_pairs(threshold: float):
+    """All matching pairs of a block; of a pair of different parts those across them, as each part is searched in a task of its own."""
 
-    The group's least document has no row. Words are those of `textkit.tokens`, so case, punctuation
-    and line breaks don't count. A text of 1 to n - 1 words is one n-gram; a text without words, a
-    null text and a row without doc_id match nothing. Rows that repeat a doc_id are one document, whose
-    n-grams are those of all of them. Other columns are not read. An empty table gives no rows.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        docs = table.column("doc_id").to_numpy()
+        order = np.argsort(docs, kind="stable")
+        docs, sizes, part = docs[order], table.column("size").to_numpy().astype(np.int64)[order], table.column("part").to_numpy()[order]
+        across = table.column("i")[0] != table.column("j")[0]
+        raw = table.column("grams").to_pylist()
+        grams = [np.sort(np.frombuffer(raw[i], np.uint64)) for i in order]
+        del raw, table
+        same: dict[tuple[int, bytes], int] = {}
+        members: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):  # equal sets: those of equal size whose shared n-grams are all of them
+            first = same.setdefault((int(sizes[i]), g.tobytes()), i) if len(g) == sizes[i] else i
+            members.setdefault(first, []).append(i)
+        del same
+        distinct = list(members)
+        index = Lists(np.concatenate([grams[i] for i in distinct]), np.repeat(distinct, [len(grams[i]) for i in distinct]))
+        needs, alike = _need(sizes, threshold), {i: np.array(m) for i, m in members.items()}
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, b, score = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = docs[a], docs[b]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score)], names=["doc_a", "doc_b", "jaccard"])
+
+        for i in distinct:
+            found, count = index.search(grams[i], int(needs[i]), lambda f, i=i: f <= i)
+            union = sizes[i] + sizes[found] - count
+            ok = count >= threshold * union - 1e-9
+            found, score = found[ok], count[ok] / union[ok]
+            other = np.concatenate([np.zeros(0, dtype=np.int64), *(alike[j] for j in found)])
+            score = np.repeat(score, [len(alike[j]) for j in found])
+            for k, a in enumerate(members[i]):
+                rest = alike[i][k + 1 :]
+                b, s = np.concatenate([rest, other]), np.concatenate([np.ones(len(rest)), score])
+                if across:
+                    b, s = b[part[b] != part[a]], s[part[b] != part[a]]
+                if len(b):
+                    held.append((np.full(len(b), a), b, s))
+                    size += len(b)
+                if size >= _PAIR_ROWS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _blocks(docs: DataFrame, threshold: float, n: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with their shared n-grams by block and pair of parts, the blocks that are cut into parts)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold is in (0, 1], n is 1 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     keys = partition_keys(p := partitions(spark))
-    folder = workspace(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     shared = texts.mapInArrow(tk.trimmed(_postings(n, keys)), _BLOCKS).repartition(p, "key").mapInArrow(tk.trimmed(_shared(keys)), "key int, docs binary, sizes binary, grams binary, lengths binary, counts binary")
     survivors = saved(shared.repartition(p, "key").mapInArrow(tk.trimmed(_survivors(threshold)), _DOCS), folder, "survivors")
@@ -340,8 +388,36 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     large = saved(blocks.groupBy("root").count().where(F.col("count") > BLOCK).select("root", parts.alias("parts")), folder, "large")
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
-    placed = blocks.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("doc_id", "root", F.explode(pairs).alias("pair"))
-    inside = survivors.select("doc_id", "size", "grams").join(placed.select("doc_id", "root", "pair.i", "pair.j"), "doc_id")
+    placed = blocks.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("doc_id", "root", part.alias("part"), F.explode(pairs).alias("pair"))
+    inside = survivors.select("doc_id", "size", "grams").join(placed.select("doc_id", "root", "part", "pair.i", "pair.j"), "doc_id")
+    return inside, large
+
+
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of every pair of documents whose index is `threshold` or more, doc_a < doc_b; each pair once.
+
+    Words, short and wordless texts, nulls, repeated rows and empty tables are as in `near_copies`. In a group of m copies there are
+    m (m - 1) / 2 rows.
+    """
+    spark = docs.sparkSession
+    folder = workspace(spark)
+    inside, _ = _blocks(docs, threshold, n, folder)
+    found = saved(inside.groupBy("root", "i", "j").applyInArrow(_all_pairs(threshold), "doc_a long, doc_b long, jaccard double"), folder, "pairs")
+    drop(spark, f"{folder}/survivors")
+    return found
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """(doc_id, rep_id) for every document that has a near copy: rep_id is the least doc_id of its group.
+
+    The group's least document has no row. Words are those of `textkit.tokens`, so case, punctuation
+    and line breaks don't count. A text of 1 to n - 1 words is one n-gram; a text without words, a
+    null text and a row without doc_id match nothing. Rows that repeat a doc_id are one document, whose
+    n-grams are those of all of them. Other columns are not read. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    folder = workspace(spark)
+    inside, large = _blocks(docs, threshold, n, folder)
     found = saved(inside.groupBy("root", "i", "j").applyInArrow(_search(threshold), "doc_id long, rep_id long"), folder, "found")
     if not large.isEmpty():
         joined = connected_components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("rep_id"))
@@ -365,9 +441,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataF
     return without(kept, repeated).select(*columns).unionByName(again.select(*columns).dropDuplicates(["doc_id"]))
 
 
-def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def op10_ngram_jaccard(spark, sf_dir: str, pairs: bool = False) -> DataFrame:
+    return (near_pairs if pairs else near_copies)(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {"op10_ngram_jaccard": partial(op10_ngram_jaccard, pairs=True)}
 ORACLE: dict[str, str] = {}

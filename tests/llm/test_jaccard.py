@@ -73,6 +73,38 @@ def test_test_documents(spark, small):
     assert got == brute(docs.select("doc_id", "text").collect(), jaccard.N, jaccard.THRESHOLD)
 
 
+def brute_pairs(rows, n, threshold):
+    sets = defaultdict(set)
+    for i, text in rows:
+        words = WORD.findall((text or "").lower().encode())
+        if i is not None and words:
+            sets[i] |= {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+    index = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    return {pair: x for pair, x in index.items() if x >= threshold - 1e-9}
+
+
+def pairs_of(frame):
+    rows = frame.collect()
+    assert len({(r.doc_a, r.doc_b) for r in rows}) == len(rows)
+    return {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in rows}
+
+
+@pytest.mark.parametrize("seed,threshold,block", [(1, 0.4, 10_000), (4, 1.0, 10_000), (5, 0.25, 10_000), (6, 0.4, 1), (7, 0.4, 3)])
+def test_all_pairs_of_brute_force(spark, monkeypatch, seed, threshold, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(seed)
+    rows += [(20_000 + i, text) for i, (_, text) in enumerate(rows[:20])]
+    got = pairs_of(jaccard.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), threshold, 5))
+    assert got == brute_pairs(rows, 5, threshold)
+
+
+def test_registered_pairs(spark, odd, none, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = pairs_of(jaccard.QUERIES["op10_ngram_jaccard"](spark, small))
+    assert got == brute_pairs(docs.select("doc_id", "text").collect(), jaccard.N, jaccard.THRESHOLD)
+    assert pairs_of(jaccard.near_pairs(odd)) == {(1, 2): 1.0} and jaccard.near_pairs(none).isEmpty()
+
+
 def test_many_copies_of_one_text(spark):
     rnd = random.Random(5)
     base = [f"w{rnd.randint(0, 400)}" for _ in range(120)]
