@@ -1,7 +1,7 @@
 """Language identification with bitmask n-gram filters.
 
 One Bloom filter for each language, bit-sliced: a slot holds one bit for each language, so the AND of an n-gram's slots is the set of
-all languages that (seem to) contain it, in one look-up however many languages there are. A text's n-grams are looked up,
+all languages that (seem to) contain it, in one look-up for every 64 languages, of which there may be any number. A text's n-grams are looked up,
 the bits counted by language, and the counts corrected for the false positives that each filter's fill implies.
 N-grams are runs of 4 bytes of the lower-cased text.
 """
@@ -66,20 +66,30 @@ def _with_rows(batch):
 
 
 class Filters:
-    """The bit-sliced filters: `masks` has a slot's languages as bits."""
+    """The bit-sliced filters: `masks` has a slot's languages as bits, in planes of 64 (rows of it) where there are more."""
 
     def __init__(self, languages: list[str], found: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
+        if len(languages) != len(found):
+            raise ValueError("each language has its n-grams")
         self.languages = languages
-        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
+        planes = -(-len(languages) // 64)
+        kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
         most = max([1, *map(len, found)])
         self.bits = max(10, int(np.ceil(np.log2(most * SLOTS_PER_GRAM))))
-        self.masks = np.zeros(1 << self.bits, dtype=kind)
+        self.masks = np.zeros((planes, 1 << self.bits) if planes > 1 else 1 << self.bits, dtype=kind)
         for i, g in enumerate(found):
             for slots in self.slots(g):
-                self.masks[slots] |= kind(1 << i)
-        self.false = np.array([(((self.masks >> kind(i)) & kind(1)).mean()) ** HASHES for i in range(len(languages))])
+                self._plane(self.masks, i)[slots] |= kind(1 << i % 64)
+        self.false = np.array([self.bit(self.masks, i).mean() ** HASHES for i in range(len(languages))])
+
+    @staticmethod
+    def _plane(mask: np.ndarray, i: int) -> np.ndarray:
+        return mask if mask.ndim == 1 else mask[i // 64]
+
+    def bit(self, mask: np.ndarray, i: int) -> np.ndarray:
+        """Language i's bits in masks."""
+        kind = self.masks.dtype.type
+        return ((self._plane(mask, i) >> kind(i % 64)) & kind(1)).astype(np.uint8)
 
     def slots(self, g: np.ndarray) -> list[np.ndarray]:
         h = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -90,9 +100,9 @@ class Filters:
 
     def languages_of(self, g: np.ndarray) -> np.ndarray:
         first, *others = self.slots(g)
-        mask = self.masks[first]
+        mask = self.masks[..., first]
         for slots in others:
-            mask = mask & self.masks[slots]
+            mask = mask & self.masks[..., slots]
         return mask
 
     def shares(self, g: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -102,27 +112,27 @@ class Filters:
         some = np.flatnonzero(n > 0)
         for i, f in enumerate(self.false):
             if len(some):
-                bit = ((mask >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)).astype(np.uint8)
-                hits = np.add.reduceat(bit, offs[:-1][some], dtype=np.int64)
+                hits = np.add.reduceat(self.bit(mask, i), offs[:-1][some], dtype=np.int64)
                 out[some, i] = np.maximum(hits / n[some] - f, 0) / (1 - f) if f < 1 else 0
         return out
 
 
 def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, share: float = MIN_GRAM_SHARE) -> Filters:
-    """Filters from the rows of docs that have text and lang; about `documents` of each language."""
-    labelled = docs.where("lang is not null and text is not null")
-    have = {r.lang: r.n for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
-    wanted = F.lit(0.0)
-    for lang, n in have.items():
-        wanted = F.when(F.col("lang") == lang, min(1.0, documents / n)).otherwise(wanted)
+    """Filters from the rows of docs that have text and lang; about `documents` of each language. Every distinct label is one, of any number."""
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    have = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    wanted = docs.sparkSession.createDataFrame([(lang, min(1.0, documents / n)) for lang, n in have.items()], "lang string, wanted double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = labelled.where(draw < wanted).select(F.col("lang").cast("string").alias("lang"), "text")
+    sample = labelled.join(F.broadcast(wanted), "lang").where(draw < F.col("wanted")).select("lang", "text")
     counts = sample.mapInArrow(tk.trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(total), "lang").where((F.col("n") >= F.col("total") * share) & ((F.col("n") > 1) | (F.col("total") < 10_000))).select("lang", "gram").toArrow()
     languages = sorted(have)
-    lang, gram = kept.column("lang").to_numpy(), kept.column("gram").to_numpy()
-    return Filters(languages, [gram[lang == x].astype(np.uint32) for x in languages])
+    lang = pc.index_in(kept.column("lang"), pa.array(languages, kept.schema.field("lang").type)).to_numpy()
+    order = np.argsort(lang, kind="stable")
+    gram = kept.column("gram").to_numpy().astype(np.uint32)[order]
+    cuts = np.searchsorted(lang[order], np.arange(len(languages) + 1))
+    return Filters(languages, [gram[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 def _decide(filters: Filters, least: float):

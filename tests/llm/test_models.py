@@ -161,3 +161,14 @@ def test_odd_documents_of_languages(spark, odd, none, small):
     assert {r.predicted for r in langid.identify(odd, langid.train(none)).collect()} == {"und"}
     with pytest.raises(ValueError):
         langid.Filters([str(i) for i in range(65)], [])
+
+
+def test_more_than_64_languages(spark):
+    """Each of 150 languages has letters of its own; the labels of all are found."""
+    word = lambda i: chr(0x4E00 + 7 * i) + chr(0x4E01 + 7 * i) + chr(0x4E02 + 7 * i)
+    rows = [(1000 * i + k, f"{word(i)} {word(i)}{word(i)} " * 5, f"l{i}") for i in range(150) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(docs)
+    assert len(filters.languages) == 150 and filters.masks.shape[0] == 3
+    found = langid.identify(docs, filters).collect()
+    assert len(found) == len(rows) and all(r.lang == r.predicted for r in found)
