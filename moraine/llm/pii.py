@@ -1,6 +1,6 @@
 """Personal identifiers and secrets by bootstrapped contextual extraction.
 
-Candidates are the places in a text that could hold an identifier. Strict recognisers (with check digits where a
+Candidates are the places in a text that could hold an identifier by their form, and what follows a label such as `key =` whatever its form. Strict recognisers (with check digits where a
 kind has them) take the seed entities. Every candidate carries lexical patterns: the word before it with the form of the value, a
 label before it such as `key =`, and the form alone. Spark scores the bipartite graph of patterns and values in
 rounds: a pattern by how far its values are known to be of a kind, a value that is no seed by its trusted patterns. Patterns of high confidence
@@ -9,6 +9,7 @@ so discover identifiers that no recogniser knows. A value that a recogniser refu
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -20,7 +21,6 @@ from .exchange import saved, workspace
 
 ROUNDS, TRUST, SUPPORT, ACCEPT, SMOOTH = 3, 0.7, 3, 0.7, 1.0
 MODEL_ROWS = 200_000
-HINT = r"[0-9@]|AKIA[A-Z]{16}"
 
 #: A run of characters is entered at its beginning only and never given back, so the time is linear in the text, whatever is in it.
 CANDIDATE = re.compile(
@@ -36,6 +36,11 @@ CANDIDATE = re.compile(
     """,
     re.X,
 )
+#: IBANs in groups of four, IPv6 and MAC addresses: taken where they are valid, before the candidates above.
+_GROUPED = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w)")
+_ADDRESS = re.compile(r"(?<![\w:.-])(?:[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![\w:-])|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))")
+#: What follows a label, whatever its form.
+_LABELLED = re.compile(r"""(?<![A-Za-z_-])([A-Za-z_-]{2,}+)[ ]?([:=])[ ]?["']?([^\s"'<>,;]++)""")
 _LABEL = re.compile(r"""([A-Za-z_-]{2,20})[ ]?[:=][ ]?["']?$""")
 _SECRET = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|auth|credential)s?$")
 _WORD = re.compile(r"([^\W\d_]+)\W*$")
@@ -47,9 +52,32 @@ def _luhn(digits: str) -> bool:
 
 
 def _iban(value: str) -> bool:
+    value = value.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _address(value: str) -> str | None:
+    if re.fullmatch(r"\w\w([:-]\w\w){5}", value):
+        return "MAC"
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    return "IP" if len(value) >= 6 and re.search(r"\d", value) else None
+
+
+def _certain(text: str) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of IBANs in groups and of IPv6 and MAC addresses."""
+    out = []
+    for m in _GROUPED.finditer(text):
+        value = m.group()
+        while len(value) > 14 and not _iban(value):  # a word after it may look like a group
+            value = value[: value.rfind(" ")] if " " in value else ""
+        if len(value.replace(" ", "")) >= 15:
+            out.append((m.start(), m.start() + len(value), "IBAN"))
+    return out + [(*m.span(), kind) for m in _ADDRESS.finditer(text) if (kind := _address(m.group()))]
+
+
 def recognise(value: str, label: str | None) -> tuple[str | None, bool]:
     """(kind of a seed or None, whether the value is refuted)."""
     if "@" in value:
@@ -60,7 +88,7 @@ def recognise(value: str, label: str | None) -> tuple[str | None, bool]:
     if re.fullmatch(r"AKIA[0-9A-Z]{16}", value) or label and _SECRET.search(label):
         return "SECRET", False
     if re.fullmatch(r"[\d -]+", value) and 13 <= len(digits) <= 19:
-        return ("CARD", False) if digits[0] in "3456" and _luhn(digits) else (None, True)
+        return ("CARD", False) if (digits[0] in "3456" or 2221 <= int(digits[:4]) <= 2720) and _luhn(digits) else (None, True)
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
         return ("SSN", False) if value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" else (None, True)
     if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", value):
@@ -83,22 +111,51 @@ def form(value: str) -> str:
 
 def candidates(text: str) -> list[tuple[int, int, str, str | None, bool, list[str]]]:
     """(begin, end, value, seed kind, refuted, patterns) of each candidate; places count characters."""
+    taken: list[tuple[int, int, str | None, bool | None]] = [(b, e, kind, False) for b, e, kind in _certain(text)]
+    labelled = []
+    for m in _LABELLED.finditer(text):
+        value = m.group(3).rstrip(".,:)]}?")
+        if len(value) < 2 or value.startswith("//"):
+            continue
+        span = m.start(3), m.start(3) + len(value)
+        # letters alone after a colon may be prose: a candidate, but no seed
+        if _SECRET.search(m.group(1)) and (m.group(2) == "=" or not value.isalpha()):
+            taken.append((*span, None if "@" not in value or recognise(value, None)[0] else "SECRET", None))
+        else:
+            labelled.append((*span, None, False))
+    taken = _apart([], taken)
+    taken = _apart(taken, [(*m.span(), None, None) for m in CANDIDATE.finditer(text)])
     out = []
-    for m in CANDIDATE.finditer(text):
-        value, before = m.group(), text[max(0, m.start() - 40) : m.start()]
+    for begin, end, kind, refuted in _apart(taken, labelled):
+        value, before = text[begin:end], text[max(0, begin - 40) : begin]
         at = _LABEL.search(before)
         label = at.group(1).lower() if at else None
-        kind, refuted = recognise(value, label)
+        if kind is None and refuted is None:
+            kind, refuted = recognise(value, label)
         shape = form(value)
-        patterns = [f"form {shape}"]
+        patterns = [f"form {shape}"] if refuted is not False or not value.isalpha() else []
         if label:
             patterns += [f"label {label}", f"label {label} {shape}"]
         elif word := _WORD.search(before):
             patterns.append(f"word {word.group(1).lower()} {shape}")
-        out.append((m.start(), m.end(), value, kind, refuted, patterns))
+        out.append((begin, end, value, kind, bool(refuted), patterns))
     return out
 
 
+def _apart(first: list[tuple], more: list[tuple]) -> list[tuple]:
+    """The spans of first and those of more that overlap none before them, by place."""
+    out, last = [], 0
+    blocked = sorted(first, key=lambda x: x[:2])
+    k = 0
+    for span in sorted(more, key=lambda x: x[:2]):
+        while k < len(blocked) and blocked[k][1] <= span[0]:
+            k += 1
+        if span[0] >= last and (k == len(blocked) or blocked[k][0] >= span[1]):
+            out.append(span)
+            last = span[1]
+    return sorted([*first, *out], key=lambda x: x[:2])
+
+
 _CANDIDATES = "doc_id long, text_id long, begin int, end int, value string, seed string, refuted boolean, patterns array<string>"
 
 
@@ -114,7 +171,7 @@ def _scan(batches):
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string").alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), text).where(F.col("text").rlike(HINT))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), text).where("text is not null")
 
 
 def learn(found: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
@@ -203,14 +260,14 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with each identifier replaced by its kind in brackets and `n_chars` the new length; every row and column stays.
 
     The trusted patterns go to the tasks where they are few (at most `MODEL_ROWS`, checked), so that no text is moved; beyond that
-    the places found are joined to the documents that have any. Rows without candidates never leave the JVM.
+    the places found are joined to the documents that have any. Rows without a text never leave the JVM.
     """
     spark = docs.sparkSession
     folder = workspace(spark)
     found = saved(_texts(docs).mapInArrow(tk.trimmed(_scan), _CANDIDATES), folder, "candidates")
     patterns = learn(found, folder)
     typed = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in docs.columns else docs
-    hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    hit = F.col("text").isNotNull()
     rest, some = typed.where(~hit), typed.where(hit)
     if patterns.count() <= MODEL_ROWS:
         model: dict[str, list[tuple[str, float]]] = {}

@@ -23,6 +23,31 @@ def test_secrets_by_label():
     assert got('password=e3b3ed3cc8548923d6 and token = "0641917ea4e9feb9cda83477b57ac2654884f485"') == {("e3b3ed3cc8548923d6", "SECRET"), ("0641917ea4e9feb9cda83477b57ac2654884f485", "SECRET")}
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("GB82 WEST 1234 5698 7654 32", "IBAN"), ("ES91 2100 0418 4502 0005 1332", "IBAN"), ("2223003122003222", "CARD"), ("2001:db8:85a3::8a2e:370:7334", "IP"), ("fe80::1ff:fe23:4567:890a", "IP"),
+    ("00:1B:44:11:3A:B7", "MAC"), ("00-1b-44-11-3a-b7", "MAC"),
+])
+def test_seeds_of_other_forms(text, kind):
+    for around in ("{}", "see {} there", "see {} AND", "see {}. Then", "({}),", "line\n{}\nline"):
+        assert got(around.format(text)) == {(text, kind)}
+
+
+@pytest.mark.parametrize("text,value", [("password = correcthorsebattery here", "correcthorsebattery"), ("my password=P@55w0rd!", "P@55w0rd!"), ("api_key='ab!4111111111111111'", "ab!4111111111111111"), ("secret=a@b.c1!x.", "a@b.c1!x")])
+def test_secrets_of_any_form(text, value):
+    assert got(text) == {(value, "SECRET")}
+
+
+@pytest.mark.parametrize("text", ["at 12:30:45 std::sort", "The secret: nobody came", "2220003122003222", "GB82 WEST 1234 5698 7654 33"])
+def test_other_forms_of_none(text):
+    assert got(text) == set()
+
+
+def test_texts_of_letters_are_read(spark):
+    docs = spark.createDataFrame([(1, "password = correcthorsebattery")], "doc_id long, text string")
+    assert [r.text for r in pii.redact(docs).collect()] == ["password = [SECRET]"]
+    assert got("url=http://x/?email=a@b.org") == {("a@b.org", "EMAIL")}
+
+
 def test_neighbours_stay_apart():
     text = "+1 (826) 555-4081 190.137.223.204 4111111111111111 +1 (043) 555-0001 a@b.org"
     assert {k for _, k in got(text)} == {"PHONE", "IP", "CARD", "EMAIL"} and len(got(text)) == 5
