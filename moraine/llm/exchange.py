@@ -93,10 +93,22 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/moraine-{uuid.uuid4().hex}"
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cuts lineage: writes a table to the shared folder and reads it back."""
+    """Cuts lineage: writes a table to the shared folder and reads it back. The shuffle files of the job go with its end, not when the driver
+    happens to collect its garbage; the setting for that is the session's own again afterwards."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.select("*").write.mode("overwrite").parquet(f"{folder}/{name}")
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 

@@ -4,14 +4,19 @@ Two documents match if the Jaccard index of their sets of word n-grams reaches `
 documents need an overlap of at least T = ceil(threshold * size) with either set, which is used twice:
 
 1. Over all documents, as shuffles of packed arrays. The n-grams are counted exactly; a document of
-   which fewer than T n-grams occur anywhere else can match nothing and goes. Of the others, two that
-   match share one of their rarest (shared - T + 1) n-grams; documents linked so form blocks.
-2. Within a block the lists of n-grams are searched by DivideSkip: the short lists of a query are
-   merged, ids found there T - L times or more are looked up in the L long lists by binary search,
-   and those that reach the overlap are kept. For pairs (`near_pairs`) every document searches its whole block; for groups (`near_copies`)
-   documents that match already through a third one are not compared again. Nothing else is skipped, and no list or candidate set is capped. A block beyond `BLOCK` documents is cut by
-   a hash of doc_id into parts; every pair of parts is searched, so any two documents meet in some task, and what the tasks find is joined.
-
+   which fewer than T n-grams occur anywhere else can match nothing and goes. Documents with equal sets
+   go on as one. Every other has a home, by the least hash of its n-grams, so that most near copies
+   share theirs. Of the documents that go on, two that match share one of their rarest (shared - T + 1)
+   n-grams: the task that owns such an n-gram sends its documents to the other homes that it occurs in,
+   unless sizes or the n-grams left after it rule out a match with all documents there.
+2. Within a home the lists of its documents' n-grams are searched by DivideSkip, with each of them and with every visitor:
+   the short lists of a query are merged, ids found there T - L times or more are looked up in the L long
+   lists by binary search, and those that reach the overlap are kept. For pairs (`near_pairs`) every
+   document searches; for groups (`near_copies`) documents that match already through a third one are
+   not compared again. Nothing else is skipped, and no list or candidate set is capped. A home of more
+   than `BLOCK` documents or `BLOCK_GRAMS` n-grams is cut by a hash of doc_id; its documents visit the other parts.
+
+So the work follows the documents and the homes that each could have a match in, not the size of a chain of documents that share something.
 A group is a connected component of matching documents.
 """
 
@@ -24,39 +29,43 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .components import connected_components, forest
+from .components import connected_components
 from .exchange import binary, bounded_batches, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, without, workspace
 
 N, THRESHOLD = 5, 0.4
-#: A block of more documents is searched as pairs of parts of about so many, each pair in a task of its own.
-BLOCK = 10_000
+#: The most documents and n-grams that a task indexes, about: a home of more is cut into parts that are searched in tasks of their own.
+BLOCK, BLOCK_GRAMS = 10_000, 4_000_000
 _FLUSH = 1_000_000
 _PAIR_ROWS = 200_000
 _BLOCKS = "key int, docs binary, sizes binary, grams binary, owner binary"
-_DOCS = "doc_id long, size int, grams binary, counts binary"
+_PROBES = "key int, docs binary, sizes binary, homes binary, grams binary, owner binary, left binary"
+_DOCS = "doc_id long, size int, grams binary, home long, sig long"
 
 
 def _need(size, threshold: float):
     return np.maximum(1, np.ceil(threshold * size - 1e-9)).astype(np.int64)
 
 
-def _block(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-    """Cuts postings into one row for each partition; owner: index into docs."""
+def _block(keys: np.ndarray, docs: np.ndarray, of_docs: dict[str, np.ndarray], grams: np.ndarray, owner: np.ndarray, left: np.ndarray | None = None) -> pa.RecordBatch:
+    """Cuts postings into one row for each partition; of_docs: what is sent with each document, owner: index into docs."""
     p = target(grams, len(keys))
     order = np.lexsort((grams, p))
     grams, owner, p = grams[order], owner[order], p[order]
+    left = None if left is None else left[order].astype(np.int32)
     cuts = np.searchsorted(p, np.arange(len(keys) + 1))
     rows = []
     for k in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[k], cuts[k + 1]
         used, local = np.unique(owner[a:b], return_inverse=True)
         small = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-        rows.append((int(keys[k]), docs[used].tobytes(), sizes[used].astype(np.int32).tobytes(), pack_sorted(grams[a:b]), small.tobytes()))
+        rows.append((int(keys[k]), docs[used].tobytes(), *(x[used].astype(np.int32).tobytes() for x in of_docs.values()), pack_sorted(grams[a:b]), small.tobytes(), *([] if left is None else [left[a:b].tobytes()])))
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=["key", "docs", "sizes", "grams", "owner"])
+    names = ["key", "docs", *of_docs, "grams", "owner", *([] if left is None else ["left"])]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=names)
 
 
 def _postings(n: int, keys: np.ndarray):
@@ -65,7 +74,7 @@ def _postings(n: int, keys: np.ndarray):
 
         def flush():
             d, s, g, o = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _block(keys, d, s, g, o)
+            return _block(keys, d, {"sizes": s}, g, o)
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -85,7 +94,7 @@ def _postings(n: int, keys: np.ndarray):
 
 
 def _read_blocks(batches) -> tuple[np.ndarray, ...] | None:
-    """(documents, their sizes, n-grams, document number of each): distinct postings by n-gram and document."""
+    """(documents, the least size of their rows, n-grams, document number of each): distinct postings by n-gram and document."""
     docs, sizes, grams, owners = [], [], [], []
     for batch in batches:
         for d, s, g, o in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -96,8 +105,10 @@ def _read_blocks(batches) -> tuple[np.ndarray, ...] | None:
             owners.append(np.frombuffer(o, np.uint16 if len(o) == 2 * len(g) else np.uint32))
     if not docs:
         return None
-    known, first = np.unique(np.concatenate(docs), return_index=True)
-    size = np.concatenate(sizes)[first]
+    known, back = np.unique(np.concatenate(docs), return_inverse=True)
+    size = np.full(len(known), np.iinfo(np.int32).max, dtype=np.int32)
+    np.minimum.at(size, back, np.concatenate(sizes))
+    del back
     owner = np.concatenate([np.searchsorted(known, d).astype(np.uint32)[o] for d, o in zip(docs, owners, strict=True)])
     del docs, sizes, owners
     gram = np.concatenate(grams)
@@ -145,7 +156,8 @@ def _shared(keys: np.ndarray):
 
 
 def _survivors(threshold: float):
-    """Documents with enough shared n-grams to match any other, their n-grams from the rarest on."""
+    """Documents with enough shared n-grams to match any other, their n-grams from the rarest on, their home (by the least n-gram) and a
+    signature of the set."""
 
     def run(batches):
         parts = []
@@ -159,41 +171,79 @@ def _survivors(threshold: float):
         order = np.lexsort((grams, count, docs))
         docs, sizes, grams, count = docs[order], sizes[order], grams[order], count[order]
         cuts = _runs(docs)
-        ok = np.flatnonzero(np.diff(cuts) >= _need(sizes[cuts[:-1]], threshold))
+        least = np.minimum.reduceat(sizes, cuts[:-1])
+        home = tk.mix(np.minimum.reduceat(grams, cuts[:-1])).view(np.int64)
+        sig = np.add.reduceat(tk.mix(grams), cuts[:-1]).view(np.int64)
+        ok = np.flatnonzero(np.diff(cuts) >= _need(least, threshold))
         for at in range(0, len(ok), 2000):
             some = ok[at : at + 2000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[cuts[some]]), pa.array(sizes[cuts[some]]), binary([grams[cuts[i] : cuts[i + 1]].tobytes() for i in some]), binary([count[cuts[i] : cuts[i + 1]].tobytes() for i in some])],
-                names=["doc_id", "size", "grams", "counts"],
+                [pa.array(docs[cuts[some]]), pa.array(least[some]), binary([grams[cuts[i] : cuts[i + 1]].tobytes() for i in some]), pa.array(home[some]), pa.array(sig[some])],
+                names=["doc_id", "size", "grams", "home", "sig"],
             )
 
     return run
 
 
 def _prefixes(threshold: float, keys: np.ndarray):
-    """Each survivor's rarest n-grams, of which two that match must share one."""
+    """Each survivor's rarest n-grams, of which two that match must share one, with how many of its n-grams are left from there on."""
 
     def run(batches):
         for batch in batches:
-            docs, sizes = batch.column("doc_id").to_numpy(), batch.column("size").to_numpy()
+            docs, sizes, homes = (batch.column(c).to_numpy() for c in ("doc_id", "size", "home"))
             grams = [np.frombuffer(g, np.uint64) for g in batch.column("grams").to_pylist()]
-            grams = [g[: len(g) - need + 1] for g, need in zip(grams, _need(sizes, threshold), strict=True)]
-            if grams:
-                yield _block(keys, docs, sizes, np.concatenate(grams), np.repeat(np.arange(len(docs)), [len(g) for g in grams]))
+            length = np.array([len(g) for g in grams], dtype=np.int64)
+            most = np.maximum(length - _need(sizes, threshold) + 1, 0)
+            if most.sum():
+                owner = np.repeat(np.arange(len(docs)), most)
+                left = length[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(most) - most, most))
+                yield _block(keys, docs, {"sizes": sizes, "homes": homes}, np.concatenate([g[:n] for g, n in zip(grams, most, strict=True)]), owner, left)
 
     return run
 
 
-def _links(batches):
-    got = _read_blocks(batches)
-    if got is None:
-        return
-    known, _, grams, owner = got
-    docs = known[owner]
-    cuts = _runs(grams)
-    first = np.repeat(docs[cuts[:-1]], np.diff(cuts))
-    u, v = forest(docs[docs != first], first[docs != first])
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def _visits(threshold: float):
+    """(document, home) for the homes beyond a document's own in which one of its rarest n-grams occurs in a document that could match it."""
+
+    def run(batches):
+        parts, seen = [], 0
+        for batch in batches:
+            for d, s, h, g, o, n in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+                g = unpack_sorted(g)
+                o = np.frombuffer(o, np.uint16 if len(o) == 2 * len(g) else np.uint32)
+                parts.append((np.frombuffer(d, np.int64), np.frombuffer(s, np.int32), np.frombuffer(h, np.int32), g, o.astype(np.int64) + seen, np.frombuffer(n, np.int32)))
+                seen += len(d) // 8
+        if not parts:
+            return
+        docs, sizes, homes, grams, owner, left = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((homes[owner], grams))
+        grams, owner, left = grams[order], owner[order], left[order]
+        home, size = homes[owner], sizes[owner].astype(np.float64)
+        new = np.ones(len(grams), dtype=bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (home[1:] != home[:-1])
+        at = np.flatnonzero(new)  # the documents of one home with the n-gram, together
+        group = np.cumsum(new) - 1
+        of_run = grams[at]
+        least, largest, most = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(left, at)
+        last = np.searchsorted(of_run, of_run, "right")[group]
+        count = last - group - 1  # the homes after its own
+        pairs = np.zeros(0, dtype=np.int64)
+        width = int(homes.max()) + 1
+        step = np.cumsum(count) // _FLUSH
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(count)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            n = count[a:b]
+            i = np.repeat(np.arange(a, b), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + group[i] + 1
+            bound = threshold / (1 + threshold) * (size[i] + np.maximum(least[j], threshold * size[i]))
+            ok = (largest[j] >= threshold * size[i] - 1e-9) & (least[j] * threshold <= size[i] + 1e-9) & (np.minimum(left[i], most[j]) >= bound - 1e-6)
+            pairs = np.union1d(pairs, owner[i[ok]] * width + home[at[j[ok]]])
+        for k in range(0, len(pairs), 100_000):
+            some = pairs[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[some // width]), pa.array((some % width).astype(np.int32))], names=["doc_id", "part"])
+
+    return run
 
 
 class Lists:
@@ -305,41 +355,37 @@ def _distinct(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[new], owner[new]
 
 
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(documents in ascending order, sizes, sorted n-grams, whether each is at home)."""
+    docs = table.column("doc_id").to_numpy()
+    order = np.argsort(docs, kind="stable")
+    raw = table.column("grams").to_pylist()
+    return docs[order], table.column("size").to_numpy().astype(np.int64)[order], [np.sort(np.frombuffer(raw[i], np.uint64)) for i in order], table.column("member").to_numpy()[order]
+
+
 def _search(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        docs, sizes = table.column("doc_id").to_numpy(), table.column("size").to_numpy().astype(np.int64)
-        order = np.argsort(docs, kind="stable")
-        raw = table.column("grams").to_pylist()
-        grams = [np.sort(np.frombuffer(raw[i], np.uint64)) for i in order]
-        docs = docs[order]
-        first = docs[_groups_of(docs, sizes[order], grams, threshold)]
+        docs, sizes, grams, _ = _unpacked(table)
+        first = docs[_groups_of(docs, sizes, grams, threshold)]
         other = first != docs
-        return pa.table({"doc_id": pa.array(docs[other]), "rep_id": pa.array(first[other])})
+        return pa.table({"u": pa.array(docs[other]), "v": pa.array(first[other])})
 
     return run
 
 
 def _all_pairs(threshold: float):
-    """All matching pairs of a block; of a pair of different parts those across them, as each part is searched in a task of its own."""
+    """All matching pairs within a part of a home and between it and its visitors; visitors meet each other elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        docs = table.column("doc_id").to_numpy()
-        order = np.argsort(docs, kind="stable")
-        docs, sizes, part = docs[order], table.column("size").to_numpy().astype(np.int64)[order], table.column("part").to_numpy()[order]
-        across = table.column("i")[0] != table.column("j")[0]
-        raw = table.column("grams").to_pylist()
-        grams = [np.sort(np.frombuffer(raw[i], np.uint64)) for i in order]
-        del raw, table
-        same: dict[tuple[int, bytes], int] = {}
-        members: dict[int, list[int]] = {}
-        for i, g in enumerate(grams):  # equal sets: those of equal size whose shared n-grams are all of them
-            first = same.setdefault((int(sizes[i]), g.tobytes()), i) if len(g) == sizes[i] else i
-            members.setdefault(first, []).append(i)
-        del same
-        distinct = list(members)
-        index = Lists(np.concatenate([grams[i] for i in distinct]), np.repeat(distinct, [len(grams[i]) for i in distinct]))
-        needs, alike = _need(sizes, threshold), {i: np.array(m) for i, m in members.items()}
+        inside = table.column("chunk")[0].as_py() == 0  # of several tasks with the same part, the one that compares its own documents
+        docs, sizes, grams, member = _unpacked(table)
+        del table
+        own = np.flatnonzero(member)
+        if not len(own):
+            return
+        index = Lists(np.concatenate([grams[i] for i in own]), np.repeat(own, [len(grams[i]) for i in own]))
+        needs = _need(sizes, threshold)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -347,50 +393,76 @@ def _all_pairs(threshold: float):
             a, b = docs[a], docs[b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score)], names=["doc_a", "doc_b", "jaccard"])
 
-        for i in distinct:
-            found, count = index.search(grams[i], int(needs[i]), lambda f, i=i: f <= i)
+        for i in range(len(docs)) if inside else np.flatnonzero(~member):
+            found, count = index.search(grams[i], int(needs[i]), (lambda f, i=i: f <= i) if member[i] else None)
             union = sizes[i] + sizes[found] - count
             ok = count >= threshold * union - 1e-9
-            found, score = found[ok], count[ok] / union[ok]
-            other = np.concatenate([np.zeros(0, dtype=np.int64), *(alike[j] for j in found)])
-            score = np.repeat(score, [len(alike[j]) for j in found])
-            for k, a in enumerate(members[i]):
-                rest = alike[i][k + 1 :]
-                b, s = np.concatenate([rest, other]), np.concatenate([np.ones(len(rest)), score])
-                if across:
-                    b, s = b[part[b] != part[a]], s[part[b] != part[a]]
-                if len(b):
-                    held.append((np.full(len(b), a), b, s))
-                    size += len(b)
-                if size >= _PAIR_ROWS:
-                    yield flush()
-                    held, size = [], 0
+            if ok.any():
+                held.append((np.full(int(ok.sum()), i), found[ok], count[ok] / union[ok]))
+                size += len(held[-1][0])
+            if size >= _PAIR_ROWS:
+                yield flush()
+                held, size = [], 0
         if size:
             yield flush()
 
     return run
 
 
+def _sizes_of_repeated(texts: DataFrame, n: int, folder: str) -> DataFrame | None:
+    """(doc_id, size) of the documents that several rows make up, where there are any: how many n-grams those have together."""
+    ids = saved(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
+    if ids.isEmpty():
+        return None
+
+    def grams(batches):
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                g, text = tk.unique_per_text(*tk.ngrams(*tk.tokens(part.column("text")), n))
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_numpy()[text]), pa.array(g.view(np.int64))], names=["doc_id", "gram"])
+
+    rows = texts.join(ids, "doc_id", "left_semi").mapInArrow(tk.trimmed(grams), "doc_id long, gram long")
+    return saved(rows.distinct().groupBy("doc_id").agg(F.count("*").cast("int").alias("exact")), folder, "exact")
+
+
 def _blocks(docs: DataFrame, threshold: float, n: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with their shared n-grams by block and pair of parts, the blocks that are cut into parts)."""
+    """(documents with their shared n-grams by part of a home, as members and as visitors; (u, v): documents u with the same set as v)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold is in (0, 1], n is 1 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     keys = partition_keys(p := partitions(spark))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    exact = _sizes_of_repeated(texts, n, folder)
     shared = texts.mapInArrow(tk.trimmed(_postings(n, keys)), _BLOCKS).repartition(p, "key").mapInArrow(tk.trimmed(_shared(keys)), "key int, docs binary, sizes binary, grams binary, lengths binary, counts binary")
     survivors = saved(shared.repartition(p, "key").mapInArrow(tk.trimmed(_survivors(threshold)), _DOCS), folder, "survivors")
-    links = survivors.mapInArrow(tk.trimmed(_prefixes(threshold, keys)), _BLOCKS).repartition(p, "key").mapInArrow(tk.trimmed(_links), "u long, v long")
-    blocks = connected_components(links)
-    blocks = saved(blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "doc_id"), folder, "blocks")
-    parts = F.ceil(F.col("count") / BLOCK).cast("int")
-    large = saved(blocks.groupBy("root").count().where(F.col("count") > BLOCK).select("root", parts.alias("parts")), folder, "large")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
-    placed = blocks.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("doc_id", "root", part.alias("part"), F.explode(pairs).alias("pair"))
-    inside = survivors.select("doc_id", "size", "grams").join(placed.select("doc_id", "root", "part", "pair.i", "pair.j"), "doc_id")
-    return inside, large
+    if exact is not None:
+        sized = survivors.join(exact, "doc_id", "left").withColumn("size", F.coalesce("exact", "size")).drop("exact")
+        survivors = saved(sized.select(*(c.split()[0] for c in _DOCS.split(", "))), folder, "sized")
+
+    same = survivors.where(F.length("grams") == 8 * F.col("size")).select("doc_id", "size", "sig", "home")
+    first = same.groupBy("size", "sig", "home").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = saved(same.join(first, ["size", "sig", "home"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"), folder, "copies")
+
+    total = survivors.agg(F.count("*"), F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()
+    width = min(1 << 30, max(p, math.ceil(4 * total[0] / BLOCK), math.ceil(total[1] / 2 / BLOCK_GRAMS)))
+    homed = survivors.withColumn("home", F.pmod("home", F.lit(width)).cast("int"))
+    visits = homed.mapInArrow(tk.trimmed(_prefixes(threshold, keys)), _PROBES).repartition(p, "key").mapInArrow(tk.trimmed(_visits(threshold)), "doc_id long, part int").distinct()
+    light = homed.select("doc_id", F.col("home").alias("part"), (F.length("grams") / 8).alias("weight"), F.lit(True).alias("member"))
+    visits = visits.join(light.select("doc_id", "weight"), "doc_id").select("doc_id", "part", "weight", F.lit(False).alias("member"))
+    placed = light.unionByName(visits).join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
+    placed = saved(placed, folder, "placed")
+
+    many = lambda who: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(who) / BLOCK, F.sum(F.when(who, F.col("weight"))) / BLOCK_GRAMS))).cast("int")
+    cut = placed.groupBy("part").agg(many(F.col("member")).alias("subs"), many(~F.col("member")).alias("chunks"))
+    draw = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    rows = placed.join(cut, "part").withColumn("own", F.when(F.col("member"), draw(F.col("subs"))))
+    # a member is in its own part in every task of it, and visits those before; a visitor is in one task of every part
+    spots = F.transform(F.sequence(F.lit(0), F.coalesce("own", F.col("subs") - 1)), lambda s: F.struct(s.alias("sub"), F.coalesce(s == F.col("own"), F.lit(False)).alias("member")))
+    rows = rows.select("doc_id", "part", "chunks", F.explode(spots).alias("spot"))
+    tasks = F.when(F.col("spot.member"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(draw(F.col("chunks"))))
+    rows = rows.select("doc_id", "part", "spot.sub", "spot.member", F.explode(tasks).alias("chunk"))
+    return homed.select("doc_id", "size", "grams").join(rows, "doc_id"), copies
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -401,10 +473,16 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Dat
     """
     spark = docs.sparkSession
     folder = workspace(spark)
-    inside, _ = _blocks(docs, threshold, n, folder)
-    found = saved(inside.groupBy("root", "i", "j").applyInArrow(_all_pairs(threshold), "doc_a long, doc_b long, jaccard double"), folder, "pairs")
+    inside, copies = _blocks(docs, threshold, n, folder)
+    found = saved(inside.groupBy("part", "sub", "chunk").applyInArrow(_all_pairs(threshold), "doc_a long, doc_b long, jaccard double"), folder, "pairs")
     drop(spark, f"{folder}/survivors")
-    return found
+    if copies.isEmpty():
+        return found
+    sets = copies.unionByName(copies.select(F.col("v").alias("u"), "v").distinct())
+    a, b = (sets.select(F.col("v").alias(f"v{x}"), F.col("u").alias(f"u{x}")) for x in "ab")
+    wide = found.join(a, F.col("doc_a") == F.col("va"), "left").join(b, F.col("doc_b") == F.col("vb"), "left").select(F.coalesce("ua", "doc_a").alias("x"), F.coalesce("ub", "doc_b").alias("y"), "jaccard")
+    alike = a.join(b, F.col("va") == F.col("vb")).where("ua < ub").select(F.col("ua").alias("x"), F.col("ub").alias("y"), F.lit(1.0).alias("jaccard"))
+    return wide.unionByName(alike).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -417,28 +495,28 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     """
     spark = docs.sparkSession
     folder = workspace(spark)
-    inside, large = _blocks(docs, threshold, n, folder)
-    found = saved(inside.groupBy("root", "i", "j").applyInArrow(_search(threshold), "doc_id long, rep_id long"), folder, "found")
-    if not large.isEmpty():
-        joined = connected_components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("rep_id"))
-        found = saved(joined, folder, "joined")
+    inside, copies = _blocks(docs, threshold, n, folder)
+    found = saved(inside.groupBy("part", "sub", "chunk").applyInArrow(_search(threshold), "u long, v long"), folder, "found")
     drop(spark, f"{folder}/survivors")
-    return found
+    return connected_components(found.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("root").alias("rep_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays; all columns are kept.
 
-    Rows that repeat a doc_id are copies too: one of them stays. Rows without doc_id stay.
+    Rows that repeat a doc_id are copies too: the one with the least text stays (a null after all texts; of equal texts that with the
+    least hash of the row), whatever the order of the rows. Rows without doc_id stay.
     """
-    kept = without(docs, near_copies(docs, threshold, n).select("doc_id"))
+    copies = near_copies(docs, threshold, n).select("doc_id")
     folder = workspace(docs.sparkSession)
-    repeated = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
+    repeated = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1").select("doc_id"), folder, "repeated")
     if repeated.isEmpty():
-        return kept
+        return without(docs, copies)
     columns = [f"`{c}`" for c in docs.columns]
-    again = kept.join(repeated.withColumnRenamed("doc_id", "__moraine_id"), F.col("doc_id") == F.col("__moraine_id"), "left_semi")
-    return without(kept, repeated).select(*columns).unionByName(again.select(*columns).dropDuplicates(["doc_id"]))
+    again = docs.join(repeated.withColumnRenamed("doc_id", "__moraine_id"), docs["doc_id"] == F.col("__moraine_id"), "left_semi")
+    order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*(F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "false"}) for c in columns)))
+    one = again.withColumn("__moraine_row", F.row_number().over(order)).where("__moraine_row = 1").select(*columns)
+    return without(without(docs, repeated).select(*columns).unionByName(one), copies)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str, pairs: bool = False) -> DataFrame:

@@ -112,6 +112,34 @@ def test_many_copies_of_one_text(spark):
     assert found(spark, rows) == {(i, 0) for i in range(1, 700)}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rows_that_repeat_an_id(spark, seed):
+    """A document is all its rows, in whatever order they come."""
+    rnd = random.Random(seed)
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    rows = [(1, words(0, 60)), (1, words(100, 120)), (2, words(100, 120))] + corpus(8)
+    rows += [(i, other) for (i, _), (_, other) in zip(rows[3:60:4], rows[10:60:3], strict=False)] + rows[5:9]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + seed * 4)
+    assert pairs_of(jaccard.near_pairs(df)) == brute_pairs(rows, 5, 0.4)
+    kept = jaccard.keep_one(df).collect()
+    least = {i: min(t for j, t in rows if j == i) for i, _ in rows}
+    gone = {i for i, _ in brute(rows, 5, 0.4)}
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((i, t) for i, t in least.items() if i not in gone)
+
+
+def test_a_long_chain_is_no_block(spark, tmp_path):
+    """Documents that each share half with the next, and match none: what a task is sent follows the documents, not the chain."""
+    m = 50_000
+    text = lambda k: " ".join(f"c{k}x{j}" for j in range(20))
+    docs = spark.range(m).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 39), j -> concat('c', id + j div 20, 'x', j % 20))) as text")
+    assert docs.where("doc_id = 3").first().text == f"{text(3)} {text(4)}"
+    inside, copies = jaccard._blocks(docs, 0.4, 5, f"file://{tmp_path}")
+    parts = inside.groupBy("part", "sub", "chunk").count().agg({"count": "max"}).first()[0]
+    assert m <= inside.count() <= 2 * m and parts <= jaccard.BLOCK and copies.isEmpty()
+    assert jaccard.near_pairs(docs).isEmpty()
+
+
 def test_odd_documents(spark, odd, none):
     assert {tuple(r) for r in jaccard.near_copies(odd).collect()} == {(2, 1)}
     out = jaccard.keep_one(odd)
