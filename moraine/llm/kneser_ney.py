@@ -1,24 +1,26 @@
 """Interpolated modified Kneser-Ney model of any order from 2: counted in Spark, kept as sorted hash arrays, mapped into memory for scoring.
 
-Counting is shuffles of packed arrays, one for each order and one of words. N-grams of the highest order go, once for each task's
-share of them, to the task that owns their context; it sums the counts, writes a shard of n-grams, contexts and counts, and passes on
-what follows the first word of each: the count of the next lower order is the number of different words before it (continuations). An
-n-gram that begins with the begin mark has no word before it and keeps its plain count.
-
-Bigrams go, once for each task's share of them, to the task that owns their hash; it sums
-the counts and writes a shard, its sorted bigram keys and their counts. For each word it passes on how often
-the word is a context, in how many bigrams with counts of 1, 2 and 3 or more, and after how many different
-words it occurs; the owners of the words add that up and write shards of sorted word arrays. No word or
-bigram is pruned and none is left out of the counts: the model grows with the corpus.
-
-Discounts follow Chen and Goodman's closed form from the counts of counts of each order. A scoring task maps the shards (so its memory is that of a slice of text) and looks its words up in ascending order.
-
-A word is known by 32 bits of its hash, a bigram by the 64 of both words, a longer n-gram by a hash of 64 bits over its words'. A document is one sequence with a begin and an end
-mark. The unigram distribution is interpolated with a uniform one over the vocabulary and one unknown word.
+1. The words are counted and numbered, the most frequent of each shard first, so that numbers are exact and mostly small. The
+   numbering is sorted arrays of hashes in files, which the tasks that count map like those that score.
+2. N-grams of the highest order go, once for each task's share of them, to the task that owns their context; it sums the counts, writes a
+   shard of n-grams and contexts with what is known of them, and passes on what follows the first word of each: the count of the next lower order is
+   the number of different words before it (continuations). An n-gram that begins with the begin mark has no word before it and keeps
+   its plain count. So on down to bigrams, whose owners pass on what is known of each word. Between orders the counts are written to
+   the shared folder, so that a lost executor costs tasks of one order and the shuffle of the order before is gone.
+
+No word or n-gram is pruned and none is left out of the counts: the model grows with the corpus.
+
+Discounts follow Chen and Goodman's closed form from the counts of counts of each order. A scoring task maps the shards (so its memory is
+that of a slice of text) and looks its n-grams up in ascending order.
+
+Words are told apart by 64 bits of hash, counts are by word number and exact. A shard is sorted by a 64-bit hash of the n-gram, of which it keeps 32 bits and,
+by a directory, as many as tell its places apart but for about 16: an n-gram that isn't there is taken for one that is once in some 10^8 look-ups.
+A document is one sequence with a begin and an end mark. The unigram distribution is interpolated with a uniform one over the vocabulary and one unknown word.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from functools import partial
@@ -29,51 +31,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .exchange import binary, bounded_batches, pack_sorted, partition_keys, partitions, target, unpack_sorted, workspace
+from .exchange import binary, bounded_batches, drop, pack_sorted, partition_keys, partitions, saved, target, unpack_sorted, workspace
 
 #: Order of the registered query.
 ORDER = 3
-NONE, BEGIN, END = np.uint64(0), np.uint64(1), np.uint64(2)
+NONE, BEGIN, END, FIRST, UNKNOWN = 0, 1, 2, 3, 0xFFFFFFFF
 _FLUSH = 4_000_000
 _STATS = 5  # total, n1, n2, n3 or more, continuations
-_GRAMS = "key int, pairs binary, rest binary, more binary, counts binary"
-_PAIRS = "key int, pairs binary, more binary, counts binary"
+_WORDS = "key int, words binary, more binary, counts binary"
+_GRAMS = "key int, pairs binary, rest binary, more binary, counts binary, many binary"
+
+
+def _write(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Arrays as one file, written aside and renamed: a task that runs again replaces its own with the same."""
+    os.makedirs(folder, exist_ok=True)
+    arrays = {k: np.ascontiguousarray(a) for k, a in arrays.items()}
+    places = np.cumsum([0, *(-(-a.nbytes // 8) * 8 for a in arrays.values())]).tolist()
+    head = json.dumps({k: (a.dtype.str, a.shape, at) for (k, a), at in zip(arrays.items(), places, strict=False)}).encode()
+    head += b" " * (-len(head) % 8)
+    aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with open(aside, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for a in arrays.values():
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+    os.replace(aside, f"{folder}/{name}")
+
+
+class Files:
+    """The files of a folder, mapped when first asked for."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.open: dict[str, dict[str, np.ndarray] | None] = {}
+
+    def __call__(self, name: str) -> dict[str, np.ndarray] | None:
+        if name not in self.open:
+            path = f"{self.folder}/{name}"
+            self.open[name] = self._mapped(path) if os.path.exists(path) else None
+        return self.open[name]
+
+    @staticmethod
+    def _mapped(path: str) -> dict[str, np.ndarray]:
+        raw = np.memmap(path, np.uint8, "r")
+        begin = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+        out = {}
+        for name, (kind, shape, at) in json.loads(raw[8:begin].tobytes()).items():
+            size = int(np.prod(shape)) * np.dtype(kind).itemsize
+            out[name] = raw[begin + at : begin + at + size].view(kind).reshape(shape)
+        return out
+
+
+def _by_shard(shard: np.ndarray, shards: int):
+    """(shard, rows that go there) of those that get any."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        yield int(s), order[cuts[s] : cuts[s + 1]]
 
 
-def _sequence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words as 32-bit hashes with marks around each text, offsets). A null text and one without words is empty: no marks."""
+class Vocabulary:
+    """Numbers of words: FIRST + shards * rank in the shard + shard."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+
+    def opened(self):
+        files = Files(self.folder)
+
+        def numbers(hashes: np.ndarray) -> np.ndarray:
+            distinct, back = np.unique(hashes, return_inverse=True)
+            out = np.full(len(distinct), UNKNOWN, dtype=np.uint32)
+            for s, rows in _by_shard(target(tk.mix(distinct), self.shards), self.shards):
+                if own := files(f"vocabulary-{s}"):
+                    at = np.minimum(np.searchsorted(own["keys"], distinct[rows]), len(own["keys"]) - 1)
+                    same = np.asarray(own["keys"][at]) == distinct[rows]
+                    out[rows[same]] = FIRST + own["ranks"][at[same]].astype(np.int64) * self.shards + s
+            return out[back]
+
+        return numbers
+
+
+def _grams(texts: pa.Array, n: int, numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(words by place in the n-gram: n rows, a column for each place but the first of a text; number of its text). Before a text is NONE.
+
+    A text is its words between marks; a null text and one without words has no marks either.
+    """
     words, offs = tk.tokens(texts)
-    words = np.maximum(words >> np.uint64(32), np.uint64(3))
-    n = np.diff(offs)
-    some = n > 0
-    size = np.where(some, n + 2, 0)
-    ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
-    begin = (ends - size)[some]
-    out[begin] = BEGIN
-    out[ends[some] - 1] = END
-    out[np.arange(len(words)) + np.repeat((ends - size) + 1 - offs[:-1], n)] = words
-    return out, np.concatenate([[0], ends])
-
-
-def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(context << 32 | word for each place but the first of a text, number of its text)."""
-    seq, offs = _sequence(texts)
-    if not len(seq):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    inside = text[1:] == text[:-1]
-    return (seq[:-1] << np.uint64(32) | seq[1:])[inside], text[1:][inside]
-
-
-def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words by place in the n-gram: n rows, a column for each place but the first of a text; number of its text). Before a text is NONE."""
-    seq, offs = _sequence(texts)
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    at = np.flatnonzero(text[1:] == text[:-1]) + 1
-    text = text[at]
-    local = at - offs[text]
-    return np.stack([np.where(local >= k, seq[np.maximum(at - k, 0)], NONE).astype(np.uint32) for k in range(n - 1, -1, -1)]), text
+    size = np.diff(offs)
+    some = size > 0
+    full = np.where(some, size + 2, 0)
+    ends = np.cumsum(full)
+    seq = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+    seq[(ends - full)[some]] = BEGIN
+    seq[ends[some] - 1] = END
+    seq[np.arange(len(words)) + np.repeat((ends - full) + 1 - offs[:-1], size)] = numbers(words)
+    text = np.repeat(np.arange(len(size)), np.maximum(full - 1, 0))
+    local = np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(full - 1, 0)) - np.maximum(full - 1, 0), np.maximum(full - 1, 0)) + 1
+    at = (ends - full)[text] + local
+    return np.stack([np.where(local >= k, seq[np.maximum(at - k, 0)], np.uint32(NONE)) for k in range(n - 1, -1, -1)]), text
 
 
 def _hashed(words: np.ndarray) -> np.ndarray:
@@ -90,184 +145,232 @@ def _summed(words: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
     new = np.ones(words.shape[1], dtype=bool)
     new[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
     cuts = np.flatnonzero(new)
-    return words[:, cuts], np.diff(np.append(cuts, len(new))) if weights is None else np.add.reduceat(weights[order], cuts)
+    return words[:, cuts], np.diff(np.append(cuts, len(new))) if weights is None else np.add.reduceat(weights[order], cuts) if len(cuts) else weights[:0]
 
 
 def _counts_out(n: np.ndarray) -> tuple[bytes, bytes]:
     more = np.flatnonzero(n > 1)
-    return np.diff(more, prepend=0).astype(np.uint16 if len(n) < 65536 else np.uint32).tobytes(), n[more].astype(np.uint32).tobytes()
+    return np.diff(more, prepend=0).astype(np.uint16 if len(n) < 65536 else np.uint32).tobytes(), n[more].astype(np.uint32 if not len(more) or n.max() < 1 << 32 else np.uint64).tobytes()
 
 
 def _counts_in(size: int, more: bytes, n: bytes) -> np.ndarray:
     c = np.ones(size, dtype=np.int64)
-    c[np.cumsum(np.frombuffer(more, np.uint16 if size < 65536 else np.uint32), dtype=np.int64)] = np.frombuffer(n, np.uint32)
+    at = np.cumsum(np.frombuffer(more, np.uint16 if size < 65536 else np.uint32), dtype=np.int64)
+    c[at] = np.frombuffer(n, np.uint32 if len(n) == 4 * len(at) else np.uint64)
     return c
 
 
-def _sent(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """N-grams of ascending words for the owners: of the pair for bigrams, of the context for longer ones."""
-    pairs = words[0].astype(np.uint64) << np.uint64(32) | words[1]
-    p = target(tk.mix(pairs if len(words) == 2 else _hashed(words[:-1])), len(keys))
+def _planes(values: np.ndarray) -> bytes:
+    """uint32 in byte planes: word numbers are small mostly, so the upper planes compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _owner(words: np.ndarray) -> np.ndarray:
+    """What n-grams are placed by: bigrams by themselves, longer ones by their context."""
+    return tk.mix(_hashed(words[:-1] if len(words) > 2 else words))
+
+
+def _sent(keys: np.ndarray, words: np.ndarray, counts: np.ndarray, many: bytes = b"") -> pa.RecordBatch:
+    """N-grams of ascending words for their owners; many: what the first row says of the order above."""
+    p = target(_owner(words), len(keys))
     order = np.argsort(p, kind="stable")
-    pairs, rest, counts, cuts = pairs[order], words[2:, order], counts[order], np.searchsorted(p[order], np.arange(len(keys) + 1))
+    words, counts, cuts = words[:, order], counts[order], np.searchsorted(p[order], np.arange(len(keys) + 1))
     rows = []
     for k in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[k], cuts[k + 1])
-        rows.append((int(keys[k]), pack_sorted(pairs[s]), rest[:, s].tobytes(), *_counts_out(counts[s])))
+        pairs = words[0, s].astype(np.uint64) << np.uint64(32) | words[1, s]
+        rows.append((int(keys[k]), pack_sorted(pairs), b"".join(_planes(w[s]) for w in words[2:]), *_counts_out(counts[s]), b"" if rows else many))
     cols = list(zip(*rows, strict=True))
-    batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=["key", "pairs", "rest", "more", "counts"])
-    return batch if len(words) > 2 else batch.select(["key", "pairs", "more", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=["key", "pairs", "rest", "more", "counts", "many"])
 
 
-def _count_grams(keys: np.ndarray, order: int):
-    most = 2 * _FLUSH // order
+def _received(rows: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    words, counts = [], []
+    for data, rest, more, n, _ in rows:
+        pairs = unpack_sorted(data)
+        size = 4 * len(pairs)
+        words.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32), *(_from_planes(rest[k * size : (k + 1) * size]) for k in range(order - 2))]))
+        counts.append(_counts_in(len(pairs), more, n))
+    return _summed(np.concatenate(words, axis=1), np.concatenate(counts))
+
+
+def _held(batches) -> dict[int, list]:
+    """The rows of each shard that a task owns: it sees all of them before it can sum."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(key, []).append(row)
+    return held
+
 
+def _count_words(keys: np.ndarray):
     def run(batches):
         held, size = [], 0
+
+        def flush():
+            words, counts = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(int(keys[s]), pack_sorted(words[at]), *_counts_out(counts[at])) for s, at in _by_shard(target(tk.mix(words), len(keys)), len(keys))]
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, map(list, cols[1:]))], names=["key", "words", "more", "counts"])
+
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                held.append(_grams(part.column("text"), order)[0])
-                size += held[-1].shape[1]
-                if size >= most:
-                    yield _sent(keys, *_summed(np.concatenate(held, axis=1)))
+                words, _ = tk.tokens(part.column("text"))
+                if len(words):
+                    held.append(words)
+                    size += len(words)
+                if size >= _FLUSH:
+                    yield flush()
                     held, size = [], 0
         if size:
-            yield _sent(keys, *_summed(np.concatenate(held, axis=1)))
+            yield flush()
 
     return run
 
 
-def _level(keys: np.ndarray, folder: str, order: int):
-    """Sums a partition's n-grams of an order of 3 or more, writes their shard and passes on the counts of the order below."""
+def _number_words(keys: np.ndarray, folder: str):
     number = {int(k): i for i, k in enumerate(keys)}
 
     def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(key, []).append(row)
+        held = _held(batches)
         while held:
             key, rows = held.popitem()
-            words, counts = [], []
-            for data, rest, more, n in rows:
-                pairs = unpack_sorted(data)
-                words.append(np.concatenate([[(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], np.frombuffer(rest, np.uint32).reshape(order - 2, -1)]))
-                counts.append(_counts_in(len(pairs), more, n))
-            del rows
-            words, counts = _summed(np.concatenate(words, axis=1), np.concatenate(counts))
-            real = words[0] != NONE
-            own, c = words[:, real], counts[real]
-            if len(c):
-                hashes = _hashed(own)
-                by = np.argsort(hashes)
-                _write(folder, f"grams{order}-{number[key]}", keys=hashes[by], **_thin(c[by, None]))
-                at = np.flatnonzero(np.concatenate([[True], (own[:-1, 1:] != own[:-1, :-1]).any(axis=0)]))
-                stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
-                hashes = _hashed(own[:-1, at])
-                by = np.argsort(hashes)
-                _write(folder, f"contexts{order}-{number[key]}", keys=hashes[by], **_thin(stats[by]))
-            _write(folder, f"many{order}-{number[key]}", counts=np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64))
-            yield _sent(keys, *_summed(words[1:], np.where(real, 1, counts)))
+            parts = [unpack_sorted(w) for w, _, _ in rows]
+            counts = np.concatenate([_counts_in(len(w), *r[1:]) for w, r in zip(parts, rows, strict=True)])
+            words, back = np.unique(np.concatenate(parts), return_inverse=True)
+            count = np.bincount(back, counts, len(words))
+            ranks = np.empty(len(words), dtype=np.uint32)
+            ranks[np.lexsort((words, -count))] = np.arange(len(words))
+            _write(folder, f"vocabulary-{number[key]}", keys=words, ranks=ranks)
+            yield pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())], names=["size"])
 
     return run
 
 
-def _many(folder: str, shards: int, order: int):
-    """Adds up the counts of counts of each order from 3."""
-
-    def run(batches):
-        for _ in batches:
-            sums = np.zeros((order - 2, 4), dtype=np.int64)
-            for k in range(3, order + 1):
-                for i in range(shards):
-                    if os.path.exists(path := f"{folder}/many{k}-{i}.counts.npy"):
-                        sums[k - 3] += np.load(path)
-            yield pa.RecordBatch.from_arrays([binary([sums.tobytes()])], names=["sums"])
-
-    return run
-
-
-def _counted(sorted_: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
-    if weights is None:
-        return sorted_[cuts], np.diff(np.append(cuts, len(sorted_)))
-    return sorted_[cuts], np.add.reduceat(weights, cuts) if len(cuts) else weights[:0]
-
+def _count_grams(keys: np.ndarray, order: int, vocabulary: Vocabulary):
+    most = 2 * _FLUSH // order
 
-def _count(keys: np.ndarray):
     def run(batches):
+        numbers = vocabulary.opened()
         held, size = [], 0
-
-        def flush():
-            pairs, counts = _counted(np.sort(np.concatenate(held)))
-            return _sent(keys, np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)]), counts)
-
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                held.append(_bigrams(part.column("text"))[0])
-                size += len(held[-1])
-                if size >= _FLUSH:
-                    yield flush()
+                held.append(_grams(part.column("text"), order, numbers)[0])
+                size += held[-1].shape[1]
+                if size >= most:
+                    yield _sent(keys, *_summed(np.concatenate(held, axis=1)))
                     held, size = [], 0
         if size:
-            yield flush()
+            yield _sent(keys, *_summed(np.concatenate(held, axis=1)))
 
     return run
 
 
-def _write(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Arrays as files, each written aside and renamed: a task that runs again replaces its own with the same."""
-    os.makedirs(folder, exist_ok=True)
-    for kind, array in arrays.items():
-        aside = f"{folder}/.{name}.{kind}.{uuid.uuid4().hex}"
-        np.save(aside, array)
-        os.replace(f"{aside}.npy", f"{folder}/{name}.{kind}.npy")
+def _coded(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of at most four numbers, the first the largest, as one byte each: the place in a table of the 255 most frequent; the others are kept aside with their places."""
+    code = np.full(len(values), 255, dtype=np.uint8)
+    fits = np.flatnonzero(values[:, 0] < 1 << 16)
+    packed = np.zeros(len(fits), dtype=np.uint64)
+    for k in range(values.shape[1]):
+        packed |= values[fits, k].astype(np.uint64) << np.uint64(16 * k)
+    kinds, first, back, n = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[:255]
+    of_kind = np.full(len(kinds), 255, dtype=np.uint8)
+    of_kind[top] = np.arange(len(top))
+    code[fits] = of_kind[back]
+    wide = np.flatnonzero(code == 255)
+    return {"code": code, "table": values[fits[first[top]]].astype(np.int64), "place": wide, "wide": values[wide].astype(np.int64)}
+
+
+def _shelved(hashes: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Values by the hash of their n-gram: a directory of the uppermost bits, the next 32 of each, and the values' codes, all in the order of the hashes."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    bits = max(0, len(hashes).bit_length() - 5)
+    upper = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), dtype=np.uint64)
+    starts = np.searchsorted(upper, np.arange((1 << bits) + 1, dtype=np.uint64))
+    return {"starts": starts.astype(np.uint32 if len(hashes) < 1 << 32 else np.uint64), "keys": ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), **_coded(values[order])}
+
+
+def _looked_up(shelf: dict[str, np.ndarray], hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the ascending hashes are there, their values)."""
+    starts, keys = shelf["starts"], shelf["keys"]
+    bits = (len(starts) - 1).bit_length() - 1
+    upper = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+    wanted = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    low, high = starts[upper].astype(np.int64), starts[upper + 1].astype(np.int64)
+    end = high
+    while (open_ := low < high).any():  # bisection, all hashes at once
+        middle = (low + high) >> 1
+        less = open_ & (keys[np.minimum(middle, len(keys) - 1)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    at = np.minimum(low, len(keys) - 1)
+    there = np.flatnonzero((low < end) & (keys[at] == wanted))
+    at = at[there]
+    code = np.asarray(shelf["code"][at])
+    out = np.zeros((len(at), width), dtype=np.int64)
+    plain = code < 255
+    out[plain] = shelf["table"][code[plain]]
+    if not plain.all():
+        out[~plain] = shelf["wide"][np.searchsorted(shelf["place"], at[~plain])]
+    return there, out
+
+
+def _of_contexts(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(total, how many of 1, 2, 3 or more) of the counts from each of the places on."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
+
+
+def _level(keys: np.ndarray, folder: str, order: int):
+    """Sums a shard's n-grams of an order of 3 or more, writes it and passes on the counts of the order below."""
+    number = {int(k): i for i, k in enumerate(keys)}
 
+    def run(batches):
+        held = _held(batches)
+        while held:
+            key, rows = held.popitem()
+            words, counts = _received(rows, order)
+            del rows
+            real = words[0] != NONE
+            own, c = words[:, real], counts[real]
+            if len(c):
+                _write(folder, f"grams{order}-{number[key]}", **_shelved(_hashed(own), c[:, None]))
+                at = np.flatnonzero(np.concatenate([[True], (own[:-1, 1:] != own[:-1, :-1]).any(axis=0)]))
+                _write(folder, f"contexts{order}-{number[key]}", **_shelved(_hashed(own[:-1, at]), _of_contexts(c, at)))
+            many = np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64)
+            yield _sent(keys, *_summed(words[1:], np.where(real, 1, counts)), many.tobytes())
 
-def _thin(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows of numbers, the first of each the largest, as bytes; those that don't fit are kept aside with their places."""
-    wide = np.flatnonzero(values[:, 0] >= 255)
-    return {"small": np.minimum(values, 255).astype(np.uint8), "place": wide, "wide": values[wide].astype(np.int64)}
+    return run
 
 
 def _by_word(keys: np.ndarray, words: np.ndarray, stats: np.ndarray):
-    """Rows of (words, statistics) for the owners of the words; stats: (word, _STATS)."""
-    p = target(tk.mix(words), len(keys))
-    order = np.argsort(p, kind="stable")
-    words, stats, cuts = words[order], stats[order], np.searchsorted(p[order], np.arange(len(keys) + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        s = slice(cuts[k], cuts[k + 1])
-        yield int(keys[k]), words[s].astype(np.uint32).tobytes(), stats[s].astype(np.uint32 if stats[s].max() < 1 << 32 else np.uint64).T.tobytes()
+    """Rows of (words, statistics) for the shards of the words; stats: (word, _STATS)."""
+    for s, at in _by_shard(words.astype(np.int64) % len(keys), len(keys)):
+        yield int(keys[s]), _planes(words[at]), stats[at].astype(np.uint32 if stats[at].max() < 1 << 32 else np.uint64).T.tobytes()
 
 
-def _shards(keys: np.ndarray, folder: str):
-    """Sums the bigrams of a partition, writes its shard, and passes on the statistics of words and the counts of counts."""
+def _bigrams(keys: np.ndarray, folder: str):
+    """Sums a shard's bigrams, writes it, and passes on the statistics of words and the counts of counts."""
     number = {int(k): i for i, k in enumerate(keys)}
 
     def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(key, []).append(row)
-        for key, rows in held.items():
-            pairs, counts = [], []
-            for data, more, n in rows:
-                own = unpack_sorted(data)
-                pairs.append(own)
-                counts.append(_counts_in(len(own), more, n))
-            pairs, counts = np.concatenate(pairs), np.concatenate(counts)
-            order = np.argsort(pairs, kind="stable")
-            pairs, counts = _counted(pairs[order], counts[order])
-            _write(folder, f"pairs-{number[key]}", keys=pairs, **_thin(counts[:, None]))
-            context, at = np.unique(pairs >> np.uint64(32), return_index=True)
-            stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
-            after, n = np.unique(pairs & np.uint64(0xFFFFFFFF), return_counts=True)
-            words = np.union1d(context, after)
-            total = np.zeros((len(words), _STATS), dtype=np.int64)
-            total[np.searchsorted(words, context), :4] = stats
-            total[np.searchsorted(words, after), 4] = n
+        held = _held(batches)
+        while held:
+            key, rows = held.popitem()
+            words, counts = _received(rows, 2)
+            _write(folder, f"grams2-{number[key]}", **_shelved(_hashed(words), counts[:, None]))
+            context, at = np.unique(words[0], return_index=True)
+            after, n = np.unique(words[1], return_counts=True)
+            each = np.union1d(context, after)
+            total = np.zeros((len(each), _STATS), dtype=np.int64)
+            total[np.searchsorted(each, context), :4] = _of_contexts(counts, at)
+            total[np.searchsorted(each, after), 4] = n
             many = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64)
-            rows = list(_by_word(keys, words, total))
+            rows = list(_by_word(keys, each, total))
             cols = list(zip(*rows, strict=True))
             tags = [many.tobytes()] + [b""] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), binary(list(cols[1])), binary(list(cols[2])), binary(tags)], names=["key", "words", "stats", "many"])
@@ -276,31 +379,21 @@ def _shards(keys: np.ndarray, folder: str):
 
 
 def _words(keys: np.ndarray, folder: str):
-    """Adds up the statistics of a partition's words and writes their shard; one row of what the discounts need."""
+    """Adds up the statistics of a shard's words and writes them by number; one row of what the discounts need."""
     number = {int(k): i for i, k in enumerate(keys)}
 
     def run(batches):
-        held: dict[int, list] = {}
-        many = np.zeros(4, dtype=np.int64)
-        for batch in batches:
-            for key, words, stats, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(key, []).append((words, stats))
-                if m:
-                    many += np.frombuffer(m, np.int64)
-        cont, size, total = np.zeros(4, dtype=np.int64), 0, 0
-        for key, rows in held.items():
-            words = np.concatenate([np.frombuffer(w, np.uint32) for w, _ in rows])
-            stats = np.concatenate([np.frombuffer(s, np.uint32 if len(s) == len(w) * _STATS else np.uint64).reshape(_STATS, -1).T.astype(np.int64) for w, s in rows])
-            order = np.argsort(words, kind="stable")
-            words, stats = words[order], stats[order]
-            cuts = np.flatnonzero(np.diff(words.astype(np.int64), prepend=-1))
-            words, stats = words[cuts], np.add.reduceat(stats, cuts, axis=0)
-            _write(folder, f"words-{number[key]}", keys=words, stats=stats)
-            c = stats[:, 4]
-            cont += np.bincount(np.minimum(c[c > 0], 5), minlength=6)[1:5]
-            size, total = size + int((c > 0).sum()), total + int(c.sum())
-        if held:
-            yield pa.RecordBatch.from_arrays([binary([np.concatenate([many, cont, [size, total]]).astype(np.int64).tobytes()])], names=["sums"])
+        for key, rows in _held(batches).items():
+            words = np.concatenate([_from_planes(w) for w, _, _ in rows]).astype(np.int64) // len(keys)
+            stats = np.concatenate([np.frombuffer(s, np.uint32 if len(s) == len(w) * _STATS else np.uint64).reshape(_STATS, -1).T.astype(np.int64) for w, s, _ in rows])
+            many = np.sum([np.zeros(4, dtype=np.int64), *(np.frombuffer(m, np.int64) for _, _, m in rows if m)], axis=0)
+            total = np.zeros((int(words.max()) + 1, _STATS), dtype=np.int64)
+            np.add.at(total, words, stats)
+            _write(folder, f"words-{number[key]}", stats=total if total.max() >= 1 << 32 else total.astype(np.uint32))
+            c = total[:, 4]
+            cont = np.bincount(np.minimum(c[c > 0], 5), minlength=6)[1:5]
+            sums = np.concatenate([many, cont, [int((c > 0).sum()), int(c.sum())]])
+            yield pa.RecordBatch.from_arrays([binary([sums.astype(np.int64).tobytes()])], names=["sums"])
 
     return run
 
@@ -319,8 +412,9 @@ class Model:
     def __init__(self, folder: str, shards: int, sums: np.ndarray, higher: np.ndarray):
         """higher: counts of counts of each order from 3."""
         self.folder, self.shards, self.order = folder, shards, 2 + len(higher)
-        self.discount = {k: discounts(n) for k, n in enumerate(higher, 3)}
-        self.pair_discount, self.word_discount = discounts(sums[:4]), discounts(sums[4:8])
+        self.vocabulary = Vocabulary(folder, shards)
+        self.discount = {2: discounts(sums[:4])} | {k: discounts(n) for k, n in enumerate(higher, 3)}
+        self.word_discount = discounts(sums[4:8])
         self.size, self.total = int(sums[8]), int(sums[9])
         n1, n2 = sums[4], sums[5]
         spent = self.word_discount[1] * n1 + self.word_discount[2] * n2 + self.word_discount[3] * (self.size - n1 - n2)
@@ -333,46 +427,41 @@ class Model:
 class Maps:
     def __init__(self, model: Model):
         self.m = model
-        self.files: dict[tuple[str, int, str], np.ndarray | None] = {}
-
-    def _file(self, kind: str, shard: int, part: str) -> np.ndarray | None:
-        at = kind, shard, part
-        if at not in self.files:
-            path = f"{self.m.folder}/{kind}-{shard}.{part}.npy"
-            self.files[at] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.files[at]
-
-    def _find(self, kind: str, part: str, keys: np.ndarray, width: int, by: np.ndarray | None = None) -> np.ndarray:
-        """Rows of an array for ascending distinct keys, zeros for those that aren't there. by: what the shards go by, if not the keys."""
-        out = np.zeros((len(keys), width), dtype=np.int64)
-        shard = target(tk.mix((keys if by is None else by).astype(np.uint64)), self.m.shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            own, values = self._file(kind, s, "keys"), self._file(kind, s, part)
-            if own is None:
-                continue
-            rows = order[cuts[s] : cuts[s + 1]]
-            wanted = keys[rows].astype(own.dtype)
-            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-            same = np.asarray(own[at]) == wanted
-            got = np.asarray(values[at[same]]).reshape(-1, width).astype(np.int64)
-            if part == "small" and (over := got[:, 0] == 255).any():
-                got[over] = self._file(kind, s, "wide")[np.searchsorted(self._file(kind, s, "place"), at[same][over])]
-            out[rows[same]] = got
-        return out
+        self.files = Files(model.folder)
+        self.numbers = model.vocabulary.opened()
+
+    def _find(self, kind: str, words: np.ndarray, width: int, owner: np.ndarray) -> np.ndarray:
+        """What is known of n-grams, zeros for those that aren't there."""
+        distinct, first, back = np.unique(_hashed(words), return_index=True, return_inverse=True)
+        out = np.zeros((len(distinct), width), dtype=np.int64)
+        for s, rows in _by_shard(target(owner[first], self.m.shards), self.m.shards):
+            if shelf := self.files(f"{kind}-{s}"):
+                there, got = _looked_up(shelf, distinct[rows], width)
+                out[rows[there]] = got
+        return out[back]
+
+    def _stats(self, words: np.ndarray) -> np.ndarray:
+        """What is known of words."""
+        distinct, back = np.unique(words, return_inverse=True)
+        out = np.zeros((len(distinct), _STATS), dtype=np.int64)
+        for s, rows in _by_shard(distinct.astype(np.int64) % self.m.shards, self.m.shards):
+            if own := self.files(f"words-{s}"):
+                at = distinct[rows].astype(np.int64) // self.m.shards
+                inside = (at < len(own["stats"])) & (distinct[rows] != UNKNOWN)
+                out[rows[inside]] = own["stats"][at[inside]]
+        return out[back]
 
     def log_probabilities(self, words: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(last word | the words before it) for n-grams of the model's order."""
-        p = self._of_pairs(words[-2].astype(np.uint64) << np.uint64(32) | words[-1])
-        for k in range(3, self.m.order + 1):
+        m = self.m
+        cont = self._stats(words[-1])[:, 4]
+        p = np.maximum(cont - m.word_discount[np.minimum(cont, 3)], 0) / max(m.total, 1) + m.uniform
+        for k in range(2, m.order + 1):
             at = np.flatnonzero(words[-k] != NONE)
             own = words[-k:, at]
-            context = _hashed(own[:-1])
-            distinct, first, back = np.unique(_hashed(own), return_index=True, return_inverse=True)
-            count = self._find(f"grams{k}", "small", distinct, 1, context[first])[back, 0]
-            distinct, back = np.unique(context, return_inverse=True)
-            p[at] = self._mixed(count, self._find(f"contexts{k}", "small", distinct, 4)[back], self.m.discount[k], p[at])
+            count = self._find(f"grams{k}", own, 1, _owner(own))[:, 0]
+            context = self._stats(own[0]) if k == 2 else self._find(f"contexts{k}", own[:-1], 4, _owner(own))
+            p[at] = self._mixed(count, context, m.discount[k], p[at])
         return np.log(p)
 
     @staticmethod
@@ -381,17 +470,6 @@ class Maps:
         weight = np.where(context[:, 0] > 0, context[:, 1:4] @ discount[1:] / total, 1.0)
         return np.maximum(count - discount[np.minimum(count, 3)], 0) / total + weight * lower
 
-    def _of_pairs(self, pairs: np.ndarray) -> np.ndarray:
-        m = self.m
-        distinct, back = np.unique(pairs, return_inverse=True)
-        context, word = distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)
-        words = np.unique(np.concatenate([context, word]))
-        stats = self._find("words", "stats", words, _STATS)
-        cont = stats[np.searchsorted(words, word), 4]
-        lower = np.maximum(cont - m.word_discount[np.minimum(cont, 3)], 0) / max(m.total, 1) + m.uniform
-        count = self._find("pairs", "small", distinct, 1)[:, 0]
-        return self._mixed(count, stats[np.searchsorted(words, context)], m.pair_discount, lower)[back]
-
 
 def _local(folder: str) -> str:
     """A shared folder as a path that workers can map: it must be mounted, a file system as such can't be."""
@@ -406,25 +484,38 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _added(rows: list, size: int) -> np.ndarray:
+    return np.sum([np.zeros(size, dtype=np.int64), *(np.frombuffer(bytes(r[0]), np.int64) for r in rows)], axis=0)
+
+
 def train(docs: DataFrame, order: int = 2) -> Model:
-    """Counts every text of docs; rows with null or wordless texts add nothing. The model stays in the shared folder."""
+    """Counts every text of docs; rows with null or wordless texts add nothing. The model stays in the shared folder.
+
+    More than 2^32 - 4 different words, or as many as one shard can't number evenly with the others, raise ValueError.
+    """
     if order < 2:
         raise ValueError("order is 2 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder = _local(workspace(spark))
+    base = workspace(spark)
+    folder = f"{_local(base)}/model"
     keys = partition_keys(p := partitions(spark))
     texts = _texts(docs).select("text").where("text is not null")
-    rows = texts.mapInArrow(tk.trimmed(_count(keys) if order == 2 else _count_grams(keys, order)), _PAIRS if order == 2 else _GRAMS).repartition(p, "key")
+    sizes = saved(texts.mapInArrow(tk.trimmed(_count_words(keys)), _WORDS).repartition(p, "key").mapInArrow(tk.trimmed(_number_words(keys, folder)), "size long"), base, "vocabulary")
+    if FIRST + p * (sizes.agg(F.max("size")).first()[0] or 0) >= UNKNOWN:
+        raise ValueError("too many different words to be numbered in 32 bits")
+    rows = texts.mapInArrow(tk.trimmed(_count_grams(keys, order, Vocabulary(folder, p))), _GRAMS)
+    higher = []
     for k in range(order, 2, -1):
-        rows = rows.mapInArrow(tk.trimmed(_level(keys, folder, k)), _PAIRS if k == 3 else _GRAMS).repartition(p, "key")
-    stats = rows.mapInArrow(tk.trimmed(_shards(keys, folder)), "key int, words binary, stats binary, many binary").repartition(p, "key")
-    rows = stats.mapInArrow(tk.trimmed(_words(keys, folder)), "sums binary").collect()
-    sums = np.sum([np.frombuffer(bytes(r.sums), np.int64) for r in rows], axis=0) if rows else np.zeros(10, dtype=np.int64)
-    higher = np.zeros((0, 4), dtype=np.int64)
+        rows = saved(rows.repartition(p, "key").mapInArrow(tk.trimmed(_level(keys, folder, k)), _GRAMS), base, f"level{k}")
+        higher.insert(0, _added(rows.where("length(many) > 0").select("many").collect(), 4))
+        if k < order:
+            drop(spark, f"{base}/level{k + 1}")
+    stats = saved(rows.repartition(p, "key").mapInArrow(tk.trimmed(_bigrams(keys, folder)), "key int, words binary, stats binary, many binary"), base, "stats")
     if order > 2:
-        higher = np.frombuffer(bytes(spark.range(1).coalesce(1).mapInArrow(_many(folder, p, order), "sums binary").first().sums), np.int64).reshape(-1, 4)
-    return Model(folder, p, sums, higher)
+        drop(spark, f"{base}/level3")
+    sums = saved(stats.repartition(p, "key").mapInArrow(tk.trimmed(_words(keys, folder)), "sums binary"), base, "sums").collect()
+    return Model(folder, p, _added(sums, 10), np.array(higher, dtype=np.int64).reshape(-1, 4))
 
 
 def _score(model: Model):
@@ -434,7 +525,7 @@ def _score(model: Model):
         maps = model.open()
         for batch in batches:
             for part in tk.slices(batch, "text", most):
-                words, text = _grams(part.column("text"), model.order)
+                words, text = _grams(part.column("text"), model.order, maps.numbers)
                 logs = maps.log_probabilities(words)
                 n = np.bincount(text, minlength=part.num_rows)
                 total = np.bincount(text, logs, part.num_rows)
