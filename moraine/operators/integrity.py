@@ -39,7 +39,7 @@ def verify(archives: DataFrame, hash_entries: DataFrame, block_entries: DataFram
     invalid = line(joined.where("flags is null"), "table", index, F.format_string("hash[%d] points to invalid block index %d", index, F.col("block_index")))
     missing = line(joined.where(~has_flag(F.col("flags"), S.EXISTS)), "file", index, F.format_string("hash[%d] points to non-existing block %d", index, F.col("block_index")))
     repeated = line(duplicates(active, ["archive", "hash_a", "hash_b", "locale"], ["hash_index"]), "table", index, F.format_string("duplicate hash tuple at hash[%d]", index))
-    blocks = block_entries.where(has_flag(F.col("flags"), S.EXISTS)).join(F.broadcast(archives.select("archive", "file_length", "archive_offset")), "archive")
+    blocks = block_entries.where(has_flag(F.col("flags"), S.EXISTS)).join(archives.select("archive", "file_length", "archive_offset"), "archive")
     at = F.col("block_index")
     beyond = blocks.where(F.col("archive_offset") + F.col("file_pos") + F.col("compressed_size") > F.col("file_length"))
     beyond = line(beyond, "file", at, F.format_string("block[%d] data range exceeds archive length", at))

@@ -21,7 +21,7 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def chain_names(items: DataFrame, chain: DataFrame) -> DataFrame:
     """Named items of the archives of a chain (archive, ord, prefix), with the names that the base knows them by: a patch's slashes
     turned, its prefix taken off, special files and those outside the prefix left out."""
-    rows = items.where("name is not null").join(F.broadcast(chain), "archive")
+    rows = items.where("name is not null").join(chain, "archive")
     turned = N.archive_path(F.col("name"))
     prefix = F.coalesce(N.patch_prefix(F.col("prefix")), F.lit(""))
     inside = F.startswith(N.ascii_lower(turned), N.ascii_lower(prefix)) & (F.length(turned) > F.length(prefix))
@@ -51,12 +51,15 @@ def patched_files(files: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def has_any(names: DataFrame, items: DataFrame, chain: DataFrame) -> DataFrame:
-    """The names that any archive of the chain has, under one of the forms a patch may hold it by; the first form that is there."""
-    forms = names.select("name").distinct().crossJoin(F.broadcast(chain))
+    """The names that any archive of the chain has, under one of the forms a patch may hold it by (in its prefix or not; slashes don't matter);
+    the first form that is there, of the last archive that has one. The items get the names they answer to, so that one equi-join finds them."""
+    key = lambda c: N.archive_path(N.ascii_lower(c))
+    there = items.where("name is not null").select("archive", key(F.col("name")).alias("__there")).distinct().join(chain, "archive")
     prefix = N.patch_prefix(F.col("prefix"))
+    inside = F.startswith(F.col("__there"), N.ascii_lower(prefix)) & (F.length("__there") > F.length(prefix))
+    answers = F.array(F.when(inside, F.expr("substring(__there, length(__prefix) + 1)")), F.col("__there"))
+    there = there.withColumn("__prefix", prefix).select("archive", "ord", "__prefix", F.posexplode(answers).alias("place", "__key")).where("__key is not null")
+    found = names.select("name").distinct().withColumn("__key", key(F.col("name"))).join(there, "__key")
     turned = N.archive_path(F.col("name"))
-    forms = forms.select("name", "archive", "ord", F.posexplode(F.array(F.concat(prefix, turned), F.concat(prefix, F.col("name")), F.col("name"), turned)).alias("place", "form")).where("form is not null")
-    key = lambda c: N.archive_path(N.ascii_lower(c))
-    there = items.where("name is not null").select("archive", key(F.col("name")).alias("__key")).distinct()
-    found = forms.withColumn("__key", key(F.col("form"))).join(there, ["archive", "__key"])
+    found = found.withColumn("form", F.when(F.col("place") == 0, F.concat("__prefix", turned)).otherwise(F.col("name")))
     return found.groupBy("name").agg(F.max_by(F.struct("archive", "form"), F.struct("ord", -F.col("place"))).alias("__r")).select("name", "__r.archive", "__r.form")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cipher, codecs, digests, patches
+from ..functions import cipher, codecs, patches
 from ..operators import integrity, listing, manifests, overlay
 from ..sources.datasource import read_archives, write_archives
 from ..storage import shared_folder
 
-ARCHIVES = 8
+ARCHIVES, SHARDS = 8, 32
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +60,7 @@ def archive_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: read_archives(spark, folder, t) for t in ("archives", "hash_entries", "block_entries", "names")}
     items = _named(listing.list_items(tables["hash_entries"], tables["block_entries"], tables["names"], listing.NAMED))
     blocks = tables["block_entries"].select("archive", "block_index", "file_size")
-    sizes = F.broadcast(tables["archives"].select("archive", listing.sector_size(F.col("sector_size_shift")).alias("step")))
+    sizes = tables["archives"].select("archive", listing.sector_size(F.col("sector_size_shift")).alias("step"))
     rows = items.join(blocks, ["archive", "block_index"]).join(sizes, "archive")
     return rows.select(_ident().alias("doc_id"), F.col("archive"), "file_size", listing.sector_count(F.col("file_size"), F.col("step")).cast("bigint").alias("sectors"))
 
@@ -118,20 +117,11 @@ def archive_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _pack(_table(spark, sf_dir, "pages"), "page_id", _text("html"), "pages")
-    return integrity.verify(*(read_archives(spark, folder, t) for t in ("archives", "hash_entries", "block_entries")))
-
-
-def verify_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with damaged tables: an entry beyond the block table, a block beyond the archive, a repeated entry, an empty block."""
+    """How many findings each archive has, which is none."""
     folder = _pack(_table(spark, sf_dir, "pages"), "page_id", _text("html"), "pages")
     archives, hashes, blocks = (read_archives(spark, folder, t) for t in ("archives", "hash_entries", "block_entries"))
-    hashes = hashes.withColumn("block_index", F.when((F.col("block_index") == 1) & (F.col("archive") == "pages-0.mpq"), 99_999).otherwise(F.col("block_index")))
-    again = hashes.where("block_index = 2").withColumn("hash_index", F.col("hash_index") + 1_000_000)
-    blocks = blocks.withColumns(
-        {"compressed_size": F.when(F.col("block_index") == 3, 0xFFFFFFF0).when(F.col("block_index") == 4, 0).otherwise(F.col("compressed_size"))}
-    )
-    return integrity.verify(archives, hashes.unionByName(again), blocks)
+    found = integrity.verify(archives, hashes, blocks).groupBy("archive").agg(F.count("*").alias("n"))
+    return archives.select("archive", "hash_table_entries").join(found, "archive", "left").select("archive", F.coalesce("n", F.lit(0)).alias("findings"))
 
 
 def patch_chain_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,22 +142,23 @@ def _patch(old: pd.Series, new: pd.Series) -> pd.Series:
 
 
 def patch_bsdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A base archive of upper-case texts and a patch archive of differences that restore them."""
+    """Base archives of upper-case texts and patch archives of differences that restore them, in shards."""
     rows = _table(spark, sf_dir, "documents").where("text is not null")
     name = F.concat(F.lit("d\\"), F.col("doc_id").cast("string"), F.lit(".bin"))
     old = F.encode(F.upper("text"), "UTF-8")
-    base = manifests.manifest(rows, F.lit("base"), F.col("doc_id"), name, old)
-    patch = manifests.manifest(rows, F.lit("patch"), F.col("doc_id"), F.concat(F.lit("base\\"), name), _patch(old, F.encode("text", "UTF-8")))
+    shard = F.pmod("doc_id", F.lit(SHARDS)).cast("string")
+    base = manifests.manifest(rows, F.concat(F.lit("base-"), shard), F.col("doc_id"), name, old)
+    patch = manifests.manifest(rows, F.concat(F.lit("patch-"), shard), F.col("doc_id"), F.concat(F.lit("base\\"), name), _patch(old, F.encode("text", "UTF-8")))
     folder = shared_folder(spark)
     write_archives(base.unionByName(patch), folder)
-    chain = spark.createDataFrame([("base.mpq", 0, None), ("patch.mpq", 1, "base")], "archive string, ord long, prefix string")
+    chain = spark.createDataFrame([(f"{kind}-{k}.mpq", i, prefix) for k in range(SHARDS) for i, (kind, prefix) in enumerate((("base", None), ("patch", "base")))], "archive string, ord long, prefix string")
     merged = overlay.patched_files(read_archives(spark, folder, "files"), chain)
     return _named(merged).select(_ident().alias("doc_id"), F.md5("content").alias("md5"))
 
 
 def merged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlays listed as one: of each name the size in the last archive that has it."""
-    rows = _table(spark, sf_dir, "pages").where("page_id < 200")
+    rows = _table(spark, sf_dir, "pages")
     name = F.concat(F.lit("p\\"), F.col("page_id").cast("string"), F.lit(".bin"))
     base = manifests.manifest(rows, F.lit("m0"), F.col("page_id"), name, _text("url"))
     over = manifests.manifest(rows.where("page_id % 3 = 0"), F.lit("m1"), F.col("page_id"), name, _text("html"))
@@ -191,38 +182,12 @@ def _codec_sql(table: str, ident: str, column: str) -> str:
     return f"SELECT {ident}, md5({column}) AS md5 FROM {table} WHERE octet_length(encode({column})) >= 4"
 
 
-@F.pandas_udf(T.StructType([T.StructField("packed", T.LongType()), T.StructField("worst", T.LongType())]))
-def _adpcm_error(samples: pd.Series) -> pd.DataFrame:
-    out = []
-    for s in samples:
-        raw = np.clip(np.asarray(s), -32768, 32767).astype("<i2").tobytes()
-        packed = codecs.compress("adpcm_mono", raw)
-        back = np.frombuffer(codecs.decompress("adpcm_mono", packed, len(raw)), "<i2").astype(int)
-        out.append((len(packed), int(np.abs(back - np.frombuffer(raw, "<i2")).max())))
-    return pd.DataFrame(out, columns=["packed", "worst"])
-
-
-def codec_adpcm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices as 16-bit samples, packed (with loss) and unpacked; how far off they are."""
-    orders = _table(spark, sf_dir, "orders")
-    groups = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.round(F.col("o_totalprice") / 20).cast("long"))).alias("samples"))
-    return groups.select("o_custkey", F.size("samples").alias("n"), _adpcm_error("samples").alias("e")).select("o_custkey", "n", "e.packed", "e.worst")
-
-
 def cipher_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "pages").select("page_id", _text("html").alias("data"), cipher.name_hashes(F.col("url"))["file_key"].alias("key"))
     back = cipher.decrypted(cipher.encrypted(F.col("data"), F.col("key")), F.col("key"))
     return rows.select("page_id", F.md5(back).alias("md5"))
 
 
-def mpq_name_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", cipher.name_hashes(F.col("url")).alias("h")).select("page_id", "h.*")
-
-
-def crc32_adler32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", digests.crc32(F.encode("text", "UTF-8")).alias("crc32"), digests.adler32(F.encode("text", "UTF-8")).alias("adler32"))
-
-
 _PAGES, _DOCS, _CONV = ("pages", "page_id", "html"), ("documents", "doc_id", "text"), ("conversations", "conv_id", "text")
 
 QUERIES = {
@@ -243,7 +208,6 @@ QUERIES = {
     "archive_headers": archive_headers,
     "archive_rewrite": archive_rewrite,
     "verify_clean": verify_clean,
-    "verify_structural": verify_structural,
     "patch_chain_replace": patch_chain_replace,
     "patch_bsdiff": patch_bsdiff,
     "merged_listing": merged_listing,
@@ -251,10 +215,7 @@ QUERIES = {
     "codec_huffman": _codec("huffman", "benchmark", "item_id", "text"),
     "codec_pkware": _codec("pkware", "benchmark", "item_id", "text"),
     "codec_zlib": _codec("zlib", *_DOCS),
-    "codec_adpcm": codec_adpcm,
     "cipher_roundtrip": cipher_roundtrip,
-    "mpq_name_hash": mpq_name_hash,
-    "crc32_adler32": crc32_adler32,
 }
 
 _PAGE_NAME = "'pages\\' || page_id || '.bin'"
@@ -272,10 +233,10 @@ ORACLE = {
     "archive_headers": "SELECT 'region-' || k || '.mpq' AS archive, CAST(3 AS INTEGER) AS format_version, CAST(208 AS BIGINT) AS header_size, CAST(4096 AS BIGINT) AS sector_size, CAST(NULL AS VARCHAR) AS problem FROM (VALUES (0), (1)) t(k)",
     "archive_rewrite": f"""SELECT CASE WHEN page_id = 1 THEN 'moved\\1.bin' ELSE {_PAGE_NAME} END AS name, CASE WHEN page_id = 0 THEN 'replaced' ELSE url END AS content
         FROM pages WHERE page_id % 10 <> 3""",
-    "verify_clean": "SELECT CAST(NULL AS VARCHAR) AS archive, CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS VARCHAR) AS message WHERE false",
+    "verify_clean": "SELECT DISTINCT 'pages-' || (page_id % 8) || '.mpq' AS archive, CAST(0 AS BIGINT) AS findings FROM pages",
     "patch_chain_replace": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id",
     "patch_bsdiff": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE text IS NOT NULL",
-    "merged_listing": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'm1.mpq' ELSE 'm0.mpq' END AS archive FROM pages WHERE page_id < 200",
+    "merged_listing": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'm1.mpq' ELSE 'm0.mpq' END AS archive FROM pages",
     "codec_sparse": _codec_sql(*_DOCS),
     "codec_zlib": _codec_sql(*_DOCS),
     "codec_huffman": _codec_sql("benchmark", "item_id", "text"),

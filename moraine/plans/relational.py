@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import digests
 from ..functions import names as N
 from ..operators import integrity, listing, manifests, overlay
 
@@ -75,9 +76,11 @@ def patch_prefix(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", N.patch_prefix(F.col("p_type")).alias("prefix"))
 
 
-@query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT doc_id, lang, 'Docs/D' || doc_id AS name FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def semi_exists(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "lang").join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    """Which names are among the items, whatever their case and slashes."""
+    named = t.documents.select("doc_id", "lang", F.concat(F.lit("Docs/D"), F.col("doc_id").cast("string")).alias("name"))
+    return listing.has_names(named, t.labels.select(F.concat(F.lit("docs\\d"), F.col("doc_id").cast("string")).alias("name")))
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -132,9 +135,11 @@ def upsert_delete(t: Tables) -> DataFrame:
     return manifests.delete(merged, merged.where("c_custkey % 11 = 2"), ["c_custkey"])
 
 
-@query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY source")
+@query("SELECT source AS archive, lang AS name, array_to_string(list_sort(list(DISTINCT doc_id % 9)), ',') AS locales FROM documents WHERE lang IS NOT NULL GROUP BY source, lang")
 def distinct_sorted(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
+    """Every name's locales."""
+    items = t.documents.select(F.col("source").alias("archive"), F.col("lang").alias("name"), (F.col("doc_id") % 9).cast("int").alias("locale"))
+    return listing.locales(items).select("archive", "name", F.array_join(F.transform("locales", lambda x: x.cast("string")), ",").alias("locales"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, o_orderstatus IN ('F', 'O') AS known FROM orders GROUP BY o_orderstatus")
@@ -147,9 +152,11 @@ def set_intersect(t: Tables) -> DataFrame:
     return manifests.in_both(t.customer.select(F.col("c_nationkey").alias("nationkey")), t.supplier.select(F.col("s_nationkey").alias("nationkey")))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("SELECT o_orderkey % 1000 AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT l_orderkey % 1000 FROM lineitem WHERE l_quantity > 49")
 def set_difference(t: Tables) -> DataFrame:
-    return manifests.only_in_first(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.select(F.col("l_partkey").alias("k")))
+    """Numbers that open orders have and lines of large quantity don't."""
+    first, second = t.orders.where("o_orderstatus = 'O'"), t.lineitem.where("l_quantity > 49")
+    return manifests.only_in_first(first.select((F.col("o_orderkey") % 1000).alias("k")), second.select((F.col("l_orderkey") % 1000).alias("k")))
 
 
 @query('SELECT source, doc_id, CAST(32 + sum(n_chars) OVER w AS BIGINT) AS "end", CAST(32 + sum(n_chars) OVER w - n_chars AS BIGINT) AS "begin" FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)')
@@ -169,7 +176,7 @@ def offset_lengths(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
 def digest_md5_sha256(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
+    return t.documents.select("doc_id", digests.md5(F.col("text")).alias("md5"), digests.sha256(F.col("text")).alias("sha256"))
 
 
 @query(

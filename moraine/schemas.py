@@ -31,9 +31,11 @@ LIST_ITEMS = _struct(("archive", _S), ("hash_index", _L), ("block_index", _L), (
 FILES = _struct(("archive", _S), ("hash_index", _L), ("block_index", _L), ("name", _S), ("locale", _I), ("platform", _I), ("flags", _L), ("content", _X), ("error_kind", _S), ("error_message", _S))
 MANIFEST = _struct(("archive", _S), ("ord", _L), ("name", _S), ("data", _X), ("compression", _S), ("encrypted", _B), ("fix_key", _B), ("locale", _I), ("platform", _I), ("single_unit", _B), ("sector_crc", _B))
 ATTRIBUTES = _struct(("archive", _S), ("block_index", _L), ("crc32", _L), ("filetime", _L), ("md5", _X), ("patch_bit", _B))
+RAW_RANGES = _struct(("archive", _S), ("label", _S), ("chunk_size", _L), ("data", _X), ("digests", _X))
+TRAILERS = _struct(("archive", _S), ("trailer", _X), ("weak_size", _L))
 VERIFY_REPORT = _struct(("archive", _S), ("scope", _S), ("idx", _L), ("message", _S))
 
-TABLES = {"archives": ARCHIVES, "hash_entries": HASH_ENTRIES, "block_entries": BLOCK_ENTRIES, "names": NAMES, "list_items": LIST_ITEMS, "files": FILES, "attributes": ATTRIBUTES}
+TABLES = {"archives": ARCHIVES, "hash_entries": HASH_ENTRIES, "block_entries": BLOCK_ENTRIES, "names": NAMES, "list_items": LIST_ITEMS, "files": FILES, "attributes": ATTRIBUTES, "raw_ranges": RAW_RANGES, "trailers": TRAILERS}
 
 FREE, DELETED = 0xFFFFFFFF, 0xFFFFFFFE
 IMPLODE, COMPRESS, ENCRYPTED, FIX_KEY = 0x100, 0x200, 0x10000, 0x20000

@@ -1,7 +1,7 @@
 """Archives as a Spark data source: `spark.read.format("mpq").option("table", ...)` and `df.write.format("mpq")`.
 
-Reading: a partition is a share of the archives for tables of metadata, and one archive, or with `blocksPerPartition` a range of its
-blocks, for contents. Rows come as Arrow batches of bounded size. What is wrong with an archive or file is in the columns error_kind and
+Reading: a partition is a share of the archives for tables of metadata; for contents archives of about `PARTITION_BYTES` together, or with
+`blocksPerPartition` a range of the blocks of one. Rows come as Arrow batches of bounded size; the table of hash and block entries are columns of their bytes. What is wrong with an archive or file is in the columns error_kind and
 error_message; with `strict` it is raised. The option `archives` names those to be read; the others' partitions aren't made (Spark refuses
 filter pushdown in a Python source unless the session allows it, so an option does that).
 
@@ -31,7 +31,8 @@ from . import attributes as attrs
 from . import layout as L
 
 BATCH_ROWS, BATCH_BYTES = 4_096, 32 << 20
-ARCHIVES_PER_PARTITION = 32
+ARCHIVES_PER_PARTITION, PARTITION_BYTES = 32, 64 << 20
+TRAILER = 260
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -98,6 +99,27 @@ class _Scan:
                 out.setdefault(int(self.hashes[slot]["block_index"]), name)
         return out
 
+    def columns(self, table: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The entries of a table as Arrow columns of its fields."""
+        self.tables()
+        rows = self.hashes if table == "hash_entries" else self.blocks
+        for a in range(0, len(rows), 16 * BATCH_ROWS):
+            part = rows[a : a + 16 * BATCH_ROWS]
+            values = [pa.array([self.archive]).take(pa.array(np.zeros(len(part), np.int8))), np.arange(a, a + len(part)), *(part[n] for n in part.dtype.names)]
+            yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v.astype(f.type.to_pandas_dtype())) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    def raw_ranges(self) -> Iterator[tuple]:
+        """Ranges whose raw chunks have digests behind them: the header of version 4 and the extended tables; digests are null where the file ends before them."""
+        h = self.header
+        if not (chunk := h["raw_chunk_size"] or 0):
+            return
+        ranges = [("v4 header raw-data", 0, 0xC0)] if h["header_size"] >= 0xC0 else []
+        ranges += [(f"{kind.upper()} table", h[f"{kind}_table_pos_64"], h[f"{kind}_table_size_64"]) for kind in ("het", "bet") if h[f"{kind}_table_pos_64"] and h[f"{kind}_table_size_64"]]
+        for label, pos, size in ranges:
+            sums = 16 * -(-size // chunk)
+            inside = pos + size + sums <= self.region.size
+            yield self.archive, label, chunk, self.region.read(pos, size) if inside else b"", self.region.read(pos + size, sums) if inside else None
+
     def rows(self, table: str, share: Share) -> Iterator[tuple]:
         if table == "archives":
             h = self.header
@@ -105,12 +127,13 @@ class _Scan:
             yield (self.archive, *(h[n] for n in names), *(self.problem or (None, None)))
             return
         self.tables()
-        if table == "hash_entries":
-            for i, r in enumerate(self.hashes.tolist()):
-                yield (self.archive, i, *r)
-        elif table == "block_entries":
-            for i, r in enumerate(self.blocks.tolist()):
-                yield (self.archive, i, *r)
+        if table == "raw_ranges":
+            yield from self.raw_ranges()
+        elif table == "trailers":
+            end = self.header["archive_size_32"]
+            trailer = self.region.read(end, min(TRAILER, self.region.size - end)) if self.region.size > end else b""
+            slot = L.find_slot(self.hashes, len(self.blocks), L.SIGNATURE_FILE)
+            yield self.archive, trailer, None if slot is None else int(self.blocks[int(self.hashes[slot]["block_index"])]["file_size"])
         elif table == "names":
             for b, n in sorted(self.names().items()):
                 yield self.archive, b, n
@@ -155,11 +178,19 @@ class ArchiveReader(DataSourceReader):
         self.archives = {a.strip() for a in options["archives"].split(",")} if options.get("archives") else None
 
     def partitions(self) -> list[Share]:
-        paths = [p for p, _ in archive_paths(self.path) if self.archives is None or posixpath.basename(p) in self.archives]
+        sized = [(p, n) for p, n in archive_paths(self.path) if self.archives is None or posixpath.basename(p) in self.archives]
+        paths = [p for p, _ in sized]
         if self.table != "files":
             return [Share(paths[i : i + ARCHIVES_PER_PARTITION]) for i in range(0, len(paths), ARCHIVES_PER_PARTITION)] or [Share([])]
-        if not self.blocks:
-            return [Share([p]) for p in paths] or [Share([])]
+        if not self.blocks:  # small archives share a partition, as small files do in Spark's own sources
+            shares, held = [Share([])], 0
+            for p, n in sized:
+                if shares[-1].paths and held + n > PARTITION_BYTES:
+                    shares.append(Share([]))
+                    held = 0
+                shares[-1].paths.append(p)
+                held += n + (4 << 20)  # opening a file costs as much as some bytes of it
+            return shares
         out = []
         for p in paths:
             n = _Scan(p, None).header["block_table_entries"]
@@ -177,6 +208,9 @@ class ArchiveReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
         for path in partition.paths:
+            if self.table in ("hash_entries", "block_entries"):
+                yield from _Scan(path, None).columns(self.table, schema)
+                continue
             try:
                 for row in _Scan(path, self.listfile).rows(self.table, partition):
                     if self.strict and self.table in ("archives", "files") and row[-2]:
