@@ -2,7 +2,9 @@
 
 Each host has a tree of path segments. A segment that looks variable (a number, a date, hexadecimal, a UUID) becomes a wildcard of
 its form at once; level by level, so do the segments of a node that are each rare among many siblings. From the last
-level up, sibling branches that differ in one segment are merged if their labels don't differ more than chance allows. Each
+level up, sibling branches that differ in one segment are merged where their labels don't differ more than chance allows: in the order of
+their shares of bad pages each is held against those merged before it by a chi-squared test of 2 x 2 counts (with Yates' correction), and begins a new group if they
+differ. A group of all siblings is a wildcard, one of some is `{a|b}`. Siblings without labels join where all the others are one group, else they stay as they are. Each
 template's share of bad pages is smoothed towards the corpus's share, and templates above `REJECT` are rejected with all their pages.
 """
 
@@ -17,9 +19,8 @@ from .warc import _SCHEME
 
 MANY, RARE = 10, 0.1
 SMOOTH, REJECT = 10.0, 0.4
-#: Critical value of chi-squared at 5 %, by Wilson and Hilferty.
-Z = 1.645
-LEVELS = 16
+#: Critical value of chi-squared at 5 % with one degree of freedom.
+CHI_SQUARED = 3.841
 BROADCAST_PATHS = 200_000
 
 
@@ -42,15 +43,42 @@ def _form(s: Column) -> Column:
 
 
 def segments(url: Column) -> Column:
-    """The path's segments by form, then the sorted names of the query's parameters as one that begins with `?`. From the
-    LEVELS-th on they are one segment `**`."""
+    """The path's segments by form, all of them, then the sorted names of the query's parameters as one that begins with `?`."""
     path = F.regexp_replace(F.regexp_replace(url, _SCHEME + r"[^/?#]*", ""), r"[?#].*$", "")
     parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _form)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     names = F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, "^([^=]*)", 1))))
     end = F.when(query != "", F.array(F.concat(F.lit("?"), F.array_join(names, "&")))).otherwise(F.array().cast("array<string>"))
-    head = F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)
-    return F.concat(head, end)
+    return F.concat(parts, end)
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two branches (l labels, b of them bad) differ no more than chance allows."""
+    n = x["l"] + y["l"]
+    apart = F.abs(x["b"] * (y["l"] - y["b"]) - (x["l"] - x["b"]) * y["b"]).cast("double") - n / 2
+    bad = (x["b"] + y["b"]).cast("double")
+    return F.coalesce(n * F.pow(F.greatest(apart, F.lit(0.0)), 2) / F.nullif(x["l"].cast("double") * y["l"] * bad * (n - bad), F.lit(0.0)) <= CHI_SQUARED, F.lit(True))
+
+
+def _grouped(branch: DataFrame, d: int) -> DataFrame:
+    """(host, t, merged) of the branches that become one with others that differ in segment d only. A node has few siblings left: rare ones are a wildcard by now."""
+    star = lambda name: F.concat(F.slice("t", 1, d), F.array(name), F.slice("t", d + 2, F.size("t")))
+    one = F.struct((F.col("b") / F.greatest("l", F.lit(1))).alias("share"), F.element_at("t", d + 1).alias("s"), "l", "b")
+    siblings = branch.withColumn("star", star(F.lit("*"))).groupBy("host", "star").agg(F.collect_list(one).alias("all")).where(F.size("all") > 1)
+    start = F.array().cast("array<struct<l:bigint,b:bigint,names:array<string>>>")
+
+    def add(groups: Column, x: Column) -> Column:
+        last = F.try_element_at(groups, F.lit(-1))
+        joined = F.struct((last["l"] + x["l"]).alias("l"), (last["b"] + x["b"]).alias("b"), F.concat(last["names"], F.array(x["s"])).alias("names"))
+        own = F.struct(x["l"].alias("l"), x["b"].alias("b"), F.array(x["s"]).alias("names"))
+        return F.when((F.size(groups) > 0) & _alike(last, x), F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(joined))).otherwise(F.concat(groups, F.array(own)))
+
+    groups = siblings.withColumn("groups", F.aggregate(F.array_sort(F.filter("all", lambda x: x["l"] > 0)), start, add))
+    names = F.when(F.size("groups") < 2, F.array(F.transform("all", lambda x: x["s"]))).otherwise(F.filter(F.transform("groups", lambda g: F.array_sort(g["names"])), lambda n: F.size(n) > 1))
+    rows = groups.select("host", "star", (F.size("groups") < 2).alias("whole"), F.explode(names).alias("names"))
+    label = F.when(F.col("whole"), F.lit("*")).otherwise(F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}")))
+    rows = rows.select("host", F.col("star").alias("t"), label.alias("label"), F.explode("names").alias("s"))
+    return rows.select("host", star(F.col("s")).alias("t"), star(F.col("label")).alias("merged"))
 
 
 def templates(pages: DataFrame, labels: DataFrame, smooth: float = SMOOTH, reject: float = REJECT) -> DataFrame:
@@ -67,28 +95,22 @@ def templates(pages: DataFrame, labels: DataFrame, smooth: float = SMOOTH, rejec
     paths = saved(paths.withColumn("t", F.col("path")), folder, "paths")
     depth = paths.agg(F.max(F.size("t"))).first()[0] or 0
     for d in range(depth):  # a node: the host and the first d segments; generalise the segments below it
-        at = paths.where(F.size("t") > d).select("host", F.slice("t", 1, d).alias("node"), F.element_at("t", d + 1).alias("s"), "n")
+        at = paths.where(F.size("t") > d).select("host", F.slice("t", 1, d).alias("node"), F.element_at("t", d + 1).alias("s"), "n").where(~F.col("s").startswith("?"))
         children = at.groupBy("host", "node", "s").agg(F.sum("n").alias("n"))
-        nodes = children.where(~F.col("s").startswith("?")).groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where(F.col("k") >= MANY)
-        rare = children.join(nodes, ["host", "node"]).where((F.col("n") < F.col("total") * RARE) & ~F.col("s").startswith("?") & ~F.col("s").rlike("<[a-z]+>|^[*]+$"))
-        rare = rare.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("s").alias("r"))
+        nodes = children.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where(F.col("k") >= MANY)
+        rare = children.join(nodes, ["host", "node"]).where((F.col("n") < F.col("total") * RARE) & ~F.col("s").rlike("<[a-z]+>|^[*]+$"))
+        rare = saved(rare.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("s").alias("r")), folder, f"rare{d}")
+        if rare.isEmpty():
+            continue
         hit = (F.col("host") == F.col("h")) & (F.slice("t", 1, d) == F.col("p")) & (F.get("t", F.lit(d)) == F.col("r"))
-        star = F.concat(F.slice("t", 1, d), F.array(F.lit("*")), F.slice("t", d + 2, LEVELS + 2))
+        star = F.concat(F.slice("t", 1, d), F.array(F.lit("*")), F.slice("t", d + 2, F.size("t")))
         paths = saved(paths.join(rare, hit, "left").withColumn("t", F.when(F.col("r").isNotNull(), star).otherwise(F.col("t"))).drop("h", "p", "r"), folder, f"wild{d}")
     base = F.broadcast(paths.agg((F.sum("b") / F.nullif(F.sum("l"), F.lit(0))).alias("base")).select(F.coalesce("base", F.lit(0.0)).alias("base")))
     for d in reversed(range(depth)):  # merge siblings that differ in segment d only
         branch = paths.groupBy("host", "t").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).where((F.size("t") > d) & ~F.element_at("t", d + 1).startswith("?"))
-        star = F.concat(F.slice("t", 1, d), F.array(F.lit("*")), F.slice("t", d + 2, LEVELS + 2))
-        branch = branch.withColumn("star", star).crossJoin(base)
-        w = W.partitionBy("host", "star")
-        branch = branch.withColumns({"k": F.count("*").over(w), "p": (F.sum("b").over(w) + F.lit(smooth) * F.col("base")) / (F.sum("l").over(w) + F.lit(smooth))})
-        part = F.when(F.col("l") > 0, F.col("l") * F.pow(F.col("b") / F.col("l") - F.col("p"), 2) / F.nullif(F.col("p") * (1 - F.col("p")), F.lit(0.0)))
-        branch = branch.withColumn("x2", F.coalesce(F.sum(part).over(w), F.lit(0.0)))
-        f = F.col("k") - 1
-        limit = f * F.pow(1 - 2 / (9 * f) + F.lit(Z) * F.sqrt(2 / (9 * f)), 3)
-        merged = branch.where(F.col("k") > 1).where(F.col("x2") <= limit).select(F.col("host").alias("h"), F.col("t").alias("p"), "star")
-        joined = paths.join(merged, (F.col("host") == F.col("h")) & (F.col("t") == F.col("p")), "left")
-        paths = saved(joined.withColumn("t", F.coalesce("star", "t")).drop("h", "p", "star"), folder, f"merged{d}")
+        merged = saved(_grouped(branch, d), folder, f"groups{d}")
+        if not merged.isEmpty():
+            paths = saved(paths.join(merged, ["host", "t"], "left").withColumn("t", F.coalesce("merged", "t")).drop("merged"), folder, f"merged{d}")
     w = W.partitionBy("host", "t")
     paths = paths.withColumns({"n_labelled": F.sum("l").over(w), "n_bad": F.sum("b").over(w)}).crossJoin(base)
     share = (F.col("n_bad") + F.lit(smooth) * F.col("base")) / (F.col("n_labelled") + F.lit(smooth))
