@@ -26,7 +26,8 @@ from .exchange import binary, bounded_batches, drop, partition_keys, saved, with
 RANK, OVERSAMPLE, PASSAGE = 64, 8, 64
 COSINE, EXACT, PARAPHRASE, ANSWER = 0.5, 0.6, 0.4, 0.7
 SMALLEST, CERTAIN_WORDS = 16, 8
-ITEMS_AT_ONCE = 5_000
+#: Items are compared with the windows of a slice so many at a time, which changes no result.
+_ITEMS_AT_ONCE = 500
 _SLICE_WORDS = 150_000
 _SUMS = 16
 
@@ -64,7 +65,7 @@ class Items:
 
 
 def _reduce(items: Items):
-    """Documents to the numbers of vocabulary words and the gaps between their places; a gap of 65,535 is that or more."""
+    """Documents to the numbers of vocabulary words and the gaps between their places, in 16 bits or, where a document has wider ones, 32."""
 
     def run(batches):
         for batch in batches:
@@ -77,8 +78,10 @@ def _reduce(items: Items):
                 own = np.zeros(len(place), dtype=bool)
                 own[cuts[:-1][np.diff(cuts) > 0]] = True
                 gap = np.where(own, place - first, gap)
-                gap, number = np.minimum(gap, 65535).astype(np.uint16), number.astype(items.kind)
-                cols = [part.column("doc_id"), *(binary([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]) for x in (number, gap))]
+                narrow, number = gap.astype(np.uint16), number.astype(items.kind)
+                wide = {int(np.searchsorted(cuts, i, "right")) - 1 for i in np.flatnonzero(gap > 65535)}
+                gaps = [(gap[a:b].astype(np.uint32) if i in wide else narrow[a:b]).tobytes() for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                cols = [part.column("doc_id"), binary([number[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]), binary(gaps)]
                 some = pa.array(np.diff(cuts) > 0)
                 yield pa.RecordBatch.from_arrays([c.filter(some) for c in cols], names=["doc_id", "words", "gaps"])
 
@@ -95,7 +98,10 @@ def _groups(batch: pa.RecordBatch, kind, most: int = _SLICE_WORDS):
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             number = np.frombuffer(b"".join(words[a:b]), kind).astype(np.int64)
-            gap = np.frombuffer(b"".join(gaps[a:b]), np.uint16).astype(np.int64)
+            if any(2 * n != len(g) for n, g in zip(counts[a:b], gaps[a:b], strict=True)):
+                gap = np.concatenate([np.frombuffer(g, np.uint16 if 2 * n == len(g) else np.uint32).astype(np.int64) for n, g in zip(counts[a:b], gaps[a:b], strict=True)])
+            else:
+                gap = np.frombuffer(b"".join(gaps[a:b]), np.uint16).astype(np.int64)
             offs = np.concatenate([[0], np.cumsum(counts[a:b])])
             total = np.cumsum(gap)
             before = np.concatenate([[0], total])[offs[:-1]]
@@ -261,7 +267,8 @@ def _search(items: Items, idf: np.ndarray, vectors: np.ndarray, cosine: float):
     table = _with_zero(vectors * idf[:, None])
     latent = np.stack([table[w].sum(axis=0) for w in items.words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    scales = [(int(x), np.flatnonzero(items.scale == x)) for x in np.unique(items.scale)]
+    of_scale = [(int(x), np.flatnonzero(items.scale == x)) for x in np.unique(items.scale)]
+    scales = [(x, which[k : k + _ITEMS_AT_ONCE]) for x, which in of_scale for k in range(0, len(which), _ITEMS_AT_ONCE)]
     own = [np.unique(w) for w in items.words]
     lists = [w.tolist() for w in items.words]
     mass = np.array([idf[w].sum() for w in own])
@@ -309,21 +316,28 @@ def _search(items: Items, idf: np.ndarray, vectors: np.ndarray, cosine: float):
             for rows, number, place, offs in _groups(batch, items.kind):
                 best: dict[tuple[int, int], float] = {}
                 fine = _cells(place, offs, SMALLEST // 2)
-                top = scales[-1][0] // SMALLEST
-                cells = -(-(int(fine[-1]) + 4 if len(fine) else 4) // top) * top + 2 * top
-                sums = np.zeros((cells, table.shape[1]), dtype=np.float32)
                 cuts = np.flatnonzero(np.diff(fine, prepend=-1))
-                if len(cuts):
-                    sums[fine[cuts]] = segment_sums(table, number, cuts)
-                half = 1  # fine cells in half a window
+                if not len(cuts):
+                    continue
+                cells, sums = fine[cuts], segment_sums(table, number, cuts)  # of the cells that have words
+                half, window = 1, None  # fine cells in half a window
                 for scale, which in scales:
                     while half < scale // SMALLEST:
-                        sums, half = sums[0 : len(sums) // 2 * 2 : 2] + sums[1::2], half * 2
-                    window = sums[:-1] + sums[1:]
-                    norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+                        cuts = np.flatnonzero(np.diff(cells // 2, prepend=-1))
+                        two = np.flatnonzero(np.diff(np.append(cuts, len(cells))) == 2)
+                        added = sums[cuts]
+                        added[two] += sums[cuts[two] + 1]
+                        cells, sums, half, window = cells[cuts] // 2, added, half * 2, None
+                    if window is None:  # begins with every cell that has words and with the one before it
+                        starts = np.union1d(cells, cells[cells > 0] - 1)
+                        window = np.zeros((len(starts), sums.shape[1]), dtype=np.float32)
+                        window[np.searchsorted(starts, cells)] = sums
+                        before = cells > 0
+                        window[np.searchsorted(starts, cells[before] - 1)] += sums[before]
+                        norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                     some = np.flatnonzero(norm > 1e-6)
                     r, c = np.nonzero(window[some] @ latent[which].T >= cosine * norm[some][:, None])
-                    begin, item = some[r] * half, which[c]
+                    begin, item = starts[some[r]] * half, which[c]
                     # a region reaches half a window beyond the window on both sides, within its document
                     lo, hi = np.searchsorted(fine, begin - half), np.searchsorted(fine, begin + 3 * half)
                     doc, last = np.searchsorted(offs, lo, "right") - 1, np.searchsorted(offs, hi, "left")
@@ -360,24 +374,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. Rows with a null id or text and texts
     without words match nothing. An item of fewer than 8 words matches only word for word. Repeated rows of a
     document give one row for each item, with the largest share; repeated item ids likewise. No items
-    or no documents give no rows. The benchmark is taken to the driver, some thousand items at a time; the corpus never is.
+    or no documents give no rows. The benchmark is taken to the driver; the corpus never is. Words, weights and the latent space are
+    those of the whole benchmark, and memory follows the words of a text that are in it, not the text's length.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").orderBy("item_id", "text").collect()
     rows = [r for r in rows if tk.tokens(pa.array([r.text], pa.large_string()))[0].size]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = spark.createDataFrame([], "doc_id long, item_id long, share double")
+    if not rows:
+        return spark.createDataFrame([], "doc_id long, item_id long, share double")
     folder = workspace(spark)
-    for at in range(0, len(rows), ITEMS_AT_ONCE):
-        some = rows[at : at + ITEMS_AT_ONCE]
-        items = Items([r.item_id for r in some], [r.text for r in some])
-        reduced = saved(texts.mapInArrow(tk.trimmed(_reduce(items)), "doc_id long, words binary, gaps binary"), folder, f"reduced{at}")
-        idf, vectors = _svd(reduced, items, rank, seed)
-        hits = saved(reduced.mapInArrow(tk.trimmed(_search(items, idf, vectors, cosine)), "doc_id long, item_id long, share double"), folder, f"hits{at}")
-        drop(spark, f"{folder}/reduced{at}")
-        found = found.unionByName(hits)
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    items = Items([r.item_id for r in rows], [r.text for r in rows])
+    reduced = saved(texts.mapInArrow(tk.trimmed(_reduce(items)), "doc_id long, words binary, gaps binary"), folder, "reduced")
+    idf, vectors = _svd(reduced, items, rank, seed)
+    hits = saved(reduced.mapInArrow(tk.trimmed(_search(items, idf, vectors, cosine)), "doc_id long, item_id long, share double"), folder, "hits")
+    drop(spark, f"{folder}/reduced")
+    return hits.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -59,6 +60,68 @@ def test_test_documents(spark, small):
     assert found == {(i, j) for i, t in docs.items() for j, b in items.items() if b in t}
 
 
+def test_items_at_once_change_nothing(case, monkeypatch):
+    docs, bench, _ = case
+    every = sorted(map(tuple, D.leaks(docs, bench).collect()))
+    for n in (1, 7):
+        monkeypatch.setattr(D, "_ITEMS_AT_ONCE", n)
+        assert sorted(map(tuple, D.leaks(docs, bench).collect())) == every
+
+
+def brute_leaks(docs, items):
+    """The rule by itself: every window of every item's length in every document, without retrieval; words weighted as in the operator's judgement."""
+    found = set()
+    for i, body in docs:
+        for j, item in items:
+            m = len(item)
+            for at in range(0, max(1, len(body) - m + 1), 2):
+                window = body[max(0, at - m // 2) : at + m + m // 2]
+                if D.lcs([w for w in window if w in set(item)], item) >= D.EXACT * m:
+                    found.add((i, j))
+                    break
+    return found
+
+
+def test_as_brute_force_finds_them(spark):
+    """Whatever holds enough of an item's words in order is found, wherever it lies, and nothing much less."""
+    rnd = random.Random(23)
+    items = [(j, prose(rnd.randint(10, 70), rnd)) for j in range(25)]
+    docs = []
+    for i in range(160):
+        body = prose(rnd.randint(0, 300), rnd)
+        for _ in range(rnd.choice([0, 1, 2])):
+            _, item = rnd.choice(items)
+            p = rnd.choice([0.0, 0.1, 0.2, 0.3])
+            at = rnd.randint(0, len(body))
+            body[at:at] = [rnd.choice(WORDS) + "q" if rnd.random() < p else w for w in item]
+        docs.append((i, body))
+    want = brute_leaks(docs, items)
+    rows = D.leaks(spark.createDataFrame([(i, " ".join(b)) for i, b in docs], "doc_id long, text string"), spark.createDataFrame([(j, text(w)) for j, w in items], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(want) > 80 and len(want & got) >= 0.98 * len(want)
+    assert all(r.share >= D.PARAPHRASE for r in rows) and len(got - want) <= 0.1 * len(want)
+
+
+def test_far_apart_words(spark):
+    """Gaps beyond 16 bits keep their length, and memory follows the words that are known."""
+    import tracemalloc
+
+    item = " ".join(WORDS[:20])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hole = " ".join("zzz" for _ in range(70_000))
+    rows = [(1, f"{item} {hole} {item}"), (2, " ".join(WORDS[:10]) + f" {hole} " + " ".join(WORDS[10:20])), (3, f"{hole} {item}")]
+    assert {r.doc_id for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {1, 3}
+    items = D.Items([1, 2], [item, " ".join(WORDS[20:60] * 20)])
+    words = np.tile(np.arange(20), 2_000).astype(items.kind)
+    gaps = np.full(len(words), 500, np.uint16)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), *(pa.array([x[k : k + 20].tobytes() for k in range(0, len(x), 20)], pa.binary()) for x in (words, gaps))], names=["doc_id", "words", "gaps"])
+    vectors = np.random.default_rng(0).standard_normal((len(items.vocabulary), D.RANK))
+    tracemalloc.start()
+    list(D._search(items, np.ones(len(items.vocabulary)), vectors, 0.99)([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+
+
 def test_odd_documents(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (None, "a b c"), (2, ""), (3, "?!"), (4, "One"), (4, "One"), (5, odd.where("doc_id = 2").first().text)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.leaks(odd, bench).collect()} == {(9, 4), (1, 5), (2, 5)}
