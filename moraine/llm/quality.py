@@ -4,7 +4,7 @@ A line goes if it fails one of the rules:
 
 * punctuation: many marks that prose doesn't use for its number of words, or no sentence
   punctuation anywhere in a line of many words;
-* navigation: separators between most of the words, or a menu entry alone on its line;
+* navigation: separators between most of the words (of scripts without blanks, two letters are a word), or a menu entry alone on its line;
 * boilerplate: a licence, copyright, cookie or sign-up phrase in a line that isn't long, or the same few words over and over.
 
 Blank lines fail none. Then a document goes that kept less than `min_share` of its characters outside blank lines.
@@ -34,6 +34,8 @@ BOILERPLATE_WORDS = 60
 #: Fewer distinct words than both this share and this multiple of the root of their number: the vocabulary of prose grows faster than that.
 REPEATED_WORDS, DISTINCT_SHARE, DISTINCT_ROOT = 20, 0.15, 6.0
 BLANKS = " \t\r"
+#: Letters of scripts that set no blanks between words (Thai to Lao, Myanmar, Khmer, kana, Han): for the shares of marks and separators two of them count as a word.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
 MIN_SHARE = 0.4
 
 
@@ -42,8 +44,9 @@ def _passes(x: Column) -> Column:
     n = F.size(words)
     marks = F.length(line) - F.length(F.regexp_replace(line, F.lit(MARKS), F.lit("")))
     separators = F.length(line) - F.length(F.regexp_replace(line, F.lit(SEPARATORS), F.lit("")))
-    bad_punctuation = (marks >= MIN_MARKS) & (marks > n * MARK_SHARE) | (n >= UNPUNCTUATED_WORDS) & ~F.rlike(line, F.lit(SENTENCE))
-    navigation = (separators >= MIN_SEPARATORS) & (separators >= n * SEPARATOR_SHARE) | F.rlike(line, F.lit(MENU))
+    of_shares = n + (F.length(line) - F.length(F.regexp_replace(line, F.lit(UNSPACED), F.lit("")))) / F.lit(2)
+    bad_punctuation = (marks >= MIN_MARKS) & (marks > of_shares * MARK_SHARE) | (n >= UNPUNCTUATED_WORDS) & ~F.rlike(line, F.lit(SENTENCE))
+    navigation = (separators >= MIN_SEPARATORS) & (separators >= of_shares * SEPARATOR_SHARE) | F.rlike(line, F.lit(MENU))
     boilerplate = (n <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE)) | (n >= REPEATED_WORDS) & (F.size(F.array_distinct(words)) < F.least(n * F.lit(DISTINCT_SHARE), F.sqrt(n) * F.lit(DISTINCT_ROOT)))
     return ~(bad_punctuation | navigation | boilerplate)
 
@@ -87,9 +90,10 @@ def clean_sql(table: str = "documents") -> str:
     marks = f"length(x) - length(regexp_replace(x, {_q(MARKS)}, '', 'g'))"
     seps = f"length(x) - length(regexp_replace(x, {_q(SEPARATORS)}, '', 'g'))"
     n = "len(string_split(x, ' '))"
+    shares = f"({n} + (length(x) - length(regexp_replace(x, {_q(UNSPACED)}, '', 'g'))) / 2.0::DOUBLE)"
     fails = (
-        f"({marks} >= {MIN_MARKS} AND {marks} > {n} * {MARK_SHARE}) OR ({n} >= {UNPUNCTUATED_WORDS} AND NOT regexp_matches(x, {_q(SENTENCE)}))"
-        f" OR ({seps} >= {MIN_SEPARATORS} AND {seps} >= {n} * {SEPARATOR_SHARE}) OR regexp_matches(x, {_q(MENU)})"
+        f"({marks} >= {MIN_MARKS} AND {marks} > {shares} * {MARK_SHARE}::DOUBLE) OR ({n} >= {UNPUNCTUATED_WORDS} AND NOT regexp_matches(x, {_q(SENTENCE)}))"
+        f" OR ({seps} >= {MIN_SEPARATORS} AND {seps} >= {shares} * {SEPARATOR_SHARE}::DOUBLE) OR regexp_matches(x, {_q(MENU)})"
         f" OR ({n} <= {BOILERPLATE_WORDS} AND regexp_matches(x, {_q(BOILERPLATE)})) OR ({n} >= {REPEATED_WORDS} AND len(list_distinct(string_split(x, ' '))) < least({n} * {DISTINCT_SHARE}::DOUBLE, sqrt({n}) * {DISTINCT_ROOT}::DOUBLE))"
     )
     size = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(trim(x, ' ' || chr(9) || chr(13))))), 0)"

@@ -32,6 +32,26 @@ def test_rules_for_lines(spark):
     assert all(kept(spark, PROSE, b) == [PROSE] for b in bad)
 
 
+def test_scripts_without_blanks(spark):
+    """Points in names and a few marks are prose in a line of many letters; menus and runs of marks stay what they are."""
+    good = ["米开朗基罗·博那罗蒂·西莫尼是意大利文艺复兴时期的雕塑家和画家。", "この商品は100%天然素材でできていて、価格は一つ$20から大きいものの$30までとなっています。", "ประเทศไทยมีประชากรมากกว่า 60 ล้านคน + 5% ในปี."]
+    bad = ["首页|新闻|关于|联系", "买!!快!!来!!买!!"]
+    assert kept(spark, *good, *bad) == good
+
+
+def test_scripts_as_sql_has_them(spark):
+    import duckdb
+
+    lines = ["米开朗基罗·博那罗蒂·西莫尼是雕塑家。", "首页|新闻|关于|联系", "买!!快!!来!!买!!", PROSE]
+    rows = [(i, "\n".join(lines[i:] + lines[:1]), "zh", "s", 1) for i in range(4)] + [(9, None, None, None, None), (10, "", "zh", "s", 0)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    want = c.sql(quality.ORACLE["op3_quality_rules"]).fetchall()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(tuple(r) for r in quality.clean(docs).select("doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_removed").collect()) == sorted(want)
+
+
 def test_documents_that_lose_too_much_go(spark):
     junk = "BUY!! NOW!! CHEAP!! STUFF!! " * 10
     rows = spark.createDataFrame([(1, f"{PROSE}\n{junk}", 0), (2, f"{PROSE}\n{PROSE}\n{junk[:90]}", 0), (3, junk, 0)], "doc_id long, text string, n_chars long")
