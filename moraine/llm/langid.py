@@ -18,7 +18,7 @@ from . import textkit as tk
 
 #: Training takes about so many documents of a language, chosen by a hash of doc_id.
 TRAIN_DOCUMENTS = 2_000
-#: An n-gram belongs to a language if it is at least this share of the language's n-grams; so there are at most 1 / share of them.
+#: An n-gram belongs to a language if it is at least this share of the language's n-grams in training, whatever their number; so there are at most 1 / share of them.
 MIN_GRAM_SHARE = 2e-5
 HASHES, SLOTS_PER_GRAM = 2, 8
 MIN_SHARE = 0.2
@@ -118,7 +118,10 @@ class Filters:
 
 
 def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, share: float = MIN_GRAM_SHARE) -> Filters:
-    """Filters from the rows of docs that have text and lang; about `documents` of each language. Every distinct label is one, of any number."""
+    """Filters from the rows of docs that have text and lang; about `documents` of each language. Every distinct label is one, of any number.
+
+    `share` is the one threshold: n-grams rarer than that in a language's sample aren't taken for the language's (of a sample of up to 1 / share n-grams, all are).
+    """
     labelled = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     have = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     wanted = docs.sparkSession.createDataFrame([(lang, min(1.0, documents / n)) for lang, n in have.items()], "lang string, wanted double")
@@ -126,7 +129,7 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, share: float = MIN_
     sample = labelled.join(F.broadcast(wanted), "lang").where(draw < F.col("wanted")).select("lang", "text")
     counts = sample.mapInArrow(tk.trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(total), "lang").where((F.col("n") >= F.col("total") * share) & ((F.col("n") > 1) | (F.col("total") < 10_000))).select("lang", "gram").toArrow()
+    kept = counts.join(F.broadcast(total), "lang").where(F.col("n") >= F.col("total") * share).select("lang", "gram").toArrow()
     languages = sorted(have)
     lang = pc.index_in(kept.column("lang"), pa.array(languages, kept.schema.field("lang").type)).to_numpy()
     order = np.argsort(lang, kind="stable")

@@ -172,3 +172,44 @@ def test_more_than_64_languages(spark):
     assert len(filters.languages) == 150 and filters.masks.shape[0] == 3
     found = langid.identify(docs, filters).collect()
     assert len(found) == len(rows) and all(r.lang == r.predicted for r in found)
+
+
+@pytest.mark.parametrize("languages", [3, 70])
+def test_languages_as_exact_sets_have_them(spark, languages):
+    """Against sets of n-grams: whatever a set holds the filter holds, and what it holds besides is as much as the fill says; decisions agree."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(languages)
+    words = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for _ in range(languages)]
+    text = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    rows = [(languages * j + k, text(k, 60), f"l{k:02d}") for k in range(languages) for j in range(6)]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    of = lambda t: set(langid.grams(pa.array([t]))[0].tolist())
+    sets = [set().union(*(of(t) for _, t, lang in rows if lang == f"l{k:02d}")) for k in range(languages)]
+    for k in range(languages):
+        mask = filters.languages_of(np.array(sorted(sets[k]), dtype=np.uint32))
+        assert filters.bit(mask, k).all()
+    other = np.array(sorted(of(" ".join("".join(rnd.choice("qxzjkvw") for _ in range(7)) for _ in range(3000))) - set().union(*sets)), dtype=np.uint32)
+    found = np.mean([filters.bit(filters.languages_of(other), k).mean() for k in range(languages)])
+    assert found < 2 * filters.false.mean() + 0.01
+    new = [(i, text(i % languages, 30)) for i in range(3 * languages)]
+    exact = {i: max(range(languages), key=lambda k, t=t: (len(of(t) & sets[k]), -k)) for i, t in new}
+    got = {r.doc_id: r.predicted for r in langid.identify(spark.createDataFrame(new, "doc_id long, text string"), filters).collect()}
+    assert got == {i: f"l{k:02d}" for i, k in exact.items()}
+
+
+def test_of_equal_shares_the_first_language_wins(spark):
+    rows = [(i, "the same words in both of them", lang) for i, lang in enumerate(["zz", "aa", "mm"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.predicted, r.margin) for r in langid.identify(docs, langid.train(docs)).collect()} == {("aa", 0.0)}
+
+
+def test_rare_grams_count_whatever_the_size_of_training(spark):
+    """One threshold: an n-gram met once is kept while once is the least share or more."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(900)), "aa") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.share == 1 for r in langid.identify(docs, langid.train(docs)).collect())
+    assert all(r.share < 1 for r in langid.identify(docs, langid.train(docs, share=1e-3)).collect())
