@@ -210,11 +210,19 @@ def _plain(key: bytes) -> bytes:
     return key.replace(b"%09", b"\t").replace(b"%0A", b"\n").replace(b"%0D", b"\r").replace(b"%25", b"%") if b"%" in key else key
 
 
+def _page_text() -> Column:
+    """The page_id as the index has it; none and an empty one differ. Control characters, which separate what a line holds, are escaped."""
+    text = F.col("page_id").cast("string")
+    for c, code in (("%", "%25"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return F.when(text.isNull(), F.lit("%")).otherwise(text)
+
+
 def build(pages: DataFrame) -> Index:
     """Writes captures and index of the pages to the shared folder. Rows with a null url have no key and aren't captured; a null html is an empty body."""
     spark = pages.sparkSession
     folder = workspace(spark)
-    rows = pages.where("url is not null").select(url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), F.col("url"), F.col("html").cast("string").alias("html"))
+    rows = pages.where("url is not null").select(url_key(F.col("url")).alias("key"), _page_text().alias("page"), F.col("url"), F.col("html").cast("string").alias("html"))
     lines = saved(rows.mapInArrow(tk.trimmed(_capture(f"{folder}/store")), _LINE), folder, "lines")
     ordered = lines.repartitionByRange("key", "page", "file", "offset").sortWithinPartitions("key", "page", "file", "offset")
     shards = ordered.mapInArrow(tk.trimmed(_blocks(f"{folder}/store")), "shard string, first string, lines long").collect()
@@ -229,18 +237,18 @@ def _look_up(index: Index):
         last: tuple[str | None, dict] = (None, {})
         for batch in batches:
             out = []
-            for key, page, url in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, page, url in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if key != last[0]:
                     last = key, {}
                     for p, *place in reader.captures(key):
                         last[1].setdefault(p, []).append(place)
-                own = last[1].get("" if page is None else str(page), [])
+                own = last[1].get(page, [])
                 body = payload(reader.read(own[0][0], *own[0][1:])) if own else None
-                out.append((page, url, key, sum(map(len, last[1].values())), None if body is None else hashlib.md5(body).hexdigest(), None if body is None else len(body)))
+                out.append((url, key, sum(map(len, last[1].values())), None if body is None else hashlib.md5(body).hexdigest(), None if body is None else len(body)))
             if out:
                 c = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["page_id", "url", "url_key", "n_captures", "html_md5", "html_bytes"])
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], names=["page_id", "url", "url_key", "n_captures", "html_md5", "html_bytes"])
 
     return run
 
@@ -249,12 +257,13 @@ def look_up(queries: DataFrame, index: Index) -> DataFrame:
     """(page_id, url, url_key, n_captures, html_md5, html_bytes) for every row of queries (page_id, url).
 
     n_captures: how many captures the URL's key has. Digest and size are of the body read back from the capture of this page_id (the
-    first, where a page_id was captured more than once under the key); null where there is none. A null url has no key: no row. Repeated rows give
-    repeated rows. Other columns are not read.
+    first, where a page_id was captured more than once under the key); null where there is none. A page_id of any type that has a text keeps it; a null one finds
+    the captures without page_id. A null url has no key: no row. Repeated rows give repeated rows. Other columns are not read.
     """
-    rows = queries.where("url is not null").select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "page_id")
-    return rows.mapInArrow(tk.trimmed(_look_up(index)), "page_id long, url string, url_key string, n_captures long, html_md5 string, html_bytes long")
+    rows = queries.where("url is not null").select(url_key(F.col("url")).alias("key"), _page_text().alias("page"), F.col("page_id"), F.col("url").cast("string").alias("url"))
+    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "page")
+    kind = queries.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(tk.trimmed(_look_up(index)), f"page_id {kind}, url string, url_key string, n_captures long, html_md5 string, html_bytes long")
 
 
 def op5_warc_index(spark, sf_dir: str) -> DataFrame:
@@ -269,6 +278,6 @@ CASE WHEN rest = '' OR rest LIKE '?%' THEN '/' || rest ELSE rest END"""
 QUERIES = {"op5_warc_index": op5_warc_index}
 ORACLE = {
     "op5_warc_index": f"""
-SELECT page_id, url, url_key, count(*) OVER (PARTITION BY url_key) AS n_captures, md5(html) AS html_md5, CAST(octet_length(encode(html)) AS BIGINT) AS html_bytes
+SELECT page_id, url, url_key, count(*) OVER (PARTITION BY url_key) AS n_captures, md5(coalesce(html, '')) AS html_md5, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS html_bytes
 FROM (SELECT *, {_KEY_SQL} AS url_key FROM (SELECT *, regexp_replace(regexp_replace(url, '{_SCHEME}[^/?#]*', ''), '#.*$', '') AS rest FROM pages WHERE url IS NOT NULL))"""
 }

@@ -1,4 +1,6 @@
-from collections import Counter
+import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,18 +75,142 @@ def test_siblings_merge_unless_their_labels_differ(spark):
     assert same == {"/*/<n>"}
     labels = [(i, 1 if i >= 200 else b) for i, b in labels]
     apart = {r.template: r.rejected for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
-    assert apart == {"/news/<n>": False, "/blog/<n>": False, "/junk/<n>": True}
+    assert apart == {"/{blog|news}/<n>": False, "/junk/<n>": True}
 
 
-def test_odd_pages(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "LEVELS", 4)
+@pytest.mark.parametrize("unlabelled", [0, 7, 60])
+def test_siblings_without_labels_merge_no_others(spark, unlabelled):
+    rows, labels = [], []
+    for k, (section, bad) in enumerate((("good", 0), ("junk", 1), ("fine", 0))):
+        rows += [(100 * k + i, f"http://h.org/{section}/{i}") for i in range(40)]
+        labels += [(100 * k + i, bad) for i in range(40)]
+    rows += [(10_000 + 9 * k + i, f"http://h.org/s{chr(97 + k % 26)}{chr(97 + k // 26)}/{i}") for k in range(unlabelled) for i in range(1 if unlabelled > 9 else 9)]
+    out = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    by = {r.page_id: r for r in out}
+    assert by[100].template == "/junk/<n>" and by[100].rejected
+    assert by[0].template == by[200].template == "/{fine|good}/<n>" and not by[0].rejected and by[0].n_labelled == 80
+
+
+def brute_templates(rows, labels, smooth=10.0, reject=0.4):
+    """(host, template, labels, bad, rejected) of each page, by the rules as written, one node after another."""
+    known = defaultdict(list)
+    for page, bad in labels:
+        known[page].append(bad)
+
+    def form(s):
+        name, ending = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", s).groups()
+        for pattern, kind in ((r"[0-9]{4}-[0-9]{2}(-[0-9]{2})?", "<date>"), (r"[0-9]+", "<n>"), (r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", "<uuid>")):
+            if re.fullmatch(pattern, name):
+                return kind + (ending or "")
+        if re.fullmatch(r"[0-9a-fA-F]{8,}", name) and re.search("[0-9]", name):
+            return "<hex>" + (ending or "")
+        return re.sub("[0-9]+$", "", name) + "<n>" + (ending or "") if re.search("[0-9]{3,}$", name) else s
+
+    pages = []
+    for page, url in rows:
+        host, _, rest = re.sub("^http://", "", url).partition("/")
+        path, _, query = rest.partition("?")
+        end = ["?" + "&".join(sorted({p.split("=")[0] for p in query.split("&")}))] if query else []
+        pages.append([page, host, [form(s) for s in path.split("/") if s] + end])
+    depth = max(len(t) for _, _, t in pages)
+    for d in range(depth):
+        nodes = defaultdict(Counter)
+        for _, h, t in pages:
+            if len(t) > d and not t[d].startswith("?"):
+                nodes[h, *t[:d]][t[d]] += 1
+        for _, h, t in pages:
+            own = nodes.get((h, *t[:d]))
+            if own and len(t) > d and len(own) >= urlfilter.MANY and not t[d].startswith("?") and own[t[d]] < sum(own.values()) * urlfilter.RARE and not re.search("<[a-z]+>|^[*]+$", t[d]):
+                t[d] = "*"
+    labelled = lambda some: (sum(len(known[p]) for p, _, _ in some), sum(sum(known[p]) for p, _, _ in some))
+    for d in reversed(range(depth)):
+        families = defaultdict(lambda: defaultdict(list))
+        for row in pages:
+            if len(row[2]) > d and not row[2][d].startswith("?"):
+                families[row[1], *row[2][:d], None, *row[2][d + 1 :]][row[2][d]].append(row)
+        for family in families.values():
+            counts = {s: labelled(some) for s, some in family.items()}
+            groups = []
+            for _, s in sorted((b / n, s) for s, (n, b) in counts.items() if n):
+                n, b = counts[s]
+                if groups:
+                    m, c = groups[-1][1:]
+                    x = max(abs(c * (n - b) - (m - c) * b) - (m + n) / 2, 0) ** 2 * (m + n)
+                    y = m * n * (b + c) * (m + n - b - c)
+                    if not y or x / y <= urlfilter.CHI_SQUARED:
+                        groups[-1] = [[*groups[-1][0], s], m + n, b + c]
+                        continue
+                groups.append([[s], n, b])
+            if len(groups) < 2:
+                groups = [[list(family), 0, 0]]
+            for names, *_ in groups:
+                if len(names) > 1:
+                    for s in names:
+                        for row in family[s]:
+                            row[2][d] = "*" if len(groups) == 1 else "{" + "|".join(sorted(names)) + "}"
+    of = defaultdict(list)
+    for row in pages:
+        of[row[1], "/" + "/".join(row[2])].append(row)
+    base = (lambda n, b: b / n if n else 0.0)(*labelled(pages))
+    out = {}
+    for (h, t), some in of.items():
+        n, b = labelled(some)
+        for p, _, _ in some:
+            out[p] = h, t, n, b, (b + smooth * base) / (n + smooth) > reject
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_templates_as_by_hand(spark, seed):
+    rnd = random.Random(seed)
+    sections = ["news", "blog", "junk", "shop", "wiki", "a|b"][: rnd.randint(3, 6)]
+    rows, labels = [], []
+    for i in range(400):
+        s = rnd.choice(sections)
+        middle = rnd.choice(["", f"{rnd.choice('xyz')}/", f"u{rnd.choice('abcdefghijklmnopqrstuv')}{rnd.choice('abc')}/"])
+        leaf = rnd.choice([f"{i}", f"{i}.html", f"item{i:04d}", "2024-01-02", "index.php?b=1&a=2", f"{i:08x}a1", "end"])
+        rows.append((i, f"http://h{rnd.randint(0, 1)}.org/{s}/{middle}{leaf}"))
+        labels += [(i, int(rnd.random() < {"junk": 0.9, "shop": 0.5}.get(s, 0.1))) for _ in range(rnd.choice([0, 1, 1, 2]))]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {r.page_id: (r.host, r.template, r.n_labelled, r.n_bad, r.rejected) for r in got} == brute_templates(rows, labels)
+
+
+def test_paths_of_any_depth_stay_apart(spark):
+    """Two pages that differ in their 31st segment only, one labelled bad."""
+    head = "http://h.org/" + "/".join(f"d{chr(97 + i % 26)}x" for i in range(30))
+    rows = [(k * 40 + i, f"{head}/{s}/{i}") for k, s in enumerate(("good", "bad")) for i in range(40)]
+    labels = [(i, int(i >= 40)) for i in range(80)]
+    out = {r.page_id: r for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert out[0].template.endswith("/good/<n>") and not out[0].rejected and out[40].template.endswith("/bad/<n>") and out[40].rejected
+
+
+def test_page_ids_of_any_type(spark):
+    rows = [("a\tb", "http://h.org/x", "one"), ("7", "http://h.org/x", None), (None, "http://h.org/x", "three"), ("", "http://h.org/x", "four"), ("%09", "http://h.org/y", "five")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: (r.n_captures, r.html_bytes) for r in warc.look_up(pages, warc.build(pages)).collect()}
+    assert got == {"a\tb": (4, 3), "7": (4, 0), None: (4, 5), "": (4, 4), "%09": (1, 4)}
+
+
+def test_nulls_as_sql_has_them(spark):
+    import duckdb
+
+    rows = [(1, "http://h.org/x", None), (2, None, "y"), (3, "http://h.org/x", "é"), (4, "http://h.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = c.sql(f"SELECT page_id, url, url_key, n_captures, html_md5, html_bytes FROM ({warc.ORACLE['op5_warc_index']})").fetchall()
+    assert sorted(tuple(r) for r in warc.look_up(pages, warc.build(pages)).collect()) == sorted(want)
+
+
+def test_odd_pages(spark):
     deep = "http://h.org/" + "/".join(f"d{i}x" for i in range(40))
     rows = [(1, None), (2, ""), (3, "no scheme/x"), (4, deep), (4, deep), (None, "http://h.org/a"), (5, "http://h.org/?&=&a"), (6, "http://h.org")]
     pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, template string, host int")
     labels = spark.createDataFrame([(4, 1), (4, None), (None, 1), (99, 1), (6, 0), (6, 1)], "page_id long, bad int")
     out = urlfilter.filter_urls(pages.drop("host").withColumn("path", F.lit("p")), labels).collect()
     assert Counter(r.page_id for r in out) == Counter([2, 3, 4, 4, None, 5, 6])
-    assert next(r for r in out if r.page_id == 4).template.count("/") == urlfilter.LEVELS + 1
+    assert next(r for r in out if r.page_id == 4).template.count("/") == 40
     assert urlfilter.filter_urls(pages.where("false"), labels).isEmpty()
     assert {r.bad_share for r in urlfilter.filter_urls(pages, labels.where("false")).collect()} == {0.0}
 
