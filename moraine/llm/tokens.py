@@ -9,9 +9,13 @@ Two deterministic transducers in a row:
 * The counter reads the bytes of a word. A state is the prefix read (made when first met), with the last token of its encoding and the number
   of tokens so far; the transition to a longer prefix carries the change of that number. The last token of a prefix is the one token ending there that is
   compatible with the last token before it: two tokens are if merging in the order of ranks leaves their border alone, which
-  is read off the merge trees of both. No merge loop runs over the text.
+  is read off the merge trees of both. No merge loop runs over the text. The states are not compiled ahead: they are as many as
+  prefixes, so this part is a dynamic program over the vocabulary's hashes that makes those it meets.
 
-Counters are run once for each distinct word of a slice of text, all words a byte at a time.
+Counters are run once for each distinct word of a slice of text, all words a byte at a time. A long word is cut into chunks. What follows a place depends on
+the last tokens (and the numbers of tokens) of the places within the longest token before it, so that is a state; each chunk is run from some
+bytes before it, all chunks at once, and its number of tokens counts if the state in which it began is that in which the chunk before ended. Chunks
+for which it isn't, as in runs of one character, are run again from the true state, equal ones once.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from . import textkit as tk
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 256
-LONG = 48
+#: Words of more bytes are cut into chunks of STEP, in batches of about CELLS states.
+LONG, STEP, CELLS = 1_024, 512, 2_000_000
 KNOWN = 2_000_000
 
 # classes of characters: letters by what a contraction needs, numbers, blank, other white space, apostrophe, others, end of text
@@ -132,6 +137,7 @@ def word_starts(kinds: np.ndarray) -> np.ndarray:
 _INVERSE = pow(tk._P, -1, 1 << 64)
 
 
+@cache
 def _inverse_powers(n: int) -> np.ndarray:
     out, x = np.empty(n, np.uint64), 1
     for i in range(n):
@@ -156,6 +162,9 @@ class Counter:
             raise ValueError("a byte-level vocabulary has every byte")
         tokens = sorted(ranks, key=ranks.get)
         self.longest = max(map(len, tokens))
+        self.sizes = sorted({len(t) for t in tokens}, reverse=True)
+        self.memo: dict[tuple, tuple] = {}
+        self.fits_of: dict[tuple[int, int], bool] = {}
         self.length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.hash = np.array([_raw(t) for t in tokens], dtype=np.uint64)
         index = {t: i for i, t in enumerate(tokens)}
@@ -228,18 +237,19 @@ class Counter:
             at = np.searchsorted(self.pairs, key)
         return self.fits[at]
 
-    def _short(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Counts of words of at most LONG bytes; lens descend."""
+    def _run(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last token, number of tokens) of every prefix of words, by length and word; lens descend."""
         most, n = int(lens[0]), len(lens)
         prefix = np.zeros((most + 1, n), np.uint64)
         last, count = np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int32)
-        result = np.zeros(n, np.int32)
-        inverse = _inverse_powers(most + 1)
+        inverse, power = _inverse_powers(most + 1), tk._powers(most)
         for i in range(1, most + 1):
             live = int(np.searchsorted(-lens, -i, "right"))  # words of i bytes or more come first
-            prefix[i, :live] = prefix[i - 1, :live] + (raw[starts[:live] + i - 1].astype(np.uint64) + np.uint64(1)) * tk._POW[i - 1]
+            prefix[i, :live] = prefix[i - 1, :live] + (raw[starts[:live] + i - 1].astype(np.uint64) + np.uint64(1)) * power[i - 1]
             open_ = np.arange(live)
-            for size in range(min(i, self.longest), 0, -1):
+            for size in self.sizes:
+                if size > i:
+                    continue
                 token = self.find((prefix[i, open_] - prefix[i - size, open_]) * inverse[i - size], size)
                 hit = np.flatnonzero(token >= 0)
                 if not len(hit):
@@ -253,31 +263,80 @@ class Counter:
                 open_ = open_[rest]
                 if not len(open_):
                     break
-        result[:] = count[lens, np.arange(n)]
-        return result
+        return last, count
 
     def _long(self, data: np.ndarray) -> int:
-        """The count of one long word, a byte at a time, the candidates of each together."""
-        n = len(data)
-        prefix = np.zeros(n + 1, np.uint64)
-        prefix[1:] = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tk._powers(n), dtype=np.uint64)
-        inverse = _inverse_powers(n + 1)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.find((prefix[size:] - prefix[:-size]) * inverse[: n + 1 - size], size)
-            for at in np.flatnonzero(token >= 0).tolist():
-                ending[at + size].append((size, int(token[at])))
-        last, count = [0] * (n + 1), [0] * (n + 1)
-        fits: dict[tuple[int, int], bool] = {}
-        for i in range(1, n + 1):
-            for size, token in ending[i]:
-                pair = last[i - size], token
-                if size < i and pair not in fits:
-                    fits[pair] = bool(self._compatible(np.array([pair[0]]), np.array([token]))[0])
-                if size == i or fits[pair]:
-                    last[i], count[i] = token, count[i - size] + 1
-                    break
-        return count[n]
+        """The count of one long word, by chunks."""
+        n, w = len(data), self.longest
+        begins = np.arange(0, n, STEP)
+        starts = np.maximum(begins - 2 * w, 0)
+        ends = np.minimum(begins + STEP, n)
+        total, state = 0, (np.full(w, -1, np.int64), np.zeros(w, np.int64))  # of the places before the next chunk, the nearest last; -1: none
+        for a in range(0, len(begins), each := max(1, CELLS // (STEP + 2 * w))):
+            some = np.arange(a, min(a + each, len(begins)))
+            some = some[np.argsort(starts[some] - ends[some], kind="stable")]
+            last, count = self._run(data, starts[some], ends[some] - starts[some])
+            for j in range(a, min(a + each, len(begins))):
+                k = int(np.flatnonzero(some == j)[0])
+                at, end = int(begins[j] - starts[j]), int(ends[j] - starts[j])
+                if j == 0 or self._same(state, self._state(last, count, k, at)):
+                    total += int(count[end, k] - count[at, k])
+                    state = self._state(last, count, k, end)
+                else:
+                    added, state = self._again(data, int(begins[j]), int(ends[j]), state)
+                    total += added
+        return total
+
+    def _state(self, last: np.ndarray, count: np.ndarray, k: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(last tokens, numbers of tokens less that at the place itself) of the places from `longest` - 1 before a place up to it."""
+        w = self.longest
+        tokens, numbers = np.full(w, -1, np.int64), np.zeros(w, np.int64)
+        own = slice(max(0, at + 1 - w), at + 1)
+        size = own.stop - own.start
+        tokens[w - size :], numbers[w - size :] = last[own, k], count[own, k] - count[at, k]
+        if own.start == 0:
+            tokens[w - size] = -1  # nothing is before the word
+        return tokens, numbers
+
+    @staticmethod
+    def _same(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+        return bool((a[0] == b[0]).all() and (a[1] == b[1]).all())
+
+    def _again(self, data: np.ndarray, begin: int, end: int, state: tuple[np.ndarray, np.ndarray]) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+        """(tokens of a chunk, the state after it) from the true state before it, a byte at a time."""
+        w = self.longest
+        first = max(0, begin + 1 - w)
+        own = data[first:end]
+        key = (own.tobytes(), begin - first, state[0].tobytes(), state[1].tobytes())
+        if key not in self.memo:
+            if len(self.memo) > 4_096:
+                self.memo.clear()
+            size = begin - first
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * tk._powers(len(own)), dtype=np.uint64)])
+            inverse = _inverse_powers(len(own) + 1)
+            ending: list[list[tuple[int, int]]] = [[] for _ in range(len(own) + 1)]
+            for length in self.sizes:
+                if length <= len(own):
+                    token = self.find((prefix[length:] - prefix[:-length]) * inverse[: len(own) + 1 - length], length)
+                    for at in np.flatnonzero(token >= 0).tolist():
+                        ending[at + length].append((length, int(token[at])))
+            last = state[0][w - 1 - size :].tolist() + [0] * (len(own) - size)
+            count = state[1][w - 1 - size :].tolist() + [0] * (len(own) - size)
+            for i in range(size + 1, len(own) + 1):
+                for length, token in ending[i]:
+                    before = last[i - length]
+                    if before >= 0 and (before, token) not in self.fits_of:
+                        if len(self.fits_of) > KNOWN:
+                            self.fits_of.clear()
+                        self.fits_of[before, token] = bool(self._compatible(np.array([before]), np.array([token]))[0])
+                    if before < 0 or self.fits_of[before, token]:
+                        last[i], count[i] = token, count[i - length] + 1
+                        break
+            tokens, numbers = np.full(w, -1, np.int64), np.zeros(w, np.int64)
+            some = min(w, len(own) + 1)
+            tokens[w - some :], numbers[w - some :] = last[-some:], np.array(count[-some:]) - count[-1]
+            self.memo[key] = count[-1] - count[size], (tokens, numbers)
+        return self.memo[key]
 
     def words(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """The number of tokens of each word of raw."""
@@ -294,9 +353,12 @@ class Counter:
             counts[k] = self._long(raw[s : s + lens[first[k]]])
         short = new[size <= LONG]
         short = short[np.argsort(-lens[first[short]], kind="stable")]
-        for a in range(0, len(short), 50_000):
-            some = short[a : a + 50_000]
-            counts[some] = self._short(raw, starts[first[some]], lens[first[some]])
+        a = 0
+        while a < len(short):
+            some = short[a : a + max(1, CELLS // int(lens[first[short[a]]]))]
+            own = lens[first[some]]
+            counts[some] = self._run(raw, starts[first[some]], own)[1][own, np.arange(len(some))]
+            a += len(some)
         if len(new):
             if len(self.known) + len(new) > KNOWN:
                 self.known, self.counts = distinct, counts

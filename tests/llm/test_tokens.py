@@ -47,6 +47,32 @@ def test_long_words_and_texts(tokenizer):
     check(["a" * 700, "ab" * 400, " " * 900 + "x", "xyz" * 20_000, None, "", "\n", "it's we're 'tis x'", "'r", "'l", "日本語" * 300, "the end. " * 30_000], tokenizer)
 
 
+@pytest.mark.parametrize("letters,size", [("abcdefghijklmnop", 40_000), ("ab", 9_000), ("etaoin", 5_000), ("a", 7_000), ("x", 1_025)])
+def test_words_in_chunks(tokenizer, letters, size):
+    """Of random letters, whose chunks agree with the ones before, and of runs, whose chunks must be run again from the state before them."""
+    import random
+
+    rnd = random.Random(size)
+    word = "".join(rnd.choice(letters) for _ in range(size))
+    check([word, f"{word[:3000]} {word}{'=' * 3000}{word[:1500]}"], tokenizer)
+
+
+def test_memory_of_long_words_is_that_of_chunks():
+    import random
+    import tracemalloc
+
+    rnd = random.Random(2)
+    counter = tokens.load()
+    peaks = []
+    for size in (150_000, 600_000):
+        text = pa.array(["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=size))])
+        tracemalloc.start()
+        counter.texts(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 300e6
+
+
 def test_test_documents(spark, small, tokenizer):
     texts = dict(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
     got = {r.doc_id: r.n_tokens for r in tokens.op8_token_counts(spark, small).collect()}
