@@ -68,7 +68,14 @@ def serialize(flags: int, rows: list[dict], blocks: int | None = None) -> bytes:
     return b"".join(out)
 
 
-def default_stub(entries: list) -> bytes:
+def row_of(entry) -> dict:
+    return {"crc32": zlib.crc32(entry.data), "md5": hashlib.md5(entry.data).digest(), "patch_bit": entry.patch}
+
+
+def stub(rows: list[dict]) -> bytes:
     """Attributes of files about to be written; the row of the attributes themselves is zero."""
-    rows = [{"crc32": zlib.crc32(e.data), "md5": hashlib.md5(e.data).digest(), "patch_bit": e.patch} for e in entries]
-    return serialize(CRC | TIME | MD5, rows, len(entries) + 1)
+    return serialize(CRC | TIME | MD5, rows, len(rows) + 1)
+
+
+def default_stub(entries: list) -> bytes:
+    return stub([row_of(e) for e in entries])

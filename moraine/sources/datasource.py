@@ -6,7 +6,8 @@ error_message; with `strict` it is raised. The option `archives` names those to
 filter pushdown in a Python source unless the session allows it, so an option does that).
 
 Writing: the manifest's rows of an archive must be in one partition, in order (`write_archives` sees to that). Each is written
-aside in the target folder; the driver renames them when all tasks are done, and removes what an aborted job left.
+aside in the target folder, file by file, so a task holds one file and a row for each; the driver renames them when all tasks are done, and removes what an
+aborted job left.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from . import layout as L
 
 BATCH_ROWS, BATCH_BYTES = 4_096, 32 << 20
 ARCHIVES_PER_PARTITION, PARTITION_BYTES = 32, 64 << 20
-TRAILER = 260
+TRAILER, COPY_BYTES = 260, 8 << 20
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -254,18 +255,31 @@ class ArchiveWriter(DataSourceArrowWriter):
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
         files: list[tuple[str, str]] = []
-        current, entries, seen = None, [], set()
+        current, seen = None, set()
+        archive, body, stream = None, "", None
 
-        def close() -> None:
-            if current in seen:
-                raise InvalidInputError(f"the rows of archive {current} aren't together")
-            seen.add(current)
-            name = current if current.lower().endswith(".mpq") else f"{current}.mpq"
+        def begin(name: str) -> None:
+            nonlocal current, archive, body, stream
+            if name in seen:
+                raise InvalidInputError(f"the rows of archive {name} aren't together")
             if "/" in name or "\\" in name or name.startswith("."):
-                raise InvalidInputError(f"{current} can't be a file's name")
+                raise InvalidInputError(f"{name} can't be a file's name")
+            seen.add(name)
+            current, archive, body = name, L.Assembly(self._policy()), f"{root}/.{self.job}-{uuid.uuid4().hex}"
+            stream = fs.open_output_stream(body)
+
+        def close() -> None:
+            """Header, files, tables: the header says where the tables are, so the files wait in a file of their own."""
+            header, more, tables = archive.finish()
+            stream.close()
             aside = f"{root}/.{self.job}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(aside) as out:
-                out.write(L.serialize(entries, self._policy()))
+            with fs.open_output_stream(aside) as out, fs.open_input_stream(body) as stored:
+                out.write(header)
+                while piece := stored.read(COPY_BYTES):
+                    out.write(piece)
+                out.write(more + tables)
+            fs.delete_file(body)
+            name = current if current.lower().endswith(".mpq") else f"{current}.mpq"
             files.append((aside, f"{root}/{name}"))
 
         for batch in iterator:
@@ -275,9 +289,9 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if row["archive"] != current:
                     if current is not None:
                         close()
-                    current, entries = row["archive"], []
+                    begin(row["archive"])
                 given = {k: row[k] for k in ("encrypted", "fix_key", "locale", "platform", "single_unit", "sector_crc", "compression") if row.get(k) is not None}
-                entries.append(L.Entry(row["name"], row["data"] or b"", **given))
+                stream.write(archive.add(L.Entry(row["name"], row["data"] or b"", **given)))
         if current is not None:
             close()
         return Written(files)

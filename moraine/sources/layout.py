@@ -323,34 +323,59 @@ def table_sizes(files: int, policy: Policy) -> tuple[int, int]:
     return max(policy.hash_entries, least), max(policy.block_entries, files, 1)
 
 
+class Assembly:
+    """An archive in the making: files are added one after another and given back as stored; tables and header come last, so that what is held is a row for each file."""
+
+    def __init__(self, policy: Policy):
+        self.policy, self.step = policy, sector_size(policy.sector_size_shift)
+        self.head = self.at = max(policy.header_size, S.HEADER_SIZES[policy.format_version])
+        self.rows: list[tuple] = []
+        self.names: list[str] = []
+        self.sums: list[dict] = []
+        self.listed = self.described = False
+
+    def add(self, e: Entry) -> bytes:
+        from .attributes import row_of
+
+        stored, flags = encode(e, self.at, self.step)
+        self.rows.append((e.name, e.locale, e.platform, (self.at, len(stored), len(e.data), flags)))
+        self.names.append(e.name)
+        self.listed |= same_name(e.name, LISTFILE)
+        self.described |= same_name(e.name, ATTRIBUTES)
+        if self.policy.attributes:
+            self.sums.append(row_of(e))
+        self.at += len(stored)
+        if self.at > 0xFFFFFFFF:
+            raise UnsupportedFeatureError("archives beyond 4 GiB")
+        return stored
+
+    def finish(self) -> tuple[bytes, bytes, bytes]:
+        """(header, the files that are made from the others, tables)."""
+        from .attributes import stub
+
+        policy, more = self.policy, []
+        if policy.listfile and not self.listed:
+            more.append(self.add(Entry(LISTFILE, listfile_text(self.names), "zlib", True, True, single_unit=True)))
+        if policy.attributes and not self.described:
+            more.append(self.add(Entry(ATTRIBUTES, stub(self.sums), "zlib", True, True)))
+        hash_size, block_size = table_sizes(len(self.rows), policy)
+        hashes, blocks = np.full(hash_size, 0xFFFFFFFF, "<u4").repeat(4).view(HASH_ROW), np.zeros(block_size, BLOCK_ROW)
+        for i, (name, locale, platform, block) in enumerate(self.rows):
+            blocks[i] = block
+            insert_slot(hashes, name, i, locale, platform)
+        at, head = self.at, self.head
+        values = (head, at + 16 * (hash_size + block_size), policy.format_version, policy.sector_size_shift, at, at + 16 * hash_size, hash_size, block_size)
+        header = bytearray(SIGNATURE + b"".join(v.to_bytes(w, "little") for v, (_, w) in zip(values, S.HEADER_V1, strict=True)))
+        header += bytes(head - len(header))
+        for name, width, place, version in S.HEADER_MORE:
+            if policy.format_version >= version and place + width <= head:
+                header[place : place + width] = int(policy.extra.get(name) or 0).to_bytes(width, "little")
+        return bytes(header), b"".join(more), cipher.encrypt_block(hashes.tobytes(), HASH_KEY) + cipher.encrypt_block(blocks.tobytes(), BLOCK_KEY)
+
+
 def serialize(entries: list[Entry], policy: Policy) -> bytes:
     """A whole archive: header, files in order, hash table, block table."""
-    from .attributes import default_stub
-
-    entries = list(entries)
-    if policy.listfile and not any(same_name(e.name, LISTFILE) for e in entries):
-        entries.append(Entry(LISTFILE, listfile_text([e.name for e in entries]), "zlib", True, True, single_unit=True))
-    if policy.attributes and not any(same_name(e.name, ATTRIBUTES) for e in entries):
-        entries.append(Entry(ATTRIBUTES, default_stub(entries), "zlib", True, True))
-    hash_size, block_size = table_sizes(len(entries), policy)
-    step = sector_size(policy.sector_size_shift)
-    hashes, blocks = np.full(hash_size, 0xFFFFFFFF, "<u4").repeat(4).view(HASH_ROW), np.zeros(block_size, BLOCK_ROW)
-    out = [b""]
-    at = max(policy.header_size, S.HEADER_SIZES[policy.format_version])
-    head = at
-    for i, e in enumerate(entries):
-        stored, flags = encode(e, at, step)
-        blocks[i] = (at, len(stored), len(e.data), flags)
-        insert_slot(hashes, e.name, i, e.locale, e.platform)
-        out.append(stored)
-        at += len(stored)
-        if at > 0xFFFFFFFF:
-            raise UnsupportedFeatureError("archives beyond 4 GiB")
-    values = (head, at + 16 * (hash_size + block_size), policy.format_version, policy.sector_size_shift, at, at + 16 * hash_size, hash_size, block_size)
-    header = bytearray(SIGNATURE + b"".join(v.to_bytes(w, "little") for v, (_, w) in zip(values, S.HEADER_V1, strict=True)))
-    header += bytes(head - len(header))
-    for name, width, place, version in S.HEADER_MORE:
-        if policy.format_version >= version and place + width <= head:
-            header[place : place + width] = int(policy.extra.get(name) or 0).to_bytes(width, "little")
-    out[0] = bytes(header)
-    return b"".join([*out, cipher.encrypt_block(hashes.tobytes(), HASH_KEY), cipher.encrypt_block(blocks.tobytes(), BLOCK_KEY)])
+    archive = Assembly(policy)
+    files = [archive.add(e) for e in entries]
+    header, more, tables = archive.finish()
+    return b"".join([header, *files, more, tables])
