@@ -38,16 +38,15 @@ def list_all(items: DataFrame, chain: DataFrame) -> DataFrame:
 def patched_files(files: DataFrame, chain: DataFrame) -> DataFrame:
     """(name, content): each file of the chain with its patches applied in order.
 
-    Where no payload is a binary patch the last one is the content: an aggregation in the JVM. Only names that
-    have such a patch collect their payloads and go through Python.
+    One aggregation by name, which collects the versions that the chain has of a file. Where none is a binary patch the last one is the
+    content; only the others go through Python.
     """
     rows = chain_names(files, chain).where("content is not null").select(N.ascii_lower(F.col("name")).alias("__key"), "name", "ord", "hash_index", "content")
     is_patch = (F.hex(F.substring("content", 1, 4)) == _SIGNATURE) & (F.col("ord") > 0)
-    kinds = rows.groupBy("__key").agg(F.bool_or(is_patch).alias("__patched"), F.max_by("name", F.struct("ord", "hash_index")).alias("__name"))
-    rows = rows.join(kinds, "__key")
-    plain = rows.where("not __patched").groupBy(F.col("__name").alias("name")).agg(F.max_by("content", F.struct("ord", "hash_index")).alias("content"))
-    steps = F.transform(F.sort_array(F.collect_list(F.struct("ord", "hash_index", "content"))), lambda s: s["content"])
-    return plain.unionByName(rows.where("__patched").groupBy(F.col("__name").alias("name")).agg(folded(steps).alias("content")))
+    versions = F.sort_array(F.collect_list(F.struct("ord", "hash_index", "content")))
+    found = rows.groupBy("__key").agg(F.bool_or(is_patch).alias("__patched"), F.max_by("name", F.struct("ord", "hash_index")).alias("name"), F.transform(versions, lambda v: v["content"]).alias("__versions"))
+    patched = folded(F.when(F.col("__patched"), F.col("__versions")))
+    return found.select("name", F.when(F.col("__patched"), patched).otherwise(F.element_at("__versions", -1)).alias("content"))
 
 
 def has_any(names: DataFrame, items: DataFrame, chain: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Archives as a Spark data source: `spark.read.format("mpq").option("table", ...)` and `df.write.format("mpq")`.
 
-Reading: a partition is a share of the archives for tables of metadata; for contents archives of about `PARTITION_BYTES` together, or with
-`blocksPerPartition` a range of the blocks of one. Rows come as Arrow batches of bounded size; the table of hash and block entries are columns of their bytes. What is wrong with an archive or file is in the columns error_kind and
+Reading: a partition is a share of the archives for tables of metadata; for contents archives of about `PARTITION_BYTES` together (of fewer where
+there would be less than `minPartitions`), or with `blocksPerPartition` a range of the blocks of one. Rows come as Arrow batches of bounded size; the table of hash and block entries are columns of their bytes. What is wrong with an archive or file is in the columns error_kind and
 error_message; with `strict` it is raised. The option `archives` names those to be read; the others' partitions aren't made (Spark refuses
 filter pushdown in a Python source unless the session allows it, so an option does that).
 
@@ -33,6 +33,8 @@ from . import layout as L
 
 BATCH_ROWS, BATCH_BYTES = 4_096, 32 << 20
 ARCHIVES_PER_PARTITION, PARTITION_BYTES = 32, 64 << 20
+#: Opening a file counts as so many bytes of it.
+OPEN_BYTES = 4 << 20
 TRAILER, COPY_BYTES = 260, 8 << 20
 
 
@@ -172,6 +174,7 @@ class ArchiveReader(DataSourceReader):
             raise InvalidInputError(f"no table {self.table}; there are {', '.join(S.TABLES)}")
         self.strict = str(options.get("strict", "false")).lower() == "true"
         self.blocks = int(options.get("blockspartition", options.get("blocksperpartition", 0)))
+        self.least = max(1, int(options.get("minpartitions", 1)))
         self.listfile = None
         if options.get("listfile"):
             fs, at = file_system(options["listfile"])
@@ -184,13 +187,14 @@ class ArchiveReader(DataSourceReader):
         if self.table != "files":
             return [Share(paths[i : i + ARCHIVES_PER_PARTITION]) for i in range(0, len(paths), ARCHIVES_PER_PARTITION)] or [Share([])]
         if not self.blocks:  # small archives share a partition, as small files do in Spark's own sources
+            most = min(PARTITION_BYTES, max(OPEN_BYTES, sum(n + OPEN_BYTES for _, n in sized) / self.least))
             shares, held = [Share([])], 0
             for p, n in sized:
-                if shares[-1].paths and held + n > PARTITION_BYTES:
+                if shares[-1].paths and held + n + OPEN_BYTES > most:
                     shares.append(Share([]))
                     held = 0
                 shares[-1].paths.append(p)
-                held += n + (4 << 20)  # opening a file costs as much as some bytes of it
+                held += n + OPEN_BYTES
             return shares
         out = []
         for p in paths:
@@ -340,7 +344,7 @@ def register(spark: SparkSession) -> None:
 
 def read_archives(spark: SparkSession, path: str, table: str = "list_items", **options) -> DataFrame:
     register(spark)
-    return spark.read.format("mpq").option("table", table).options(**options).load(path)
+    return spark.read.format("mpq").option("table", table).option("minPartitions", spark.sparkContext.defaultParallelism).options(**options).load(path)
 
 
 def write_archives(manifest: DataFrame, path: str, **options) -> None:
