@@ -2,7 +2,7 @@
 
 Candidates are the places in a text that could hold an identifier by their form, and what follows a label such as `key =` whatever its form. Strict recognisers (with check digits where a
 kind has them) take the seed entities. Every candidate carries lexical patterns: the two words before it, the word before or after it with the form of the value, a
-label before it such as `key =`, and the form alone. Two words that are met before several seeds are a context: the texts are read once more for whatever follows
+label before it such as `key =`, and the form alone. Two words that are met before several seeds, and before little else, are a context: the texts are read once more for whatever follows
 those, of any form, so that a context is judged by all that it stands before, and can discover names without a digit. Spark scores the bipartite graph of patterns and values in
 rounds: a pattern by how far its values are known to be of a kind, a value that is no seed by its trusted patterns. Patterns of high confidence
 so discover identifiers that no recogniser knows. A value that a recogniser refutes (a wrong check digit) is never taken.
@@ -123,9 +123,8 @@ def _hinted(text: str):
         yield begin, at
 
 
-def _after(text: str, contexts: frozenset[str]):
-    """(begin, end) of what follows a context in its sentence, whatever its form."""
-    pairs = _pairs(contexts)
+def _after(text: str, pairs):
+    """(begin, end, context) of what follows a context in its sentence, whatever its form. pairs: the two words of each context."""
     words = _LETTERS.findall(text.lower())
     hits = [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in pairs]
     if not hits:
@@ -138,10 +137,11 @@ def _after(text: str, contexts: frozenset[str]):
         (a, b), (begin, end) = runs[i], runs[i + 1]
         if end == len(text) or text[end] not in _GAP or text[b:begin].strip(_GAP) or inside(a - 1) or inside(b) or inside(begin - 1):
             continue
-        if f"{text[a:b].lower()} {text[begin:end].lower()}" in contexts and (n := _NEXT.match(text, end)):
+        pair = text[a:b].lower(), text[begin:end].lower()
+        if pair in pairs and (n := _NEXT.match(text, end)):
             value = n.group(1).rstrip(".,:)]}?!")
             if len(value) > 1:
-                yield n.start(1), n.start(1) + len(value)
+                yield n.start(1), n.start(1) + len(value), " ".join(pair)
 
 
 @lru_cache(maxsize=4)
@@ -232,8 +232,9 @@ def candidates(text: str, contexts: frozenset[str] = frozenset()) -> list[tuple[
     taken = _apart(taken, [(*m.span(), None, None) for line in _hinted(text) for m in CANDIDATE.finditer(text, *line)])
     taken = _apart(taken, labelled)
     out = []
-    for begin, end in _apart_from(taken, sorted(_after(text, contexts))) if contexts else ():
-        out.append((begin, end, text[begin:end], None, False, [f"left {context}"] if (context := _context(text, begin)) else []))
+    if contexts:
+        of = {(begin, end): context for begin, end, context in sorted(_after(text, _pairs(contexts)))}
+        out += [(*span, text[span[0] : span[1]], None, False, [f"left {of[span]}"]) for span in _apart_from(taken, list(of))]
     for begin, end, kind, refuted in taken:
         value = text[begin:end]
         label = (_label(text, begin) or "").lower() or None
@@ -253,7 +254,7 @@ def candidates(text: str, contexts: frozenset[str] = frozenset()) -> list[tuple[
     return sorted(out, key=lambda x: x[:2])
 
 
-def _apart_from(taken: list[tuple], more: list[tuple[int, int]]):
+def _apart_from(taken: list[tuple], more: list[tuple[int, int]]):  # taken: spans that begin with their place
     """The spans of more, which may overlap each other, that overlap none of those taken; both by place."""
     k = 0
     for begin, end in more:
@@ -296,36 +297,76 @@ def _scan(contexts: frozenset[str] = frozenset()):
     return run
 
 
-def _found(docs: DataFrame, folder: str) -> tuple[DataFrame, list[frozenset[str]]]:
-    """(candidates, the contexts that were read for, in shares of at most MODEL_ROWS). The texts are read again for each share, and not at all where no two words stand before several seeds."""
-    texts = _texts(docs)
-    first = saved(texts.mapInArrow(tk.trimmed(_scan()), _CANDIDATES), folder, "candidates")
-    left = first.where("seed is not null").select("value", F.explode("patterns").alias("pattern")).where("pattern like 'left %'").distinct()
-    often = saved(left.groupBy("pattern").count().where(F.col("count") >= SUPPORT).select(F.substring("pattern", 6, 1 << 30).alias("context")), folder, "contexts")
-    if often.isEmpty():
-        return first, []
-    shares = -(-often.count() // MODEL_ROWS) if MODEL_ROWS > 0 else 1
-    contexts, more = [], []
-    for k in range(shares):
-        some = frozenset(r.context for r in often.where(F.pmod(F.xxhash64("context"), F.lit(shares)) == k).collect())
-        contexts.append(some)
-        read = saved(texts.mapInArrow(tk.trimmed(_scan(some)), _CANDIDATES), folder, f"context{k}")
-        more.append(read if not k else read.where("seed is null and not refuted"))
-    found = more[0]
-    for read in more[1:]:
-        found = found.unionByName(read)
-    return found if shares == 1 else saved(found.dropDuplicates(["row", "begin", "end"]), folder, "found"), contexts
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string").alias("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), text).where("text is not null")
 
 
-def learn(found: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, score) of the trusted patterns, from candidates."""
+def _strangers(limits: dict[str, int]):
+    """(context, value) of what follows contexts without being a candidate, in a task: of each context up to one more value than it may have, then it is given up with a null."""
+
+    def run(batches):
+        pairs, seen = set(_pairs(frozenset(limits))), {}
+        for batch in batches:
+            for text in batch.column("text"):
+                text = text.as_py()
+                spans = sorted(_after(text, pairs))
+                if not spans:
+                    continue
+                of = {span[:2]: span[2] for span in spans}
+                for span in _apart_from([c[:2] for c in candidates(text)], list(of)):
+                    context = of[span]
+                    own = seen.setdefault(context, set())
+                    own.add(text[span[0] : span[1]])
+                    if len(own) > limits[context]:
+                        own.add(None)
+                        pairs.discard(tuple(context.split(" ")))
+        rows = [(c, v) for c, own in seen.items() for v in ([None] if None in own else own)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["context", "value"])
+
+    return run
+
+
+def _found(docs: DataFrame, folder: str) -> tuple[DataFrame, list[frozenset[str]], DataFrame]:
+    """(candidates, the contexts that were read for, in shares of at most MODEL_ROWS, all contexts that may count).
+
+    A context stands before SUPPORT seeds or more, and of the different values that follow it TRUST or more are candidates by their form or a label. To
+    tell, the texts are read once more where there are such contexts; a task gives one up with the first value too many, so what moves is a few values of each.
+    Only where some of those left have others after them, the texts are read for them.
+    """
+    spark, texts = docs.sparkSession, _texts(docs)
+    first = saved(texts.mapInArrow(tk.trimmed(_scan()), _CANDIDATES), folder, "candidates")
+    left = first.select("value", F.col("seed").isNotNull().alias("known"), F.explode("patterns").alias("pattern")).where("pattern like 'left %'")
+    left = left.groupBy(F.substring("pattern", 6, 1 << 30).alias("context"), "value").agg(F.bool_or("known").alias("known"))
+    often = left.groupBy("context").agg(F.count("*").alias("n"), F.count_if("known").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    often = saved(often.select("context", F.floor(F.col("n") / TRUST - F.col("n") - SMOOTH + 1e-9).cast("long").alias("most")).where("most >= 0"), folder, "contexts")
+    count = often.count()
+    shares = max(1, -(-count // MODEL_ROWS)) if MODEL_ROWS > 0 else 1
+    some = lambda df, k: df.where(F.pmod(F.xxhash64("context"), F.lit(shares)) == k).collect()
+    others = spark.createDataFrame([], "context string, value string")
+    for k in range(shares if count else 0):
+        others = others.unionByName(saved(texts.mapInArrow(tk.trimmed(_strangers({r.context: r.most for r in some(often, k)})), "context string, value string"), folder, f"others{k}"))
+    others = others.groupBy("context").agg(F.count_distinct("value").alias("n"), F.bool_or(F.col("value").isNull()).alias("over"))
+    allowed = saved(often.join(others, "context", "left").where("n is null or not over and n <= most").select("context", F.col("n").isNotNull().alias("open")), folder, "allowed")
+    rest = allowed.where("open").select("context")
+    contexts, found = [], first
+    if not rest.isEmpty():
+        contexts = [frozenset(r.context for r in some(rest, k)) for k in range(shares)]
+        reads = [saved(texts.mapInArrow(tk.trimmed(_scan(c)), _CANDIDATES), folder, f"context{k}") for k, c in enumerate(contexts)]
+        found = reads[0]
+        for read in reads[1:]:
+            found = found.unionByName(read)
+        if shares > 1:
+            found = saved(found.dropDuplicates(["row", "begin", "end", "value"]), folder, "found")
+    return found, contexts, allowed.select("context")
+
+
+def learn(found: DataFrame, folder: str, allowed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, kind, score) of the trusted patterns, from candidates. allowed: the contexts that count, of those that patterns name."""
     edges = found.select("value", F.explode(F.array_distinct("patterns")).alias("pattern")).distinct()
-    edges = saved(edges, folder, "edges")
+    left = F.col("pattern").startswith("left ")
+    edges = saved(edges.where(~left).unionByName(edges.where(left).join(allowed.select(F.concat(F.lit("left "), "context").alias("pattern")), "pattern", "left_semi")), folder, "edges")
     known = found.where("seed is not null").groupBy("value").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
     open_ = found.groupBy("value").agg(F.bool_or(F.col("seed").isNotNull() | F.col("refuted")).alias("closed")).where("not closed").select("value")
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total")).where(F.col("total") >= SUPPORT)
@@ -358,8 +399,8 @@ def identifiers(docs: DataFrame) -> DataFrame:
     A null or empty text holds none; a null doc_id is kept in the rows of its text. Repeated rows give repeated rows. Whole texts are read. Other columns are not. An empty table gives no rows.
     """
     folder = workspace(docs.sparkSession)
-    found, _ = _found(docs, folder)
-    return saved(_judged(found, learn(found, folder)).drop("text_id", "row"), folder, "result")
+    found, _, allowed = _found(docs, folder)
+    return saved(_judged(found, learn(found, folder, allowed)).drop("text_id", "row"), folder, "result")
 
 
 def _apply(model: dict[str, list[tuple[str, float]]], contexts: frozenset[str]):
@@ -411,8 +452,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = workspace(spark)
-    found, contexts = _found(docs, folder)
-    patterns = learn(found, folder)
+    found, contexts, allowed = _found(docs, folder)
+    patterns = learn(found, folder, allowed)
     trusted = patterns.where("pattern like 'left %'").select(F.substring("pattern", 6, 1 << 30).alias("context")).distinct()
     typed = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if "n_chars" in docs.columns else docs
     hit = F.col("text").isNotNull()

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -114,7 +115,22 @@ def test_contexts_discover_what_has_no_form(half_known):
 
 def test_scores_as_by_hand(half_known, tmp_path):
     rows, _, docs = half_known
-    found, contexts = pii._found(docs, f"file://{tmp_path}")
+    found, contexts, allowed = pii._found(docs, f"file://{tmp_path}")
+    # a context: three seeds, and candidates are TRUST of all different values after it
+    after = {}
+    for _, t in rows:
+        spans = [(c[0], c[1], c[2], bool(c[3])) for c in pii.candidates(t)]
+        for b, _, v, known in spans:
+            after.setdefault(pii._context(t, b), [set(), set(), set()])[0].add(v)
+            if known:
+                after[pii._context(t, b)][1].add(v)
+        for m in re.finditer(r"(?<![^\W_])(?=([^\W\d_]+) ([^\W\d_]+) ([^\s,;()]+))", t):
+            begin = m.start(3)
+            value = m.group(3).rstrip(".,:)]}?!")
+            if len(value) > 1 and not any(b < begin + len(value) and begin < e for b, e, *_ in spans):
+                after.setdefault(f"{m.group(1)} {m.group(2)}".lower(), [set(), set(), set()])[2].add(value)
+    may = {c for c, (n, seeds, others) in after.items() if c and len(seeds) >= pii.SUPPORT and len(n) >= pii.TRUST * (len(n) + len(others) + pii.SMOOTH) - 1e-9}
+    assert {r.context for r in allowed.collect()} == may
     some = [c for _, t in rows for c in pii.candidates(t, contexts[0])]
     assert found.count() == len(some)
     known = {v: (kind, 1.0) for _, _, v, kind, _, _ in some if kind}
@@ -122,7 +138,8 @@ def test_scores_as_by_hand(half_known, tmp_path):
     of = {}
     for _, _, v, _, _, patterns in some:
         for p in patterns:
-            of.setdefault(p, set()).add(v)
+            if not p.startswith("left ") or p[5:] in may:
+                of.setdefault(p, set()).add(v)
     of = {p: values for p, values in of.items() if len(values) >= pii.SUPPORT}
     belief = {(v, kind): s for v, (kind, s) in known.items()}
     for k in range(pii.ROUNDS):
@@ -138,7 +155,7 @@ def test_scores_as_by_hand(half_known, tmp_path):
             for (p, kind), score in trusted.items():
                 for v in of[p] - closed:
                     belief[v, kind] = 1 - (1 - belief.get((v, kind), 0.0)) * (1 - score)
-    got = {(r.pattern, r.kind): r.score for r in pii.learn(found, f"file://{tmp_path}/again").collect()}
+    got = {(r.pattern, r.kind): r.score for r in pii.learn(found, f"file://{tmp_path}/again", allowed).collect()}
     assert got.keys() == trusted.keys() and all(got[k] == pytest.approx(trusted[k]) for k in got)
     assert {"left write to", "left ring at"} <= {p for p, _ in got} and "left of the" not in {p for p, _ in got}
 
