@@ -98,13 +98,71 @@ def test_all_pairs_of_brute_force(spark, monkeypatch, seed, threshold, block):
     assert got == brute_pairs(rows, 5, threshold)
 
 
-def test_registered_pairs(spark, odd, none, small):
+def test_pairs_of_test_documents(spark, odd, none, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = pairs_of(jaccard.QUERIES["op10_ngram_jaccard"](spark, small))
-    assert got == brute_pairs(docs.select("doc_id", "text").collect(), jaccard.N, jaccard.THRESHOLD)
+    assert pairs_of(jaccard.near_pairs(docs)) == brute_pairs(docs.select("doc_id", "text").collect(), jaccard.N, jaccard.THRESHOLD)
     assert pairs_of(jaccard.near_pairs(odd)) == {(1, 2): 1.0} and jaccard.near_pairs(none).isEmpty()
 
 
+def brute_classes(rows, n, threshold):
+    links = Counter(i for pair in brute_pairs(rows, n, threshold) for i in pair)
+    group = dict(brute(rows, n, threshold))
+    return sorted((i, group.get(i, i), links[i]) for i in {i for i, _ in rows if i is not None})
+
+
+def test_registered_classes(spark, odd, none, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    got = jaccard.QUERIES["op10_ngram_jaccard"](spark, small)
+    assert got.columns == ["doc_id", "class_id", "links"] and sorted(map(tuple, got.collect())) == brute_classes(docs, jaccard.N, jaccard.THRESHOLD)
+    assert sorted(map(tuple, jaccard.near_classes(odd).collect())) == [(1, 1, 1), (2, 1, 1), *((i, i, 0) for i in range(3, 11))]
+    assert jaccard.near_classes(none).isEmpty()
+
+
+@pytest.mark.parametrize("seed,threshold,block", [(1, 0.4, 10_000), (4, 1.0, 10_000), (5, 0.25, 3), (6, 0.4, 1)])
+def test_all_links_of_brute_force(spark, monkeypatch, seed, threshold, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(seed)
+    rows += [(20_000 + i, text) for i, (_, text) in enumerate(rows[:20])]
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold, 5)
+    assert sorted(map(tuple, got.collect())) == brute_classes(rows, 5, threshold)
+
+
+def test_large_classes_are_a_row_a_document(spark):
+    """Two texts, each with 1,500 near copies in two copies: nine million pairs, 6,000 rows."""
+    rnd = random.Random(9)
+    rows = []
+    for k in range(2):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(100)]
+        for i in range(1500):
+            text = list(base)
+            text[rnd.randrange(100)] = f"z{i}"
+            rows += [(4 * i + 2 * k, " ".join(text)), (4 * i + 2 * k + 1, " ".join(text))]
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.class_id, r.links) for r in got) == {(0, 2999): 3000, (2, 2999): 3000}
+
+
+@pytest.mark.parametrize("heavy,cells,columns", [(64, 2_000_000, 1024), (0, 40, 3), (2, 7, 1), (4, 200, 1024)])
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_matches_of_lists_and_matrices(monkeypatch, heavy, cells, columns, threshold):
+    for name, value in (("_HEAVY", heavy), ("_CELLS", cells), ("_COLUMNS", columns)):
+        monkeypatch.setattr(jaccard, name, value)
+    for seed in range(30):
+        rnd = random.Random(seed)
+        bases = [rnd.sample(range(400), rnd.choice([3, 20, 40])) for _ in range(4)]
+        sets = [{x if rnd.random() < 0.9 else rnd.randrange(400) for x in rnd.choice(bases)} for _ in range(rnd.choice([1, 5, 40]))]
+        member = np.array([rnd.random() < 0.7 for _ in sets])
+        asks = np.ones(len(sets), dtype=bool) if seed % 3 else ~member
+        sizes = np.array([len(s) + rnd.choice([0, 0, 3]) for s in sets])
+        want = {}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(a & b)
+                if asks[i] and member[j] and (i < j or not member[i]) and i != j and both and both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9:
+                    want[i, j] = both
+        got = [x for part in jaccard._matches(sizes, [np.array(sorted(s), dtype=np.uint64) for s in sets], member, asks, threshold) for x in zip(*(y.tolist() for y in part), strict=True)]
+        assert len(got) == len(want) and {(i, j): n for i, j, n in got} == want
+
+
 def test_many_copies_of_one_text(spark):
     rnd = random.Random(5)
     base = [f"w{rnd.randint(0, 400)}" for _ in range(120)]
