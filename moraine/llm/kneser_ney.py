@@ -72,7 +72,7 @@ class Files:
 
     @staticmethod
     def _mapped(path: str) -> dict[str, np.ndarray]:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))  # as a plain array, whose parts cost less to take
         begin = 8 + int.from_bytes(raw[:8].tobytes(), "little")
         out = {}
         for name, (kind, shape, at) in json.loads(raw[8:begin].tobytes()).items():
@@ -83,8 +83,9 @@ class Files:
 
 def _by_shard(shard: np.ndarray, shards: int):
     """(shard, rows that go there) of those that get any."""
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # short numbers are sorted by radix
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
     for s in np.flatnonzero(np.diff(cuts)):
         yield int(s), order[cuts[s] : cuts[s + 1]]
 
@@ -140,12 +141,27 @@ def _hashed(words: np.ndarray) -> np.ndarray:
 
 def _summed(words: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns in the order of their words, with how many there are or the sum of their weights."""
-    order = np.lexsort([*words[:1:-1], words[0].astype(np.uint64) << np.uint64(32) | words[1]])
-    words = words[:, order]
-    new = np.ones(words.shape[1], dtype=bool)
-    new[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
-    cuts = np.flatnonzero(new)
-    return words[:, cuts], np.diff(np.append(cuts, len(new))) if weights is None else np.add.reduceat(weights[order], cuts) if len(cuts) else weights[:0]
+    size, bits = len(words), int(words.max(initial=0)).bit_length()
+    packed = size * bits <= 64
+    if packed:  # as one number
+        key = words[0].astype(np.uint64)
+        for w in words[1:]:
+            key = key << np.uint64(bits) | w
+        order = None if weights is None else np.argsort(key)
+        key = np.sort(key) if order is None else key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort([*words[:1:-1], words[0].astype(np.uint64) << np.uint64(32) | words[1]])
+        words = words[:, order]
+        new = (words[:, 1:] != words[:, :-1]).any(axis=0)
+    rows = words.shape[1]
+    cuts = np.flatnonzero(np.concatenate([np.ones(min(rows, 1), dtype=bool), new]))
+    if packed:
+        mask = np.uint64((1 << bits) - 1)
+        distinct = np.stack([(key[cuts] >> np.uint64(bits * k) & mask).astype(np.uint32) for k in range(size - 1, -1, -1)])
+    else:
+        distinct = words[:, cuts]
+    return distinct, np.diff(np.append(cuts, rows)) if weights is None else np.add.reduceat(weights[order], cuts) if len(cuts) else weights[:0]
 
 
 def _counts_out(n: np.ndarray) -> tuple[bytes, bytes]:
@@ -303,13 +319,13 @@ def _looked_up(shelf: dict[str, np.ndarray], hashes: np.ndarray, width: int) ->
     upper = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
     wanted = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
     low, high = starts[upper].astype(np.int64), starts[upper + 1].astype(np.int64)
-    end = high
-    while (open_ := low < high).any():  # bisection, all hashes at once
-        middle = (low + high) >> 1
-        less = open_ & (keys[np.minimum(middle, len(keys) - 1)] < wanted)
-        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    step = 1 << int((high - low).max(initial=0)).bit_length() >> 1
+    while step:  # bisection, all hashes at once
+        last = low + (step - 1)
+        low += ((keys[np.minimum(last, len(keys) - 1)] < wanted) & (last < high)) * step
+        step >>= 1
     at = np.minimum(low, len(keys) - 1)
-    there = np.flatnonzero((low < end) & (keys[at] == wanted))
+    there = np.flatnonzero((low < high) & (keys[at] == wanted))
     at = at[there]
     code = np.asarray(shelf["code"][at])
     out = np.zeros((len(at), width), dtype=np.int64)
@@ -432,7 +448,13 @@ class Maps:
 
     def _find(self, kind: str, words: np.ndarray, width: int, owner: np.ndarray) -> np.ndarray:
         """What is known of n-grams, zeros for those that aren't there."""
-        distinct, first, back = np.unique(_hashed(words), return_index=True, return_inverse=True)
+        hashes = _hashed(words)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        distinct, first, back = hashes[new], order[new], np.empty(len(order), dtype=np.int64)
+        back[order] = np.cumsum(new) - 1
         out = np.zeros((len(distinct), width), dtype=np.int64)
         for s, rows in _by_shard(target(owner[first], self.m.shards), self.m.shards):
             if shelf := self.files(f"{kind}-{s}"):
@@ -519,7 +541,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
 
 
 def _score(model: Model):
-    most = min(16 << 20, max(tk.SLICE_BYTES, model.shards << 12))  # the more shards, the more look-ups for each visit to one
+    most = min(16 << 20, max(tk.SLICE_BYTES, model.shards << 15))  # the more shards, the more look-ups for each visit to one
 
     def run(batches):
         maps = model.open()
