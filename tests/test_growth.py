@@ -51,3 +51,9 @@ def test_changes(tmp_path):
     assert not a.has_file("d") and a.read_file("b") == b"2"
 
 
+def test_an_archive_is_verified_once(tmp_path, calls):
+    calls.count(A.Archive, "verify")
+    rows = list(sessions.verification_reports(str(tmp_path), ROWS))
+    assert [r[1:] for r in rows] == [(p % 5 != 0, True) for p, _, _ in ROWS] and calls["verify"] == 1
+
+
