@@ -57,3 +57,24 @@ def test_an_archive_is_verified_once(tmp_path, calls):
     assert [r[1:] for r in rows] == [(p % 5 != 0, True) for p, _, _ in ROWS] and calls["verify"] == 1
 
 
+def test_plain_names_are_looked_up(tmp_path, calls):
+    calls.count(A.Archive, "list")
+    assert list(sessions.tool_commands(str(tmp_path), ROWS)) == [(0, 200, 0, 1, 6, 200)]
+    assert calls["list"] < 10
+
+
+def test_plain_patterns_find_what_a_search_finds(tmp_path):
+    names = ["Ab.txt", "aB.TXT.x", "\u00c9t\u00e9", "d\\e", "d/f"]
+    a = A.Archive.create(str(tmp_path / "x.mpq"), L.Policy(), [L.Entry(n, b"1") for n in names])
+    for pattern in (*names, "ab.TXT", "\u00e9t\u00e9", "D\\E", "d/e", "none", ""):
+        found = a.find(pattern)
+        A.observers["list"] = lambda done, total: None
+        try:
+            assert found == a.find(pattern)
+        finally:
+            A.observers["list"] = None
+    assert len(a.find("ab.txt")) == 1
+    a.add_file("late", b"2")
+    assert len(a.find("LATE")) == 1
+
+
