@@ -78,3 +78,15 @@ def test_plain_patterns_find_what_a_search_finds(tmp_path):
     assert len(a.find("LATE")) == 1
 
 
+def test_names_are_hashed_together(calls):
+    names = [f"p\\{i}.bin" for i in range(500)]
+    data = L.serialize([L.Entry(n, b"x") for n in names], L.Policy())
+    region = L.Region(data)
+    hashes, blocks = L.read_tables(region, L.read_header(region))
+    calls.count(cipher, "hash_names")
+    slots = L.find_slots(hashes, len(blocks), [*names, "none", names[3].upper()])
+    assert slots[-2] is None and slots[-1] == slots[3] and slots[:-2] == [L.find_slot(hashes, len(blocks), n) for n in names]
+    L.serialize([L.Entry(n, b"x") for n in names], L.Policy())
+    assert calls["hash_names"] == 2
+
+
