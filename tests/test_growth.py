@@ -90,3 +90,15 @@ def test_names_are_hashed_together(calls):
     assert calls["hash_names"] == 2
 
 
+def test_entries_are_made_as_they_are_written(tmp_path):
+    made = []
+
+    def entries():
+        for i in range(3 * L.GROUP_FILES):
+            made.append(sum(f.stat().st_size for f in tmp_path.iterdir()))
+            yield L.Entry(f"{i}", b"x" * 99)
+
+    a = A.Archive.create(str(tmp_path / "x.mpq"), L.Policy(), entries())
+    assert made[-1] > 0 and a.read_file("17") == b"x" * 99 and len(a.list()) == 3 * L.GROUP_FILES + 1
+
+
