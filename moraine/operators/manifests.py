@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas as S
 from ..functions import names as N
 from .listing import has_flag, method
 
+#: Contents of a batch.
+_READ_BYTES = 16 << 20
 _DEFAULTS = {"compression": "none", "encrypted": False, "fix_key": False, "locale": 0, "platform": 0, "single_unit": False, "sector_crc": False}
 
 
@@ -83,32 +93,76 @@ def compare(expected: DataFrame, actual: DataFrame, allowed: list[str] | None =
     return e.join(a, "path", "full_outer").select("path", status.alias("status")).where("status is not null")
 
 
+def _files(fs: pafs.FileSystem, root: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files below a folder; of a mounted one as they are found, without a list of all."""
+    if not isinstance(fs, pafs.LocalFileSystem):
+        yield from ((f.path[len(root) + 1 :], f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file)
+        return
+    folders = [""]
+    while folders:
+        inside = folders.pop()
+        with os.scandir(f"{root}/{inside}") as found:
+            for f in found:
+                if f.is_dir(follow_symlinks=False):
+                    folders.append(f"{inside}{f.name}/")
+                elif f.is_file():
+                    yield f"{inside}{f.name}", f.stat().st_size
+
+
+def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size) of the files below a folder, paths relative to it, in as many partitions as pay for reading them; hidden ones (that begin with a dot) are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if ":" in folder.split("/", 1)[0] else (pafs.LocalFileSystem(), folder)
+        root = root.rstrip("/")
+        for _ in batches:
+            found = ((p, n) for p, n in _files(fs, root) if not any(x.startswith(".") for x in p.split("/")))
+            for rows in itertools.batched(found, 4096):
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["path", "size"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "path string, size long")
+
+
+def with_contents(listing: DataFrame, folder: str) -> DataFrame:
+    """The rows of a listing (path and any other columns) with the files' contents, read in parallel."""
+    spark, schema = listing.sparkSession, T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if ":" in folder.split("/", 1)[0] else (pafs.LocalFileSystem(), folder)
+        fields = to_arrow_schema(schema)
+        for batch in batches:
+            held: list[bytes] = []
+            size, begin = 0, 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                with fs.open_input_file(f"{root.rstrip('/')}/{path}") as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= _READ_BYTES or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())], schema=fields)
+                    held, size, begin = [], 0, i + 1
+
+    return listing.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
+
+
 def folder_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, sha256) of the files below a folder, paths relative to it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select(_relative(folder).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return with_contents(folder_listing(spark, folder), folder).select("path", "size", F.sha2("content", 256).alias("sha256"))
 
 
 def folder_entries(spark: SparkSession, folder: str, archive: str, flags: DataFrame | None = None) -> DataFrame:
     """The manifest of a folder's files, the list of names left out. flags: (name, flags) of the files in an archive that is repacked."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rows = rows.select(N.archive_path(_relative(folder)).alias("name"), "content").where(~N.ascii_lower(F.col("name")).isin("(listfile)"))
+    rows = folder_listing(spark, folder).withColumn("name", N.archive_path(F.col("path"))).where(~N.ascii_lower(F.col("name")).isin("(listfile)"))
     f = F.lit(0).cast("long")
-    if flags is not None:
+    if flags is not None:  # before there are contents to be moved
         rows = rows.join(flags.select("name", "flags"), "name", "left")
         f = F.coalesce("flags", F.lit(0))
+    rows = with_contents(rows, folder)
     return manifest(
         rows, F.lit(archive), F.lit(0), F.col("name"), F.col("content"), compression=F.when(method(f) == "none", "none").when(method(f) == "implode", "pkware").otherwise("zlib"),
         encrypted=has_flag(f, S.ENCRYPTED), fix_key=has_flag(f, S.FIX_KEY), single_unit=has_flag(f, S.SINGLE_UNIT), sector_crc=has_flag(f, S.SECTOR_CRC),
     )
 
 
-def _relative(folder: str) -> Column:
-    """The part of a file's path below the folder."""
-    inside = folder.split(":", 1)[-1].rstrip("/").lstrip("/")
-    return F.expr(f"substring(path, instr(path, '{inside}/') + {len(inside) + 1})")
-
-
 def status_counts(rows: DataFrame, status: str, valid: list[str] | None = None) -> DataFrame:
     """(status, n, known): how many rows each status has, and whether it is one of the valid ones."""
     known = F.col("status").isin(*valid) if valid else F.lit(True)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import cipher, codecs, patches
 from ..operators import integrity, listing, manifests, overlay
 from ..sources.datasource import read_archives, write_archives
-from ..storage import shared_folder
+from ..storage import bounded_batches, shared_folder
 
 ARCHIVES, SHARDS = 8, 32
 
@@ -61,7 +61,7 @@ def archive_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _named(listing.list_items(tables["hash_entries"], tables["block_entries"], tables["names"], listing.NAMED))
     blocks = tables["block_entries"].select("archive", "block_index", "file_size")
     sizes = tables["archives"].select("archive", listing.sector_size(F.col("sector_size_shift")).alias("step"))
-    rows = items.join(blocks, ["archive", "block_index"]).join(sizes, "archive")
+    rows = items.join(blocks, ["archive", "block_index"]).join(F.broadcast(sizes), "archive")
     return rows.select(_ident().alias("doc_id"), F.col("archive"), "file_size", listing.sector_count(F.col("file_size"), F.col("step")).cast("bigint").alias("sectors"))
 
 
@@ -171,6 +171,7 @@ def merged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _codec(method: str, table: str, ident: str, column: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         rows = _table(spark, sf_dir, table).select(ident, _text(column).alias("data")).where("length(data) >= 4")
         back = codecs.decompressed(codecs.compressed(F.col("data"), method), method, F.length("data").cast("long"))
         return rows.select(ident, F.md5(back).alias("md5"))
@@ -183,6 +184,7 @@ def _codec_sql(table: str, ident: str, column: str) -> str:
 
 
 def cipher_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     rows = _table(spark, sf_dir, "pages").select("page_id", _text("html").alias("data"), cipher.name_hashes(F.col("url"))["file_key"].alias("key"))
     back = cipher.decrypted(cipher.encrypted(F.col("data"), F.col("key")), F.col("key"))
     return rows.select("page_id", F.md5(back).alias("md5"))

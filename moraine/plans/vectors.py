@@ -14,7 +14,7 @@ from ..functions import cipher, codecs, digests, patches
 from ..operators import integrity, listing, manifests, overlay
 from ..sources import texts
 from ..sources.datasource import extract_files, file_system, read_archives, write_archives
-from ..storage import shared_folder
+from ..storage import bounded_batches, shared_folder
 from ..streaming.arrivals import arrivals, totals
 from .archives import ARCHIVES, _ident, _named, _pack, _table, _text
 
@@ -157,6 +157,7 @@ def _recovered(data: pd.Series, size: pd.Series) -> pd.Series:
 @query("SELECT page_id, page_id % 3 AS kind, page_id % 3 <> 2 AS found FROM pages")
 def key_recovery(spark, sf_dir):
     """Keys told from how an encrypted file begins (XML, RIFF); other contents give none."""
+    bounded_batches(spark)
     pages = _table(spark, sf_dir, "pages").withColumn("key", cipher.name_hashes(F.col("url"))["file_key"]).withColumn("kind", F.col("page_id") % 3)
     body, size = F.encode("html", "UTF-8"), F.octet_length("html") + 8
     little = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(size - 8, 8 * i).bitwiseAND(255)), 2, "0") for i in range(4))))
@@ -373,7 +374,7 @@ def archive_raw_ranges(spark, sf_dir):
 def _extracted(spark, sf_dir: str, **options) -> tuple[str, str]:
     folder = _pack(_table(spark, sf_dir, "pages"), "page_id", _text("html"), "pages", **options)
     out = shared_folder(spark)
-    extract_files(_named(read_archives(spark, folder, "files")), out).count()
+    extract_files(_named(read_archives(spark, folder, "files")), out, _named(read_archives(spark, folder))).count()
     return folder, out
 
 

@@ -1,17 +1,22 @@
 """Archives as a Spark data source: `spark.read.format("mpq").option("table", ...)` and `df.write.format("mpq")`.
 
 Reading: a partition is a share of the archives for tables of metadata; for contents archives of about `PARTITION_BYTES` together (of fewer where
-there would be less than `minPartitions`), or with `blocksPerPartition` a range of the blocks of one. Rows come as Arrow batches of bounded size; the table of hash and block entries are columns of their bytes. What is wrong with an archive or file is in the columns error_kind and
+there would be less than `minPartitions`), or a range of the blocks of a larger one. As each range reads the archive's tables, there are at most `SPLITS` times
+`minPartitions` of them, however large the archives are; `blocksPerPartition` sets their size. Rows come as Arrow batches of bounded size; the table of hash and block entries are columns of their bytes. What is wrong with an archive or file is in the columns error_kind and
 error_message; with `strict` it is raised. The option `archives` names those to be read; the others' partitions aren't made (Spark refuses
 filter pushdown in a Python source unless the session allows it, so an option does that).
 
-Writing: the manifest's rows of an archive must be in one partition, in order (`write_archives` sees to that). Each is written
+Writing: the manifest's rows of an archive must be in one partition, in order (`write_archives` sees to that, and packs the files before, wherever they are,
+so that the task that writes an archive only places and encrypts them). Each is written
 aside in the target folder, file by file, so a task holds one file and a row for each; the driver renames them when all tasks are done, and removes what an
 aborted job left.
 """
 
 from __future__ import annotations
 
+import io
+import itertools
+import math
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -22,20 +27,22 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas as S
 from ..errors import ArchiveIOError, FormatError, InvalidInputError, UnsupportedFeatureError, kind_of
 from ..functions.names import safe_path
+from ..storage import bounded_batches
 from . import attributes as attrs
 from . import layout as L
 
 BATCH_ROWS, BATCH_BYTES = 4_096, 32 << 20
-ARCHIVES_PER_PARTITION, PARTITION_BYTES = 32, 64 << 20
+ARCHIVES_PER_PARTITION, PARTITION_BYTES, SPLITS = 32, 64 << 20, 3
 #: Opening a file counts as so many bytes of it.
 OPEN_BYTES = 4 << 20
-TRAILER, COPY_BYTES = 260, 8 << 20
+TRAILER, COPY_BYTES, MOST_FOLDERS, NAMES = 260, 8 << 20, 256, 1 << 16
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -86,20 +93,22 @@ class _Scan:
         slot = L.find_slot(self.hashes, len(self.blocks), name)
         return None if slot is None else L.decode(self.region, self.header, self.blocks[int(self.hashes[slot]["block_index"])], name)
 
-    def names(self) -> dict[int, str]:
-        """Names of blocks: special files, the archive's own list, then the one given; the first of a block stays."""
-        wanted = [L.LISTFILE, L.ATTRIBUTES, L.SIGNATURE_FILE]
+    def names(self, first: int = 0, last: int | None = None) -> dict[int, str]:
+        """Names of a range of blocks: special files, the archive's own list, then the one given; the first of a block stays."""
+        special = [L.LISTFILE, L.ATTRIBUTES, L.SIGNATURE_FILE]
         try:
             own = self.content(L.LISTFILE) or b""
         except Exception as e:  # an unreadable list leaves files unnamed
             kind_of(e)
             own = b""
-        for text in (own, self.listfile or b""):
-            wanted += [x.strip() for x in text.decode(errors="replace").replace("\r", "\n").split("\n") if x.strip()]
+        lines = (x.strip() for text in (own, self.listfile or b"") for x in io.StringIO(text.decode(errors="replace").replace("\r", "\n"), "\n"))
         out: dict[int, str] = {}
-        for name, slot in zip(wanted, L.find_slots(self.hashes, len(self.blocks), wanted), strict=True):
-            if slot is not None:
-                out.setdefault(int(self.hashes[slot]["block_index"]), name)
+        finder, index = L.Finder(self.hashes, len(self.blocks)), self.hashes["block_index"]
+        for names in itertools.batched(itertools.chain(special, filter(None, lines)), NAMES):
+            slots = finder.find(names)
+            blocks = np.where(slots < 0, -1, index[slots].astype(np.int64))
+            for i in np.flatnonzero((blocks >= first) & ((blocks < last) if last is not None else True)).tolist():
+                out.setdefault(int(blocks[i]), names[i])
         return out
 
     def columns(self, table: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -146,22 +155,31 @@ class _Scan:
                 for i, r in enumerate(attrs.parse(data, len(self.blocks))[1]):
                     yield self.archive, i, r["crc32"], r["filetime"], r["md5"], r["patch_bit"]
         else:
-            names = self.names()
-            for i in np.flatnonzero(self.hashes["block_index"] < S.DELETED).tolist():
-                a, b, locale, platform, _, block = self.hashes[i].tolist()
-                if not share.first <= block or share.last is not None and block >= share.last:
-                    continue
-                inside = block < len(self.blocks)
-                item = (self.archive, i, block, names.get(block), locale, platform, int(self.blocks[block]["flags"]) if inside else None)
-                if table == "list_items":
-                    yield item
-                    continue
-                try:
-                    if not inside:
-                        raise FormatError(f"hash[{i}] points to invalid block index {block}")
-                    yield (*item, L.decode(self.region, self.header, self.blocks[block], names.get(block)), None, None)
-                except Exception as e:
-                    yield (*item, None, kind_of(e), str(e))
+            names, index = self.names(share.first, share.last), self.hashes["block_index"]
+            active = (index < S.DELETED) & (index >= share.first)
+            active &= True if share.last is None else index < share.last
+            if table == "list_items":
+                yield from self.items(np.flatnonzero(active), names)
+                return
+            slots = np.flatnonzero(active)
+            slots = slots[np.argsort(index[slots], kind="stable")]  # as they stand in the file
+            sizes = np.zeros(len(slots), np.int64)
+            inside = index[slots] < len(self.blocks)
+            sizes[inside] = np.maximum(self.blocks["file_size"], self.blocks["compressed_size"])[index[slots][inside]]
+            for group in L.grouped(zip(slots.tolist(), sizes.tolist(), strict=True), lambda x: x[1]):
+                items = [*self.items(np.array([i for i, _ in group]), names)]
+                found = L.decode_many(self.region, self.header, [(self.blocks[b] if b < len(self.blocks) else (0, 0, 0, 0), n) for _, _, b, n, *_ in items])
+                for item, content in zip(items, found, strict=True):
+                    if item[2] >= len(self.blocks):
+                        content = FormatError(f"hash[{item[1]}] points to invalid block index {item[2]}")
+                    yield (*item, None, kind_of(content), str(content)) if isinstance(content, Exception) else (*item, content, None, None)
+
+    def items(self, slots: np.ndarray, names: dict[int, str]) -> Iterator[tuple]:
+        rows = self.hashes[slots]
+        blocks, n = rows["block_index"].astype(np.int64), len(self.blocks)
+        flags = self.blocks["flags"][np.minimum(blocks, n - 1)].tolist()
+        for i, b, locale, platform, f in zip(slots.tolist(), blocks.tolist(), rows["locale"].tolist(), rows["platform"].tolist(), flags, strict=True):
+            yield self.archive, i, b, names.get(b), locale, platform, f if b < n else None
 
 
 class ArchiveReader(DataSourceReader):
@@ -185,24 +203,34 @@ class ArchiveReader(DataSourceReader):
         sized = [(p, n) for p, n in archive_paths(self.path) if self.archives is None or posixpath.basename(p) in self.archives]
         paths = [p for p, _ in sized]
         if self.table != "files":
-            return [Share(paths[i : i + ARCHIVES_PER_PARTITION]) for i in range(0, len(paths), ARCHIVES_PER_PARTITION)] or [Share([])]
-        if not self.blocks:  # small archives share a partition, as small files do in Spark's own sources
-            most = min(PARTITION_BYTES, max(OPEN_BYTES, sum(n + OPEN_BYTES for _, n in sized) / self.least))
-            shares, held = [Share([])], 0
-            for p, n in sized:
-                if shares[-1].paths and held + n + OPEN_BYTES > most:
-                    shares.append(Share([]))
-                    held = 0
-                shares[-1].paths.append(p)
-                held += n + OPEN_BYTES
-            return shares
-        out = []
-        for p in paths:
-            n = _Scan(p, None).header["block_table_entries"]
-            # blocks that entries wrongly refer to lie beyond the table: the last range is open
-            cuts = [*range(0, max(n, 1), self.blocks)]
-            out += [Share([p], a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
-        return out or [Share([])]
+            each = max(1, min(ARCHIVES_PER_PARTITION, -(-len(paths) // self.least)))
+            return [Share(paths[i : i + each]) for i in range(0, len(paths), each)] or [Share([])]
+        if self.blocks:
+            return [s for p in paths for s in self._ranges(p, self.blocks)] or [Share([])]
+        total = sum(n + OPEN_BYTES for _, n in sized)
+        most = max(min(PARTITION_BYTES, max(OPEN_BYTES, total / self.least)), total / (SPLITS * self.least))
+        shares, ranges, held = [Share([])], [], 0
+        for p, n in sized:
+            if n > 2 * most and (found := self._ranges(p, parts=math.ceil(n / most))):
+                ranges += found
+                continue
+            if shares[-1].paths and held + n + OPEN_BYTES > most:  # small archives share a partition, as small files do in Spark's own sources
+                shares.append(Share([]))
+                held = 0
+            shares[-1].paths.append(p)
+            held += n + OPEN_BYTES
+        return ranges + (shares if shares[0].paths or not ranges else [])
+
+    def _ranges(self, path: str, size: int = 0, parts: int = 1) -> list[Share]:
+        """An archive in ranges of blocks; in one where it can't be read, which the task will tell."""
+        try:
+            n = max(1, _Scan(path, None).header["block_table_entries"])
+        except Exception as e:
+            kind_of(e)
+            return [Share([path])]
+        # blocks that entries wrongly refer to lie beyond the table: the last range is open
+        cuts = [*range(0, n, size or math.ceil(n / parts))]
+        return [Share([path], a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(S.TABLES[self.table])
@@ -228,11 +256,41 @@ class ArchiveReader(DataSourceReader):
             except Exception as e:
                 if self.strict or self.table not in ("archives", "files"):
                     raise
+                if partition.first:  # the archive's first range tells
+                    continue
                 held.append((posixpath.basename(path), *[None] * (len(schema) - 3), kind_of(e), str(e)))
         if held:
             yield batch()
 
 
+#: Files as `write_archives` packs them before they go to the tasks that write.
+PACKED = S._struct(("archive", T.StringType()), ("name", T.StringType()), ("stored", T.BinaryType()), ("size", T.LongType()), ("flags", T.LongType()), ("locale", T.IntegerType()), ("platform", T.IntegerType()), ("crc32", T.LongType()), ("md5", T.BinaryType()))
+_FIELDS = ("encrypted", "fix_key", "locale", "platform", "single_unit", "sector_crc", "compression")
+
+
+def _policy(options: dict) -> L.Policy:
+    policy = {k: options.get(k.lower().replace("_", ""), options.get(k)) for k in ("sector_size_shift", "hash_entries", "block_entries", "listfile", "attributes", "format_version")}
+    given = {k: v for k, v in policy.items() if v is not None}
+    out = L.Policy(**{k: str(v).lower() == "true" if k in ("listfile", "attributes") else int(v) for k, v in given.items()})
+    out.header_size = S.HEADER_SIZES[out.format_version]
+    return out
+
+
+def _pack(row: dict, step: int, described: bool) -> L.Packed:
+    if row["archive"] is None or row["name"] is None:
+        raise InvalidInputError("archive and name can't be null")
+    if "stored" in row:
+        return L.Packed(row["name"], row["stored"], row["size"], row["flags"], row["locale"], row["platform"], {"crc32": row["crc32"], "md5": row["md5"]})
+    given = {k: row[k] for k in _FIELDS if row.get(k) is not None}
+    return L.pack(L.Entry(row["name"], row["data"] or b"", **given), step, described)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[dict]:
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield from batch.slice(a, rows).to_pylist()
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -244,17 +302,11 @@ class ArchiveWriter(DataSourceArrowWriter):
         if not self.path:
             raise InvalidInputError("a path is needed")
         names = set(schema.fieldNames())
-        if not {"archive", "name", "data"} <= names:
+        if not {"archive", "name", "data"} <= names and not set(PACKED.fieldNames()) <= names:
             raise InvalidInputError("a manifest has the columns archive, name and data")
-        self.policy = {k: options.get(k.lower().replace("_", ""), options.get(k)) for k in ("sector_size_shift", "hash_entries", "block_entries", "listfile", "attributes", "format_version")}
+        self.policy = _policy(options)
         self.job = uuid.uuid4().hex
 
-    def _policy(self) -> L.Policy:
-        given = {k: v for k, v in self.policy.items() if v is not None}
-        out = L.Policy(**{k: str(v).lower() == "true" if k in ("listfile", "attributes") else int(v) for k, v in given.items()})
-        out.header_size = S.HEADER_SIZES[out.format_version]
-        return out
-
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
@@ -269,7 +321,7 @@ class ArchiveWriter(DataSourceArrowWriter):
             if "/" in name or "\\" in name or name.startswith("."):
                 raise InvalidInputError(f"{name} can't be a file's name")
             seen.add(name)
-            current, archive, body = name, L.Assembly(self._policy()), f"{root}/.{self.job}-{uuid.uuid4().hex}"
+            current, archive, body = name, L.Assembly(self.policy), f"{root}/.{self.job}-{uuid.uuid4().hex}"
             stream = fs.open_output_stream(body)
 
         def close() -> None:
@@ -286,16 +338,15 @@ class ArchiveWriter(DataSourceArrowWriter):
             name = current if current.lower().endswith(".mpq") else f"{current}.mpq"
             files.append((aside, f"{root}/{name}"))
 
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if row["archive"] is None or row["name"] is None:
-                    raise InvalidInputError("archive and name can't be null")
-                if row["archive"] != current:
+        step, described = L.sector_size(self.policy.sector_size_shift), self.policy.attributes
+        files_of = ((row["archive"], _pack(row, step, described)) for row in _rows(iterator))
+        for group in L.grouped(files_of, lambda x: len(x[1].stored)):
+            for name, its in itertools.groupby(group, lambda x: x[0]):
+                if name != current:
                     if current is not None:
                         close()
-                    begin(row["archive"])
-                given = {k: row[k] for k in ("encrypted", "fix_key", "locale", "platform", "single_unit", "sector_crc", "compression") if row.get(k) is not None}
-                stream.write(archive.add(L.Entry(row["name"], row["data"] or b"", **given)))
+                    begin(name)
+                stream.write(archive.put([f for _, f in its]))
         if current is not None:
             close()
         return Written(files)
@@ -350,27 +401,49 @@ def read_archives(spark: SparkSession, path: str, table: str = "list_items", **o
 def write_archives(manifest: DataFrame, path: str, **options) -> None:
     """Writes a manifest as one file for each archive; the files in it in the order of `ord` (and name)."""
     register(manifest.sparkSession)
-    order = [c for c in ("ord", "name") if c in manifest.columns]
-    rows = manifest.repartition("archive").sortWithinPartitions("archive", *order)
+    bounded_batches(manifest.sparkSession)
+    policy = _policy(options)
+    step, described, order = L.sector_size(policy.sector_size_shift), policy.attributes, [c for c in ("ord", "name") if c in manifest.columns]
+    kept = [f for f in manifest.schema.fields if f.name == "ord"]
+    types = T.StructType([*PACKED.fields, *kept])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(types)
+
+        def made(row: dict) -> tuple:
+            f = _pack(row, step, described)
+            sums = f.sums or {}
+            return (row["archive"], f.name, f.stored, f.size, f.flags, f.locale, f.platform, sums.get("crc32"), sums.get("md5"), *(row[k.name] for k in kept))
+
+        for group in L.grouped(map(made, _rows(batches)), lambda x: len(x[2])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*group, strict=True), schema, strict=True)], schema=schema)
+
+    rows = manifest.mapInArrow(pack, types).repartition("archive").sortWithinPartitions("archive", *order)
     rows.write.format("mpq").mode("overwrite").options(**options).save(path)
 
 
-def extract_files(files: DataFrame, folder: str) -> DataFrame:
+def extract_files(files: DataFrame, folder: str, items: DataFrame | None = None) -> DataFrame:
     """Writes files read from archives below a folder, in parallel; (archive, name, path) of those written.
 
     Paths are safe ones; of files that have the same one the first entry of the first archive is written. Files that couldn't be read have no row.
-    Each is written aside and renamed. The rows are computed, and so the files written, when the result is used.
+    Each is written aside and renamed. The rows are computed, and so the files written, when the result is used. With the entries of the same archives
+    (items) it is known at once whether there are such files; where there are none, no content is moved.
     """
-    rows = files.where(F.col("content").isNotNull() & F.col("name").isNotNull()).select("archive", "name", "hash_index", safe_path(F.col("name")).alias("path"), "content")
-    first = rows.groupBy("path").agg(F.min(F.struct("archive", "hash_index")).alias("__first"))
-    rows = rows.join(first, "path").where((F.col("archive") == F.col("__first.archive")) & (F.col("hash_index") == F.col("__first.hash_index")))
+    path = safe_path(F.col("name")).alias("path")
+    rows = files.where(F.col("content").isNotNull() & F.col("name").isNotNull()).select("archive", "name", "hash_index", path, "content")
+    if items is None or not items.where("name is not null").select(path).groupBy("path").count().where("count > 1").isEmpty():
+        first = rows.groupBy("path").agg(F.min(F.struct("archive", "hash_index")).alias("__first"))
+        rows = rows.join(first, "path").where((F.col("archive") == F.col("__first.archive")) & (F.col("hash_index") == F.col("__first.hash_index")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
+        there: set[str] = set()
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 at = f"{root.rstrip('/')}/{path}"
-                fs.create_dir(posixpath.dirname(at), recursive=True)
+                if posixpath.dirname(at) not in there:
+                    fs.create_dir(posixpath.dirname(at), recursive=True)
+                    there = {*there, posixpath.dirname(at)} if len(there) < MOST_FOLDERS else {posixpath.dirname(at)}
                 aside = f"{posixpath.dirname(at)}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(aside, compression=None) as out:
                     out.write(content.as_buffer())
