@@ -130,3 +130,10 @@ def test_large_archives_are_read_in_ranges(tmp_path, monkeypatch):
     found = {r["name"]: r["content"] for r in rows if r["archive"] == "a.mpq"}
     assert len(rows) == 902 and found | {"(listfile)": b""} == {e.name: e.data for e in entries} | {"(listfile)": b""}
     assert [r["error_kind"] for r in rows if r["archive"] == "b.mpq"] == ["Format"]
+
+
+def test_tables_of_archives_are_spread(tmp_path):
+    for i in range(8):
+        A.Archive.create(str(tmp_path / f"{i}.mpq"), L.Policy(), [L.Entry("x", b"1")])
+    reader = D.ArchiveReader({"path": str(tmp_path), "table": "names", "minpartitions": "8"})
+    assert [len(s.paths) for s in reader.partitions()] == [1] * 8
