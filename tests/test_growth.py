@@ -137,3 +137,23 @@ def test_tables_of_archives_are_spread(tmp_path):
         A.Archive.create(str(tmp_path / f"{i}.mpq"), L.Policy(), [L.Entry("x", b"1")])
     reader = D.ArchiveReader({"path": str(tmp_path), "table": "names", "minpartitions": "8"})
     assert [len(s.paths) for s in reader.partitions()] == [1] * 8
+
+
+def test_one_long_block_doesnt_widen_the_others():
+    blocks = [b"12345678"] * 300 + [bytes(1 << 20)]
+    tracemalloc.start()
+    secret = cipher.encrypt_blocks(blocks, [*range(301)])
+    assert cipher.decrypt_blocks(secret, [*range(301)]) == blocks
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and secret[:300:100] == [cipher.encrypt_block(b"12345678", k) for k in (0, 100, 200)]
+
+
+def test_ciphers_and_writers_bound_their_batches(spark, small):
+    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(name, "10000")
+        plans.cipher_roundtrip(spark, small)
+        assert spark.conf.get(name) == "2000"
+    finally:
+        spark.conf.set(name, was)
