@@ -157,3 +157,15 @@ def test_ciphers_and_writers_bound_their_batches(spark, small):
         assert spark.conf.get(name) == "2000"
     finally:
         spark.conf.set(name, was)
+
+
+def test_key_recovery_bounds_its_batches(spark, small):
+    from moraine.plans import vectors
+
+    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(name, "10000")
+        vectors.key_recovery(spark, small)
+        assert spark.conf.get(name) == "2000"
+    finally:
+        spark.conf.set(name, was)
