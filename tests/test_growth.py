@@ -169,3 +169,11 @@ def test_key_recovery_bounds_its_batches(spark, small):
         assert spark.conf.get(name) == "2000"
     finally:
         spark.conf.set(name, was)
+
+
+def test_an_archive_of_many_files_enters_names_together(calls):
+    calls.count(cipher, "hash_name")
+    archive = L.Assembly(L.Policy())
+    archive.put([L.pack(L.Entry(f"{i}", b"x"), 4096) for i in range(500)])
+    header, more, tables = archive.finish()
+    assert calls["hash_name"] < 10 and len(tables) == 16 * (2048 // 2 + 501)
