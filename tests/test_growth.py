@@ -177,3 +177,13 @@ def test_an_archive_of_many_files_enters_names_together(calls):
     archive.put([L.pack(L.Entry(f"{i}", b"x"), 4096) for i in range(500)])
     header, more, tables = archive.finish()
     assert calls["hash_name"] < 10 and len(tables) == 16 * (2048 // 2 + 501)
+
+
+def test_packed_files_keep_their_attributes():
+    e = L.Entry("x", b"abc" * 3000, "zlib", True, True, sector_crc=True)
+    packed = L.pack(e, 4096, True)
+    archive = L.Assembly(L.Policy(attributes=True))
+    body = archive.put([packed])
+    header, more, tables = archive.finish()
+    a = A.Archive(header + body + more + tables)
+    assert a.read_file("X") == e.data and a.read_attributes()[1][0]["md5"] == packed.sums["md5"] and body == L.encode(e, archive.head, 4096)[0]
