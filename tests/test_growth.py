@@ -187,3 +187,10 @@ def test_packed_files_keep_their_attributes():
     header, more, tables = archive.finish()
     a = A.Archive(header + body + more + tables)
     assert a.read_file("X") == e.data and a.read_attributes()[1][0]["md5"] == packed.sums["md5"] and body == L.encode(e, archive.head, 4096)[0]
+
+
+def test_contents_come_as_they_stand_in_the_file(tmp_path):
+    A.Archive.create(str(tmp_path / "a.mpq"), L.Policy(), [L.Entry(f"{i}", b"1") for i in range(100)])
+    reader = D.ArchiveReader({"path": str(tmp_path), "table": "files"})
+    rows = [r for share in reader.partitions() for batch in reader.read(share) for r in batch.to_pylist()]
+    assert [r["block_index"] for r in rows] == [*range(101)]
