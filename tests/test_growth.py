@@ -194,3 +194,12 @@ def test_contents_come_as_they_stand_in_the_file(tmp_path):
     reader = D.ArchiveReader({"path": str(tmp_path), "table": "files"})
     rows = [r for share in reader.partitions() for batch in reader.read(share) for r in batch.to_pylist()]
     assert [r["block_index"] for r in rows] == [*range(101)]
+
+
+def test_names_of_a_range_are_those_of_all(tmp_path):
+    A.Archive.create(str(tmp_path / "a.mpq"), L.Policy(), [L.Entry(f"{i}", b"1") for i in range(100)])
+    scan = D._Scan(str(tmp_path / "a.mpq"), b"none\r77")
+    scan.tables()
+    names = scan.names()
+    assert names == {i: f"{i}" for i in range(100)} | {100: "(listfile)"}
+    assert scan.names(10, 20) | scan.names(20) == {b: n for b, n in names.items() if b >= 10} and len(scan.names(10, 20)) == 10
