@@ -203,3 +203,21 @@ def test_names_of_a_range_are_those_of_all(tmp_path):
     names = scan.names()
     assert names == {i: f"{i}" for i in range(100)} | {100: "(listfile)"}
     assert scan.names(10, 20) | scan.names(20) == {b: n for b, n in names.items() if b >= 10} and len(scan.names(10, 20)) == 10
+
+
+def test_extraction_moves_contents_only_for_paths_that_meet(spark, tmp_path):
+    archives = tmp_path / "in"
+    archives.mkdir()
+    A.Archive.create(str(archives / "a.mpq"), L.Policy(), [L.Entry("d\\x", b"1"), L.Entry("y", b"2")])
+    A.Archive.create(str(archives / "b.mpq"), L.Policy(), [L.Entry("z", b"3")])
+
+    def run(out, wanted):
+        files, items = (plans._named(D.read_archives(spark, str(archives), t)) for t in ("files", "list_items"))
+        rows = D.extract_files(files, str(tmp_path / out), items)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.path for r in rows.collect()} == set(wanted) and all((tmp_path / out / p).read_bytes() == d for p, d in wanted.items())
+        return "Join" in plan
+
+    assert not run("one", {"d/x": b"1", "y": b"2", "z": b"3"})
+    A.Archive.create(str(archives / "b.mpq"), L.Policy(), [L.Entry("d/./x", b"3"), L.Entry("z", b"3")])
+    assert run("two", {"d/x": b"1", "y": b"2", "z": b"3"})
