@@ -221,3 +221,11 @@ def test_extraction_moves_contents_only_for_paths_that_meet(spark, tmp_path):
     assert not run("one", {"d/x": b"1", "y": b"2", "z": b"3"})
     A.Archive.create(str(archives / "b.mpq"), L.Policy(), [L.Entry("d/./x", b"3"), L.Entry("z", b"3")])
     assert run("two", {"d/x": b"1", "y": b"2", "z": b"3"})
+
+
+def test_attributes_of_many_archives_are_spread(tmp_path):
+    for i in range(20):
+        A.Archive.create(str(tmp_path / f"{i}.mpq"), L.Policy(attributes=True), [L.Entry("x", b"1")])
+    reader = D.ArchiveReader({"path": str(tmp_path), "table": "attributes", "minpartitions": "4"})
+    assert [len(s.paths) for s in reader.partitions()] == [5] * 4
+    assert sum(len(b) for s in reader.partitions() for b in reader.read(s)) == 20 * 3 - 20 * 0
