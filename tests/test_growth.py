@@ -228,4 +228,16 @@ def test_attributes_of_many_archives_are_spread(tmp_path):
         A.Archive.create(str(tmp_path / f"{i}.mpq"), L.Policy(attributes=True), [L.Entry("x", b"1")])
     reader = D.ArchiveReader({"path": str(tmp_path), "table": "attributes", "minpartitions": "4"})
     assert [len(s.paths) for s in reader.partitions()] == [5] * 4
-    assert sum(len(b) for s in reader.partitions() for b in reader.read(s)) == 20 * 3 - 20 * 0
+    assert sum(len(b) for s in reader.partitions() for b in reader.read(s)) == 20 * 3
+
+
+def test_many_files_are_decoded_together_and_errors_stay_in_their_places(calls):
+    names = [f"{i}" for i in range(100)]
+    data = L.serialize([L.Entry(n, n.encode() * 3000, "zlib", True) for n in names], L.Policy())
+    region = L.Region(data)
+    header = L.read_header(region)
+    _, blocks = L.read_tables(region, header)
+    calls.count(cipher, "decrypt_blocks")
+    found = L.decode_many(region, header, [*zip(blocks, names), ((0, 1 << 31, 1, 1 << 31), "beyond"), ((0, 0, 0, 0), None), (blocks[7], "other")])
+    assert found[:100] == [n.encode() * 3000 for n in names] and calls["decrypt_blocks"] == 1
+    assert [type(x).__name__ for x in found[100:102]] == ["BoundsError", "NotFoundError"] and isinstance(found[102], Exception)
