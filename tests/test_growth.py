@@ -241,3 +241,14 @@ def test_many_files_are_decoded_together_and_errors_stay_in_their_places(calls):
     found = L.decode_many(region, header, [*zip(blocks, names), ((0, 1 << 31, 1, 1 << 31), "beyond"), ((0, 0, 0, 0), None), (blocks[7], "other")])
     assert found[:100] == [n.encode() * 3000 for n in names] and calls["decrypt_blocks"] == 1
     assert [type(x).__name__ for x in found[100:102]] == ["BoundsError", "NotFoundError"] and isinstance(found[102], Exception)
+
+
+def test_small_files_are_encrypted_together(calls):
+    entries = [L.Entry(f"{i}", b"%d" % i * 900, "zlib", True, True, sector_crc=i % 2 == 0) for i in range(300)]
+    archive = L.Assembly(L.Policy())
+    calls.count(cipher, "encrypt_blocks")
+    body = archive.put([L.pack(e, 4096) for e in entries])
+    assert calls["encrypt_blocks"] == 1
+    header, more, tables = archive.finish()
+    a = A.Archive(header + body + more + tables)
+    assert all(a.read_file(e.name) == e.data for e in entries)
