@@ -252,3 +252,19 @@ def test_small_files_are_encrypted_together(calls):
     header, more, tables = archive.finish()
     a = A.Archive(header + body + more + tables)
     assert all(a.read_file(e.name) == e.data for e in entries)
+
+
+def test_packed_files_are_written_as_they_are(tmp_path, calls):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    packed = [L.pack(L.Entry(f"{i}", b"abc" * 2000, "zlib"), 4096) for i in range(5)]
+    rows = [("a", f.name, f.stored, f.size, f.flags, 0, 0, None, None) for f in packed]
+    schema = to_arrow_schema(D.PACKED)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    writer = D.ArchiveWriter({"path": str(tmp_path)}, D.PACKED, True)
+    calls.count(D.L, "pack")
+    writer.commit([writer.write(iter([batch]))])
+    assert calls["pack"] == 1  # the list of names
+    a = A.Archive.open(str(tmp_path / "a.mpq"))
+    assert all(a.read_file(f"{i}") == b"abc" * 2000 for i in range(5))
