@@ -268,3 +268,17 @@ def test_packed_files_are_written_as_they_are(tmp_path, calls):
     assert calls["pack"] == 1  # the list of names
     a = A.Archive.open(str(tmp_path / "a.mpq"))
     assert all(a.read_file(f"{i}") == b"abc" * 2000 for i in range(5))
+
+
+def test_checksums_of_sectors_stay_behind_encrypted_ones():
+    import zlib
+
+    from moraine.functions import digests
+
+    e = L.Entry("x", bytes(range(256)) * 100, "zlib", True, sector_crc=True)
+    stored, flags = L.encode(e, 32, 4096)
+    plain = L.pack(e, 4096)
+    count = -(-plain.size // 4096)
+    offsets = [int.from_bytes(plain.stored[4 * i : 4 * i + 4], "little") for i in range(count + 2)]
+    sums = digests.decode_sector_checksums(stored[offsets[-2] : offsets[-1]], count)
+    assert sums == [zlib.adler32(plain.stored[a:b]) for a, b in zip(offsets[:count], offsets[1:])] and len(stored) == offsets[-1]
