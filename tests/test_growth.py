@@ -282,3 +282,14 @@ def test_checksums_of_sectors_stay_behind_encrypted_ones():
     offsets = [int.from_bytes(plain.stored[4 * i : 4 * i + 4], "little") for i in range(count + 2)]
     sums = digests.decode_sector_checksums(stored[offsets[-2] : offsets[-1]], count)
     assert sums == [zlib.adler32(plain.stored[a:b]) for a, b in zip(offsets[:count], offsets[1:])] and len(stored) == offsets[-1]
+
+
+def test_bzip2_is_packed_before_files_move(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"{k}", b"%d" % k * 4000) for k in range(8)], "name string, data binary").repartition(4)
+    seen = []
+    inner = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: seen.append(self.columns) or inner(self, *a))
+    D.write_archives(rows.selectExpr("'a' AS archive", "name", "data", "'bzip2' AS compression"), str(tmp_path))
+    assert "stored" in seen[0] and "data" not in seen[0]
+    a = A.Archive.open(str(tmp_path / "a.mpq"))
+    assert all(a.read_file(f"{k}") == b"%d" % k * 4000 for k in range(8)) and a.header["archive_size_32"] < 8000
